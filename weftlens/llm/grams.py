@@ -12,9 +12,17 @@ def words(text: Column) -> Column:
 
 
 def gram_hashes(tokens: Column, n: int) -> Column:
-    """64-bit hashes of the runs of ``n`` words in order; empty where there are fewer words."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+    """64-bit hashes of the runs of ``n`` words in order; empty where there are fewer words.
+
+    The words are bound once, as the variable of an outer transform: as a mere
+    expression they would be computed again for every run.
+    """
+    def hashes(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        runs = F.transform(starts, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(n)]))
+        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return F.coalesce(F.get(F.transform(F.array(tokens), hashes), F.lit(0)), F.array().cast("array<bigint>"))
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:

@@ -26,33 +26,31 @@ from .grams import broadcast_if_small, gram_hashes, words
 MOST_BROADCAST_GRAMS = 500_000
 
 
-def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[int, int, int, int]:
     """Smith-Waterman over two sequences: best score, its end in each, and the longest run of equal words.
 
-    Cells are filled by anti-diagonals, so the work is vectorised and whole
-    sequences are aligned whatever their length; memory is linear.
+    One row of cells at a time along the shorter sequence, each vectorised over
+    the longer: a gap along the row is a running maximum of the cells plus what
+    their distance costs. Whole sequences are aligned; memory is linear.
     """
-    m, n = len(a), len(b)
-    if m > n:
+    if len(a) > len(b):
         score, eb, ea, run = align(b, a, match, mismatch, gap)
         return score, ea, eb, run
-    back = b[::-1]
-    h1, h2, r2, r1 = np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int32)
+    n = len(b)
+    slope = np.arange(1, n + 1, dtype=np.int32) * gap
+    h, r, pad = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.zeros(1, np.int32)
     best, end, longest = 0, (0, 0), 0
-    for d in range(2, m + n + 1):
-        lo, hi = max(1, d - n), min(m, d - 1)
-        equal = a[lo - 1 : hi] == back[n - d + lo : n - d + hi + 1]
-        h = np.zeros(m + 1, np.int32)
-        diagonal = h2[lo - 1 : hi] + np.where(equal, match, mismatch)
-        h[lo : hi + 1] = np.maximum(np.maximum(diagonal, 0), np.maximum(h1[lo - 1 : hi], h1[lo : hi + 1]) + gap)
-        r = np.zeros(m + 1, np.int32)
-        r[lo : hi + 1] = np.where(equal, r2[lo - 1 : hi] + 1, 0)
-        top = int(h[lo : hi + 1].max())
-        if top > best:
-            i = lo + int(h[lo : hi + 1].argmax())
-            best, end = top, (i, d - i)
-        longest = max(longest, int(r[lo : hi + 1].max()))
-        h2, h1, r2, r1 = h1, h, r1, r
+    for i, x in enumerate(a, 1):
+        equal = b == x
+        cell = np.maximum(h[:-1] + np.where(equal, match, mismatch), h[1:] - gap)
+        np.maximum(cell, 0, out=cell)
+        cell = np.maximum.accumulate(cell + slope) - slope
+        r = np.concatenate([pad, (r[:-1] + 1) * equal])
+        h = np.concatenate([pad, cell.astype(np.int32)])
+        at = int(cell.argmax()) if n else 0
+        if n and cell[at] > best:
+            best, end = int(cell[at]), (i, at + 1)
+        longest = max(longest, int(r.max()))
     return best, end[0], end[1], longest
 
 
@@ -94,5 +92,7 @@ def find_leaks(items: DataFrame, documents: DataFrame, seed: int = 4, run: int =
                 out.append((item, doc, s, i, j, longest, s / (2 * len(a))))
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "score", "item_end", "doc_end", "longest_run", "item_share"])
 
-    aligned = sized.mapInPandas(score, "item_id long, doc_id long, score int, item_end int, doc_end int, longest_run int, item_share double")
+    # Few bytes but much work: without a number of its own the exchange would be merged into one task.
+    spread = sized.repartition(max(sized.sparkSession.sparkContext.defaultParallelism * 4, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    aligned = spread.mapInPandas(score, "item_id long, doc_id long, score int, item_end int, doc_end int, longest_run int, item_share double")
     return aligned.filter(F.col("score") >= least_score)

@@ -5,7 +5,8 @@ records are scanned for hits. Records with equal n-gram sets are one class, so
 copies take part once. Any two sets with Jaccard ``t`` share a hash among the
 first ``n - ceil(t n) + 1`` of each in any common order; ordered by rarity,
 those few rare hashes are all that has to meet. Hits are then verified on the
-whole sets.
+whole sets. Asking for ``hits`` common hashes among the first
+``n - ceil(t n) + hits`` is as exact, and spares most verifications.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ def split_role(split_sets: Column, names: list[str]) -> Column:
     return F.coalesce(F.exists(split_sets, lambda s: F.coalesce(plain(s).isin(names), F.lit(False))), F.lit(False))
 
 
-def _prefixes(classes: DataFrame, t: float, hot_share: float) -> DataFrame:
-    """(gram, class_id, n, position) of the prefix of each class, rare hashes first.
+def _prefixes(classes: DataFrame, t: float, hot_share: float, hits: int) -> DataFrame:
+    """(gram, class_id, n) of the prefix of each class, rare hashes first.
 
     Only the hashes in more than ``hot_share`` of the classes need a count: there
     are at most (mean set size / hot_share) of them however many records there
@@ -40,11 +41,11 @@ def _prefixes(classes: DataFrame, t: float, hot_share: float) -> DataFrame:
     hot = exploded.groupBy("gram").count().filter(F.col("count") > least).select("gram", F.col("count").alias("df"))
     ranked = exploded.join(F.broadcast(hot), "gram", "left")
     ordered = ranked.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
-    keep = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
-    return ordered.select("class_id", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("position", "g")).select("class_id", "n", "position", F.col("g.gram").alias("gram"))
+    keep = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * t - 1e-9) + hits).cast("int")
+    return ordered.select("class_id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("g")).select("class_id", "n", F.col("g.gram").alias("gram"))
 
 
-def cross_split_overlaps(records: DataFrame, n: int = 3, similarity: float = 0.6, hot_share: float = 1e-3) -> DataFrame:
+def cross_split_overlaps(records: DataFrame, n: int = 3, similarity: float = 0.6, hot_share: float = 2e-4, hits: int = 3) -> DataFrame:
     """Pairs (id_a, id_b, shared, jaccard, containment) of records (id, text, is_train, is_eval), id_a < id_b.
 
     One of the two is in training, the other in evaluation, and their sets of
@@ -58,19 +59,16 @@ def cross_split_overlaps(records: DataFrame, n: int = 3, similarity: float = 0.6
     sets = records.filter("(is_train or is_eval) and id is not null").select("id", "is_train", "is_eval", F.array_sort(F.array_distinct(gram_hashes(words(F.col("text")), n))).alias("grams")).filter("size(grams) > 0")
     members = sets.withColumn("class_id", F.xxhash64("grams")).select("id", "is_train", "is_eval", "class_id", "grams")
     classes = members.groupBy("class_id").agg(F.first("grams").alias("grams"), F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")).withColumn("n", F.size("grams"))
-    prefixes = _prefixes(classes.select("class_id", "n", "grams"), similarity, hot_share)
-    roles = classes.select("class_id", "has_train", "has_eval")
-    prefixes = prefixes.join(roles, "class_id")
-    evaluation = prefixes.filter("has_eval").select("gram", F.col("class_id").alias("e"), F.col("n").alias("en"), F.col("position").alias("ep"))
-    training = prefixes.filter("has_train").select("gram", F.col("class_id").alias("t"), F.col("n").alias("tn"), F.col("position").alias("tp"))
+    prefixes = _prefixes(classes.select("class_id", "n", "grams"), similarity, hot_share, hits).join(classes.select("class_id", "has_train", "has_eval"), "class_id")
+    evaluation = prefixes.filter("has_eval").select("gram", F.col("class_id").alias("e"), F.col("n").alias("en"))
+    training = prefixes.filter("has_train").select("gram", F.col("class_id").alias("t"), F.col("n").alias("tn"))
     fits = (F.least("en", "tn") >= F.greatest("en", "tn") * similarity - 1e-9) & (F.col("e") != F.col("t"))
-    # No more than the runs after this position can be shared besides those before it.
-    bound = F.least(F.col("en") - F.col("ep"), F.col("tn") - F.col("tp")) + F.least("ep", "tp")
-    reach = bound >= (F.col("en") + F.col("tn")) * (similarity / (1 + similarity)) - 1e-9
-    hits = evaluation.join(training, "gram").filter(fits & reach).select("e", "t").distinct()
+    met = evaluation.join(training, "gram").filter(fits).groupBy("e", "t").agg(F.count("*").alias("met"), F.first(F.greatest("en", "tn")).alias("larger"))
+    # Sets smaller than that share all that the similarity asks of them, and their prefix is the whole set.
+    close = met.filter(F.col("met") >= F.least(F.lit(hits), F.ceil(F.col("larger") * similarity - 1e-9))).select("e", "t")
     left, right = classes.select(F.col("class_id").alias("e"), F.col("grams").alias("eg")), classes.select(F.col("class_id").alias("t"), F.col("grams").alias("tg"))
     shared = F.size(F.array_intersect("eg", "tg"))
-    near = hits.join(left, "e").join(right, "t").select("e", "t", shared.alias("shared"), F.size("eg").alias("en"), F.size("tg").alias("tn"))
+    near = close.join(left, "e").join(right, "t").select("e", "t", shared.alias("shared"), F.size("eg").alias("en"), F.size("tg").alias("tn"))
     near = near.withColumn("union", F.col("en") + F.col("tn") - F.col("shared")).filter(F.col("shared") >= F.col("union") * similarity - 1e-9)
     same = classes.filter("has_train and has_eval").select(F.col("class_id").alias("e"), F.col("class_id").alias("t"), F.col("n").alias("shared"), F.col("n").alias("en"), F.col("n").alias("tn"), F.col("n").alias("union"))
     links = near.unionByName(same)
