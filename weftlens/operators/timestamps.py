@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import set_aside
+
 # Minutes east of UTC of zone abbreviations.
 ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180, "NPT": 345, "KST": 540, "JST": 540, "SGT": 480, "HKT": 480, "AEST": 600, "AEDT": 660, "ACST": 570, "AWST": 480, "NZST": 720, "NZDT": 780, "EST": -300, "EDT": -240, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600, "BRT": -180, "ART": -180}
 # Abbreviations that name more than one zone; each reading is a format of its own.
@@ -159,8 +161,11 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, source: list[str],
     below ``sure`` leaves the value ambiguous: its chosen format is reported,
     its ``epoch_ms`` is null. Texts without a valid parse (null, blank,
     impossible) have null format and instant and are not ambiguous. Repeated
-    rows each count. An empty table gives an empty table.
+    rows each count. An empty table gives an empty table. Columns of ``df``
+    that clash with the new ones are kept under a name with ``_in`` after it.
     """
+    df, name = set_aside(df, ["candidates", "format", "epoch_ms", "posterior", "ambiguous"])
+    text, zone, source, day_first, arrival = name(text), name(zone), [name(c) for c in source], day_first and name(day_first), arrival and name(arrival)
     key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in source])
     pattern = F.array_join(F.array_sort(F.transform("candidates", lambda c: F.concat(c["format"], F.when(c["plausible"], "=1").otherwise("=0")))), ";")
     parsed = parse_candidates(df, text, zone, day_first, arrival).withColumns({"__source": key, "__pattern": pattern})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import set_aside
+
 # Unit, the kind it belongs to, factor and offset to the kind's base (px, um or share of the frame), aliases.
 UNITS = [
     ("px", "pixel", 1.0, 0.0, ["px", "pix", "pixel", "pixels"]),
@@ -50,8 +52,11 @@ def normalise_quantities(df: DataFrame, text: str, unit_field: str, default_unit
     ``default_unit`` (all names of columns). ``unit_status`` is ``ok``,
     ``no_number`` (null, blank or wordy texts), ``unknown_unit`` or
     ``no_scale`` (the scale that the unit needs is null or zero); only ``ok``
-    rows have ``value_px``. The alias table is fixed and is broadcast.
+    rows have ``value_px``. The alias table is fixed and is broadcast. Columns
+    of ``df`` that clash with the new ones get ``_in`` after their name.
     """
+    df, name = set_aside(df, ["number", "unit", "value_px", "unit_status"])
+    text, unit_field, default_unit, decimal_mark, um_per_px, frame = map(name, (text, unit_field, default_unit, decimal_mark, um_per_px, frame))
     aliases = F.broadcast(unit_table(df.sparkSession).select(F.col("alias").alias("__alias"), F.col("unit").alias("unit"), F.col("kind").alias("__kind"), F.col("factor").alias("__factor"), F.col("offset").alias("__offset")))
     blank = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
     own = F.when(unit_text_of(F.col(text)) != "", unit_text_of(F.col(text)))

@@ -9,7 +9,7 @@ from ..operators.drift import schema_changes
 from ..operators.nested import flatten_inbox
 from ..operators.orphans import find_reference_orphans
 from ..operators.timestamps import normalise_timestamps
-from ..operators.units import normalise_quantities
+from ..operators.units import UNITS, normalise_quantities
 from ..sources.tables import first_arrivals, read_table
 
 
@@ -73,3 +73,32 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+
+_SPACES = r"[\s\x{00A0}\x{2007}\x{2009}\x{202F}]"
+_NUMBER = r"([+\-]?[0-9](?:[0-9.,'\s\x{00A0}\x{2007}\x{2009}\x{202F}]*[0-9])?(?:[eE][+\-]?[0-9]+)?)"
+_ALIASES = ", ".join(f"('{alias}', '{kind}', {factor})" for _, kind, factor, _, aliases in UNITS for alias in aliases)
+
+P3_SQL = rf"""
+with p as (select project_key, any_value(station_id) as station_id, any_value(roi_pos_x) as roi_pos_x, any_value(roi_width) as roi_width, any_value(roi_unit) as roi_unit, any_value(frame_width) as frame_width from projects group by 1),
+f as (select file_uid, any_value(project_key) as project_key, any_value(width) as width, any_value(width_unit) as width_unit from project_files group by 1),
+v as (select 'projects' as table_name, project_key as row_id, 'roi_pos_x' as field_name, station_id, frame_width, roi_pos_x as t, roi_unit as u, false as is_width from p union all select 'projects', project_key, 'roi_width', station_id, frame_width, roi_width, roi_unit, false from p
+ union all select 'project_files', file_uid, 'width', station_id, frame_width, width, width_unit, true from f join p using (project_key)),
+n as (select v.*, s.um_per_px, regexp_extract(t, '{_NUMBER.replace("'", "''")}', 1) as raw, lower(regexp_replace(regexp_extract(t, '{_NUMBER.replace("'", "''")}(.*)$', 2), '^{_SPACES}+|{_SPACES}+$', '', 'g')) as own, case when is_width then 'px' else s.roi_unit end as fallback, s.decimal_mark from v join stations s using (station_id)),
+x as (select *, try_cast(case when decimal_mark = ',' then replace(regexp_replace(raw, '[.''\s\x{{00A0}}\x{{2007}}\x{{2009}}\x{{202F}}]', '', 'g'), ',', '.') else regexp_replace(raw, '[,''\s\x{{00A0}}\x{{2007}}\x{{2009}}\x{{202F}}]', '', 'g') end as double) as number, coalesce(nullif(own, ''), lower(nullif(trim(u), '')), fallback) as alias from n),
+a(alias, kind, factor) as (values {_ALIASES})
+select table_name, row_id, field_name, round(case kind when 'pixel' then number * factor when 'length' then number * factor / um_per_px else number * factor * frame_width end)::bigint as value_px from x join a using (alias) where number is not null"""
+
+_TEXT = "case when json_valid(l.label_contour) then case when json_type(l.label_contour) = 'VARCHAR' then json_extract_string(l.label_contour, '$') else l.label_contour end end"
+P4_SQL = rf"""
+with i as (select project_key, any_value(class_infos) as ci, any_value(project_files) as fs from v2_inbox group by 1),
+f as (select project_key, ci, unnest(fs) as f, unnest(range(len(fs))) as file_pos from i where len(fs) > 0),
+l as (select project_key, ci, file_pos, unnest(f.label_data_list) as l, unnest(range(len(f.label_data_list))) as label_pos from f where len(f.label_data_list) > 0),
+c as (select *, coalesce(case when l.class_id is not null then list_filter(ci, lambda c: c.class_id = l.class_id)[1].class_id when l.class_no is not null then list_filter(ci, lambda c: c.class_no = l.class_no)[1].class_id else list_filter(ci, lambda c: c.class_name = l.class_name)[1].class_id end, -1) as class_id, {_TEXT} as t from l),
+r as (select *, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings from c),
+g as (select project_key, file_pos, label_pos, class_id, unnest(rings) as ring, unnest(range(len(rings))) as ring_pos from r where len(rings) > 0)
+select project_key, file_pos::int as file_pos, label_pos::int as label_pos, ring_pos::int as ring_pos, len(ring)::int as n_points, class_id from g
+union all select project_key, file_pos::int, label_pos::int, -1, 0, class_id from r where rings is null or len(rings) = 0
+union all select project_key, file_pos::int, -1, -1, 0, -1 from f where coalesce(len(f.label_data_list), 0) = 0
+union all select project_key, -1, -1, -1, 0, -1 from i where coalesce(len(fs), 0) = 0"""
+
+ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
