@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlens.functions.columns import set_aside
 from weftlens.functions.visual import shape_of, visual_form
 
 _TOKEN = re.compile(r"[0-9 !-/:-@\[-`{-~]+|[^0-9 !-/:-@\[-`{-~]+")
@@ -97,8 +98,10 @@ def canonical_texts(texts: DataFrame, text: str, spellings: dict[str, int], out:
 
     Null stays null, '' stays ''. Printable ASCII is never changed where
     ``budget`` is 0. Whole texts, in Arrow batches; tokens are looked up once a
-    batch.
+    batch. A column that is called ``out`` already gets ``_in`` after its name.
     """
+    texts, name = set_aside(texts, [out])
+    text = name(text)
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(spellings)
     schema = texts.withColumn(out, F.lit("")).schema

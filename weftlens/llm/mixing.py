@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftlens.functions.columns import set_aside
+
 #: Hash buckets of a text selection: a window sorts one bucket at a time.
 BUCKETS = 4096
 #: Sources that may be mixed at once; bounds the membership patterns.
@@ -27,6 +29,8 @@ MOST_SOURCES = 16
 
 def with_token_counts(documents: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
     """``documents`` with ``n_tokens`` of the rank file ``tokenizer`` (a path every executor can read); null and blank texts count 0."""
+    documents, name = set_aside(documents, ["n_tokens"])
+    text = name("text")
     schema = documents.withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +39,7 @@ def with_token_counts(documents: DataFrame, tokenizer: str, pattern: str) -> Dat
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(tokenizer).read_bytes().splitlines() if line)}
         encoding = tiktoken.Encoding(Path(tokenizer).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            sizes = [len(encoding.encode_ordinary(t)) if isinstance(t, str) and t.strip() else 0 for t in batch["text"]]
+            sizes = [len(encoding.encode_ordinary(t)) if isinstance(t, str) and t.strip() else 0 for t in batch[text]]
             yield batch.assign(n_tokens=pd.Series(sizes, index=batch.index, dtype="int64"))
 
     return documents.mapInPandas(count, schema)
