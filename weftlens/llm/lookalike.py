@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftlens.functions.columns import set_aside
 from weftlens.functions.visual import shape_of, visual_form
@@ -104,7 +105,7 @@ def canonical_texts(texts: DataFrame, text: str, spellings: dict[str, int], out:
     text = name(text)
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(spellings)
-    schema = texts.withColumn(out, F.lit("")).schema
+    schema = T.StructType([*texts.schema.fields, T.StructField(out, T.StringType())])
     tries: dict[str, SpellingTrie] = {}
 
     def canonical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftlens.functions.columns import set_aside
+from weftlens.session import cut
 
 #: Hash buckets of a text selection: a window sorts one bucket at a time.
 BUCKETS = 4096
@@ -109,8 +110,8 @@ def mix_selection(documents: DataFrame, targets: DataFrame, total_tokens: int, s
     if not listed:
         return empty
     used = documents.filter(F.col("source").isin(*listed) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens", F.xxhash64("text").alias("text_id"))
-    # Of copies within a source the smallest id stands for the text there.
-    held = used.groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
+    # Of copies within a source the smallest id stands for the text there. Written once: texts are counted in tokens once.
+    held = cut(used.groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")))
     texts = held.groupBy("text_id").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.max("n_tokens").alias("n_tokens"))
     texts = texts.withColumns({"order": F.xxhash64(F.lit(seed), "text_id"), "pattern_key": F.array_join("pattern", "\u0001")})
     texts = texts.withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))

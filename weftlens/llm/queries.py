@@ -10,7 +10,7 @@ from weftlens.sources.tables import read_table
 from .leak import find_leaks
 from .lookalike import alike_pairs, vocabulary
 from .mixing import default_tokenizer, mix_report, mix_selection, with_token_counts
-from .overlap import cross_split_overlaps, overlap_report, split_records
+from .overlap import EVALUATION, TRAINING, cross_split_overlaps, overlap_report, split_records
 from .residue import residue_documents
 
 
@@ -67,4 +67,18 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_selection": p9_selection, "p10_found": p10_found}
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_RUNS = "select distinct {0}, array_to_string(w[k:k + {1}], ' ') as g from (select {0}, w, unnest(range(1, len(w) - {1} + 1)) as k from {2})"
+_ROLE = "len(list_filter(s, lambda x: regexp_replace(lower(x.split_type), '[\s_-]+', '', 'g') in ({0}))) > 0"
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"""
+with f as (select file_uid, any_value(remark) as t, any_value(split_sets) as s from project_files group by 1), r as (select file_uid, {_WORDS.format("t")} as w, {_ROLE.format(_IN(TRAINING))} as tr, {_ROLE.format(_IN(EVALUATION))} as ev from f where t is not null),
+g as ({_RUNS.format("file_uid", 2, "r")}), n as (select file_uid, count(*) as n from g group by 1),
+c as (select a.file_uid as x, b.file_uid as y, count(*) as c from g a join g b using (g) where a.file_uid < b.file_uid group by all)
+select x as file_uid_a, y as file_uid_b from c join n a on a.file_uid = x join n b on b.file_uid = y join r p on p.file_uid = x join r q on q.file_uid = y where (p.tr and q.ev or p.ev and q.tr) and c.c >= 0.6 * (a.n + b.n - c.c) - 1e-9""",
+    "p8_found": f"""
+with i as (select item_id, {_WORDS.format("item_text")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
+ig as ({_RUNS.format("item_id", 11, "i")}), dg as ({_RUNS.format("doc_id", 11, "d")}) select distinct item_id, doc_id from ig join dg using (g)""",
+}
