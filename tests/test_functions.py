@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from weftlens.functions import codes, geometry, paths
 from weftlens.functions.visual import visual_form
 from weftlens.operators.images import probe, verify_images
-from weftlens.operators.matching import suffix_match
-from weftlens.operators.naming import reindex, unique_names
+from weftlens.operators.matching import merge_selections, resolve_images, suffix_match
+from weftlens.operators.naming import reindex, running_ids, unique_names
 from weftlens.sinks.projects import write_archives, write_v1
 from weftlens.sources import v1_xml
 from weftlens.sources.archives import entry_code, read_archives
@@ -74,6 +74,30 @@ def test_names(spark):
     assert {(r["n"], r["new_index"]) for r in again.collect()} == {("x", 1), ("y", 0), ("p", 0), ("q", 1)}
 
 
+def test_running_ids(spark):
+    rows = spark.createDataFrame([("hot", i, i % 7) for i in range(500)] + [(f"s{i % 9}", 1000 + i, i) for i in range(60)] + [(None, 5000, 1), (None, 5001, 0)], "s string, id int, o int")
+    found = running_ids(rows, "s", ["o", "id"], F.lit(100), "n").collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["s"], []).append((r["o"], r["id"], r["n"]))
+    assert len(found) == 562 and all([n for *_, n in sorted(g)] == list(range(100, 100 + len(g))) for g in groups.values())
+
+
+def test_resolve_images_and_selections(spark):
+    files = spark.createDataFrame([(1, 0, "archive", "a"), (1, 1, "archive", "b"), (1, 2, "external", None), (1, 3, "external", None), (1, 4, "external", None)], "scope int, file_index int, kind string, entry_name string")
+    matches = spark.createDataFrame([(1, 2, "matched", 7), (1, 3, "ambiguous", None), (1, 4, "missing", None)], "scope int, ref_id int, status string, cand_id int")
+    found = {r["file_index"]: r["issue"] for r in resolve_images(files, spark.createDataFrame([(1, "a"), (1, "a")], "scope int, entry_name string"), matches).collect()}
+    assert found == {0: None, 1: "ARCHIVE_ENTRY_MISSING", 2: None, 3: "EXTERNAL_IMAGE_AMBIGUOUS", 4: "EXTERNAL_IMAGE_NOT_SELECTED"}
+    one, two = spark.createDataFrame([(1, "x/a.png"), (2, "x/Thumbs.db")], "id int, path string"), spark.createDataFrame([(1, "y/a.png"), (3, "y/b.png")], "id int, path string")
+    assert {tuple(r) for r in merge_selections([one, two]).collect()} == {(1, "x/a.png"), (3, "y/b.png")}
+
+
+def test_external_paths(spark):
+    rows = [("..\\img\\a.png", "C:\\p\\q", "C:/p/img/a.png"), ("file:///D:/a%20b/c.png", "", "D:/a b/c.png"), ("\\\\nas\\share\\x", "", "//nas/share/x"), ("/a/./b/../c", "", "/a/c"), ("x/y", "/base", "/base/x/y"), ("../../../x", "/a", None), ("C:x", "/a", None), ("//nas", "", None), ("", "/a", None), (None, "/a", None), ("a/b", None, "a/b"), ('"/q/r"', "", "/q/r"), ("file://nas/s/x.png", "", "//nas/s/x.png")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, b string, e string")
+    assert [tuple(r) for r in df.orderBy("i").select(paths.external_path(F.col("p"), F.col("b")), "e").collect()] == [(r[2], r[2]) for r in rows]
+
+
 PNG = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + struct.pack(">II", 40, 30)
 HEADERS = [
     (PNG, ("png", 40, 30, None)), (b"GIF89a" + struct.pack("<HH", 5, 6), ("gif", 5, 6, None)), (b"BM" + b"\0" * 12 + struct.pack("<Iii", 40, 7, -8), ("bmp", 7, 8, None)), (b"BM" + b"\0" * 12 + struct.pack("<IHH", 12, 7, 8), ("bmp", 7, 8, None)),

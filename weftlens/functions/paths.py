@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -149,3 +151,65 @@ def safe_file_name(name: Column) -> Column:
     """Control and forbidden characters to ``_``, no dots or blanks at the end, reserved names prefixed, never empty."""
     clean = F.regexp_replace(F.regexp_replace(name, r'[\x00-\x1f\x7f<>:"|?*\\/]', "_"), r"[. ]+$", "")
     return F.when(clean == "", "_").when(clean.rlike(RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+
+
+def resolve_external(path: str | None, base: str | None) -> str | None:
+    """A path against a base folder as drive, share, rooted or relative path; null where it has no meaning.
+
+    No meaning have null and empty paths, drives without a slash, shares
+    without a name, paths that climb above their root, and segments with
+    characters that Windows forbids.
+    """
+    def parts(text: str | None) -> tuple[str, list[str]] | None:
+        text = (text or "").strip()
+        if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+            text = text[1:-1].strip()
+        if re.match(r"(?i)file://", text):
+            text = unquote(text[7:])
+            text = text[1:] if re.match(r"(?i)/[a-z]:", text) else text if text.startswith("/") else "//" + text
+        text = text.replace("\\", "/")
+        share = re.match(r"//([^/]+)/+([^/]+)(?:/|$)(.*)", text)
+        drive = re.match(r"(?i)([a-z]:)/(.*)", text)
+        if share:
+            return f"//{share[1]}/{share[2]}/", share[3].split("/")
+        if text.startswith("//") or re.match(r"(?i)[a-z]:", text) and not drive:
+            return None
+        if drive:
+            return drive[1] + "/", drive[2].split("/")
+        return ("/", text[1:].split("/")) if text.startswith("/") else ("", text.split("/"))
+
+    if path is None or not path.strip():
+        return None
+    own = parts(path)
+    if own is None:
+        return None
+    root, names = own
+    if not root and base:
+        below = parts(base)
+        if below is None:
+            return None
+        root, names = below[0], [*below[1], *names]
+    kept: list[str] = []
+    for name in names:
+        if name in ("", "."):
+            continue
+        if name == "..":
+            if not kept:
+                return None
+            kept.pop()
+        elif re.search(r'[<>:"|?*]', name):
+            return None
+        else:
+            kept.append(name)
+    return root + "/".join(kept)
+
+
+@F.pandas_udf(T.StringType())
+def _external(path: pd.Series, base: pd.Series) -> pd.Series:
+    none = lambda s: s.astype(object).where(s.notna(), None)
+    return pd.Series([resolve_external(p, b) for p, b in zip(none(path), none(base))], dtype=object)
+
+
+def external_path(path: Column, base: Column) -> Column:
+    """``resolve_external`` in Arrow batches: climbing segments need a stack, which expressions don't have."""
+    return _external(path, base)

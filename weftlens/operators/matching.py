@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import path_key, segments
+from ..functions.paths import SYSTEM_FILES, last_segment, path_key, segments, slash_form
 
 
 def _suffixes(parts: Column) -> Column:
@@ -58,6 +58,39 @@ def bag_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return counts.groupBy(*keys).agg(F.sum("l").alias("left_count"), F.sum("r").alias("right_count")).filter("left_count <> right_count")
 
 
+def resolve_images(files: DataFrame, entries: DataFrame, matches: DataFrame) -> DataFrame:
+    """Where each file's image is: (scope, file_index, source, entry_name, cand_id, issue).
+
+    ``files`` is (scope, file_index, kind, entry_name) with kind ``archive`` or
+    ``external``, ``entries`` (scope, entry_name), ``matches`` the outcome of
+    ``suffix_match`` by ref_id = file_index. Issues: ARCHIVE_ENTRY_MISSING,
+    EXTERNAL_IMAGE_NOT_SELECTED, EXTERNAL_IMAGE_AMBIGUOUS; null where the image is there.
+    """
+    there = entries.select("scope", "entry_name").distinct().withColumn("__there", F.lit(True))
+    chosen = matches.select("scope", F.col("ref_id").alias("file_index"), "status", "cand_id")
+    both = files.join(there, ["scope", "entry_name"], "left").join(chosen, ["scope", "file_index"], "left")
+    packed = F.col("kind") == "archive"
+    issue = (
+        F.when(packed & F.col("__there").isNull(), "ARCHIVE_ENTRY_MISSING")
+        .when(~packed & (F.col("status") == "ambiguous"), "EXTERNAL_IMAGE_AMBIGUOUS")
+        .when(~packed & ~F.coalesce(F.col("status") == "matched", F.lit(False)), "EXTERNAL_IMAGE_NOT_SELECTED")
+    )
+    return both.select("scope", "file_index", F.when(packed, "archive").otherwise("external").alias("source"), F.when(packed, F.col("entry_name")).alias("entry_name"), F.when(~packed, F.col("cand_id")).alias("cand_id"), issue.alias("issue"))
+
+
+def merge_selections(selections: list[DataFrame], key: str = "id") -> DataFrame:
+    """Union of selections by name; of rows with the same key the one of the earliest selection stays. System files are left out."""
+    numbered = [s.withColumn("__from", F.lit(i)) for i, s in enumerate(selections)]
+    every = numbered[0]
+    for other in numbered[1:]:
+        every = every.unionByName(other, allowMissingColumns=True)
+    columns = [c for c in every.columns if c != "__from"]
+    if "path" in columns:
+        every = every.filter(~F.coalesce(F.lower(last_segment(slash_form(F.col("path")))).isin(SYSTEM_FILES), F.lit(False)))
+    kept = every.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("__from", *[c for c in columns if c != key])).alias("r"))
+    return kept.select("r.*")
+
+
 def resolve_class(labels: DataFrame) -> DataFrame:
     """Position of the class that a label's references name, of labels (…, class_infos, class_id, class_no, class_name).
 

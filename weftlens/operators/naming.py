@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def reindex(rows: DataFrame, scope: str, declared: str, order: list[str], out: str = "new_index") -> DataFrame:
     """Declared numbers where a scope's are exactly 0..n-1, else positions in order."""
@@ -20,8 +22,21 @@ def reindex(rows: DataFrame, scope: str, declared: str, order: list[str], out: s
 
 
 def running_ids(rows: DataFrame, scope: str, order: list[str], base, out: str) -> DataFrame:
-    """``base`` plus the position in the scope; ``order`` must settle all ties."""
-    return rows.withColumn(out, base + F.row_number().over(Window.partitionBy(scope).orderBy(*order)) - 1)
+    """``base`` plus the position in the scope; ``order`` must settle all ties.
+
+    Rows are range-partitioned by scope and order and numbered part by part, on
+    top of the counts of the parts before: a scope that holds a third of all
+    rows is many tasks. Null scopes are one scope. The partitioning is written
+    once, so a lost task can't draw other bounds.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    ranged = cut(rows.repartitionByRange(parts, scope, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy(F.col(scope).alias("__scope"), F.col("__part").alias("__at")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__scope").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__scope", "__at", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(scope, "__part").orderBy(*order))
+    joined = ranged.withColumn("__row", within).join(before, F.col(scope).eqNullSafe(F.col("__scope")) & (F.col("__part") == F.col("__at")))
+    return joined.withColumn(out, base + F.col("__before") + F.col("__row") - 1).select(*rows.columns, out)
 
 
 def _suffixed(name: str, n: int) -> str:
