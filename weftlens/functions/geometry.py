@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bind
+
 
 def _turned(ring: Column) -> Column:
     """The ring from its second point on, the first at its end."""
@@ -51,17 +53,21 @@ def bounds(rings: Column) -> Column:
 def quantise(ring: Column) -> Column:
     """Whole coordinates, without points that repeat the one before or close the ring."""
     whole = F.transform(ring, lambda p: F.array(round_half_up(p[0]), round_half_up(p[1])))
-    kept = F.filter(whole, lambda p, i: (i == 0) | (p != F.get(whole, i - 1)))
-    closed = (F.size(kept) > 1) & (F.get(kept, F.lit(0)) == F.try_element_at(kept, F.lit(-1)))
-    return F.when(closed, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+
+    def opened(kept: Column) -> Column:
+        closed = (F.size(kept) > 1) & (F.get(kept, F.lit(0)) == F.try_element_at(kept, F.lit(-1)))
+        return F.when(closed, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+
+    return bind(whole, lambda w: bind(F.filter(w, lambda p, i: (i == 0) | (p != F.get(w, i - 1))), opened))
 
 
 def normal_ring(ring: Column, role: Column) -> Column:
     """Quantised ring in the written direction (inner positive, outer negative); null if fewer than three points differ."""
-    whole = quantise(ring)
-    positive = signed_area2(F.transform(whole, lambda p: F.transform(p, lambda x: x.cast("double")))) > 0
-    turned = F.when(positive != (role == "inner"), F.reverse(whole)).otherwise(whole)
-    return F.when(F.size(F.array_distinct(whole)) >= 3, turned)
+    def turned(whole: Column) -> Column:
+        positive = bind(whole.cast("array<array<double>>"), signed_area2) > 0
+        return F.when(F.size(F.array_distinct(whole)) >= 3, F.when(positive != (role == "inner"), F.reverse(whole)).otherwise(whole))
+
+    return bind(quantise(ring), turned)
 
 
 def is_full_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
