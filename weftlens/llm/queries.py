@@ -69,7 +69,7 @@ QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _RUNS = "select distinct {0}, array_to_string(w[k:k + {1}], ' ') as g from (select {0}, w, unnest(range(1, len(w) - {1} + 1)) as k from {2})"
-_ROLE = "len(list_filter(s, lambda x: regexp_replace(lower(x.split_type), '[\s_-]+', '', 'g') in ({0}))) > 0"
+_ROLE = r"len(list_filter(s, lambda x: regexp_replace(lower(x.split_type), '[\s_-]+', '', 'g') in ({0}))) > 0"
 _IN = lambda names: ", ".join(f"'{n}'" for n in names)
 
 ORACLES: dict[str, str] = {
