@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import bind
+
 # Device names that Windows reserves, as a pattern over the stem of a segment.
 RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)"
 # Characters that no Windows segment may have.
@@ -46,19 +48,16 @@ def nfkc_lower(text: Column) -> Column:
 
 def strip_quotes(text: Column) -> Column:
     """Without one pair of equal quotes around it, trimmed inside as well."""
-    text = F.regexp_replace(text, f"^{_EDGE}+|{_EDGE}+$", "")
-    inner = F.regexp_extract(text, r"(?s)^([\"'])(.*)\1$", 2)
-    return F.when(text.rlike(r"(?s)^([\"']).*\1$") & (F.length(text) > 1), F.regexp_replace(inner, f"^{_EDGE}+|{_EDGE}+$", "")).otherwise(text)
+    trim = lambda t: F.regexp_replace(t, f"^{_EDGE}+|{_EDGE}+$", "")
+    quoted = r"(?s)^([\"'])(.*)\1$"
+    return bind(trim(text), lambda t: F.when(t.rlike(quoted), trim(F.regexp_extract(t, quoted, 2))).otherwise(t))
 
 
 def slash_form(text: Column) -> Column:
     """``normalize_path`` but for the Unicode form: it stays inside code generation."""
-    bare = strip_quotes(text)
-    is_url = bare.rlike(r"(?i)^file://")
-    bare = F.regexp_replace(bare, r"(?i)^file://", "")
-    bare = F.when(is_url & bare.rlike(r"(?i)^/[a-z]:[\\/]"), F.substring(bare, 2, 1 << 30)).otherwise(bare)
+    bare = F.regexp_replace(strip_quotes(text), r"(?i)^file://(?:/(?=[a-z]:[\\/]))?", "")
     one = F.regexp_replace(F.translate(bare, "\\", "/"), "/{2,}", "/")
-    return F.when(F.length(one) > 1, F.regexp_replace(one, "/+$", "")).otherwise(one)
+    return F.regexp_replace(one, "(?<=.)/+$", "")
 
 
 def normalize_path(text: Column) -> Column:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bind
 from ..functions.paths import SYSTEM_FILES, last_segment, path_key, segments, slash_form
 
 
 def _suffixes(parts: Column) -> Column:
     """(depth, hash of the last ``depth`` segments) for every depth: 12 bytes each however long the path is."""
-    depths = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
-    return F.transform(depths, lambda d: F.struct(d.alias("depth"), F.xxhash64(F.array_join(F.slice(parts, -d, d), "/")).alias("suffix")))
+    def hashed(p: Column) -> Column:
+        depths = F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p))).otherwise(F.array().cast("array<int>"))
+        return F.transform(depths, lambda d: F.struct(d.alias("depth"), F.xxhash64(F.array_join(F.slice(p, -d, d), "/")).alias("suffix")))
+
+    return bind(parts, hashed)
 
 
 def suffix_match(references: DataFrame, candidates: DataFrame) -> DataFrame:
