@@ -70,6 +70,16 @@ def test_mix_of_nothing(mixed):
     assert mix_selection(docs.limit(0), targets, 100).count() == 0 and mix_selection(docs, targets.limit(0), 100).count() == 0
 
 
+def test_copies_are_documents_of_their_own(spark):
+    rows = [(i, "same", "a", 10) for i in range(1, 5)] + [(5, "same", "b", 10), (6, "other", "a", 10), (6, "other", "a", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 5.0, 1), ("b", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    picked = lambda total: {(r["doc_id"], r["source"], r["repeats"]) for r in mix_selection(docs, targets, total).collect()}
+    assert picked(60) == picked(600) == {(i, "a", 1) for i in (1, 2, 3, 4, 6)} | {(5, "b", 1)}
+    assert {d for d, s, _ in picked(24) if s == "a"} == {1, 6}  # before copies, the texts not used yet
+    assert route({("a", "b"): 10}, {"a": 100, "b": 100}, {"a": 1, "b": 1}, {(("a", "b"), "a"): 40, (("a", "b"), "b"): 10}) == {(("a", "b"), "a"): 40, (("a", "b"), "b"): 10}
+
+
 def test_token_counts(spark):
     path, pattern = default_tokenizer(spark)
     df = spark.createDataFrame([(1, "Hello world", 7), (2, None, 7), (3, " ", 7)], "doc_id long, text string, n_tokens long")

@@ -1,11 +1,12 @@
 """Mixing sources to target weights (problem 9).
 
-Texts that stand in several sources under different ids are one text with a
-membership pattern. Patterns are aggregated to their size in tokens (at most
-2^sources - 1 rows, whatever the corpus), and a min-cost flow routes their
-capacity to the source quotas: the r-th use of a text costs r - 1, so nothing
-is repeated before everything has been used that could serve instead. Seeded
-documents are then selected to each flow, by hash, without sorting the corpus.
+Texts that stand in several sources under different ids have a membership
+pattern. Patterns are aggregated to their size in tokens (at most 2^sources - 1
+patterns, whatever the corpus), and a min-cost flow routes what their documents
+hold in each source to the source quotas: the r-th use of a text costs r - 1,
+so nothing is repeated before everything has been used that could serve
+instead. Seeded documents are then selected to each flow, by hash, without
+sorting the corpus; of copies within a source one comes before the others.
 """
 
 from __future__ import annotations
@@ -46,12 +47,14 @@ def with_token_counts(documents: DataFrame, tokenizer: str, pattern: str) -> Dat
     return documents.mapInPandas(count, schema)
 
 
-def route(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats: dict[str, int]) -> dict[tuple[tuple[str, ...], str], int]:
+def route(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats: dict[str, int], held: dict[tuple[tuple[str, ...], str], int] | None = None) -> dict[tuple[tuple[str, ...], str], int]:
     """Tokens from each pattern to each of its sources: min-cost flow by successive shortest paths.
 
-    A pattern with capacity T offers T tokens at cost 0, T at cost 1 and so on
-    up to the largest ``repeats`` of its sources; a source draws at most
-    ``repeats`` times T from it, and its quota in all.
+    A pattern whose texts have T tokens offers T at cost 0, T at cost 1 and so
+    on up to the largest ``repeats`` of its sources, and what its documents
+    hold beyond that at the cost after; a source draws at most ``repeats``
+    times what it has ``held`` of the pattern (T if not given), and its quota
+    in all.
     """
     patterns, sources = sorted(p for p in capacity if capacity[p] > 0), sorted(quota)
     arcs: list[list[int]] = []
@@ -64,11 +67,14 @@ def route(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats:
 
     at: dict = {}
     for p in patterns:
-        for r in range(max((repeats[s] for s in p), default=0)):
+        most = max((repeats[s] for s in p), default=0)
+        rooms = {s: repeats[s] * (held or {}).get((p, s), capacity[p]) for s in p}
+        for r in range(most):
             arc("from", ("p", p), capacity[p], r)
-        for s in p:
+        arc("from", ("p", p), max(0, sum(rooms.values()) - most * capacity[p]), most)
+        for s, room in rooms.items():
             at[p, s] = len(arcs)
-            arc(("p", p), ("s", s), repeats[s] * capacity[p], 0)
+            arc(("p", p), ("s", s), room, 0)
     for s in sources:
         arc(("s", s), "to", quota[s], 0)
     while True:
@@ -110,30 +116,34 @@ def mix_selection(documents: DataFrame, targets: DataFrame, total_tokens: int, s
     if not listed:
         return empty
     used = documents.filter(F.col("source").isin(*listed) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens", F.xxhash64("text").alias("text_id"))
-    # Of copies within a source the smallest id stands for the text there. Written once: texts are counted in tokens once.
-    held = cut(used.groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")))
-    texts = held.groupBy("text_id").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.max("n_tokens").alias("n_tokens"))
-    texts = texts.withColumns({"order": F.xxhash64(F.lit(seed), "text_id"), "pattern_key": F.array_join("pattern", "\u0001")})
-    texts = texts.withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
-    sizes = texts.groupBy("pattern_key", "bucket").agg(F.sum("n_tokens").alias("tokens"))
-    capacity = {tuple(r["pattern_key"].split("\u0001")): int(r["t"]) for r in sizes.groupBy("pattern_key").agg(F.sum("tokens").alias("t")).collect()}
+    # Repeated rows of a document in a source count once. Written once: texts are counted in tokens once.
+    held = cut(used.groupBy("doc_id", "source").agg(F.min_by(F.struct("text_id", "n_tokens"), "text_id").alias("t")).select("doc_id", "source", "t.*"))
+    texts = held.groupBy("text_id").agg(F.array_join(F.array_sort(F.collect_set("source")), "\u0001").alias("pattern_key"), F.max("n_tokens").alias("text_tokens"))
+    first = held.groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", F.lit(0).alias("copy"))
+    placed = held.join(first, ["doc_id", "source"], "left").fillna(1, ["copy"]).join(texts.drop("text_tokens"), "text_id")
+    # Copies are ordered by their own hashes: many of one text don't meet in one bucket.
+    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), F.when(F.col("copy") == 0, F.col("text_id")).otherwise(F.col("doc_id"))))
+    placed = placed.withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
+    key = ["pattern_key", "source", "copy", "bucket"]
+    sizes = placed.groupBy(*key).agg(F.sum("n_tokens").alias("tokens"))
+    names = lambda k: tuple(k.split("\u0001"))
+    capacity = {names(r["pattern_key"]): int(r["t"]) for r in texts.groupBy("pattern_key").agg(F.sum("text_tokens").alias("t")).collect()}
+    in_source = {(names(r["pattern_key"]), r["source"]): int(r["t"]) for r in sizes.groupBy("pattern_key", "source").agg(F.sum("tokens").alias("t")).collect()}
     quota = {s: round(total_tokens * w / total) for s, (w, _) in listed.items()}
-    flows = route(capacity, quota, {s: n for s, (_, n) in listed.items()})
-    rows = [("\u0001".join(p), s, f // capacity[p], f % capacity[p]) for (p, s), f in flows.items()]
+    flows = route(capacity, quota, {s: n for s, (_, n) in listed.items()}, in_source)
+    rows = [("\u0001".join(p), s, f // in_source[p, s], f % in_source[p, s]) for (p, s), f in flows.items()]
     plan = F.broadcast(spark.createDataFrame(rows, "pattern_key string, source string, every long, part long")) if rows else None  # at most 2^16 patterns by 16 sources; as many as the corpus has
     if plan is None:
         return empty
     # Each pattern and source starts at its own place in the order, so that sources don't all take the same texts once more.
-    place = Window.partitionBy("pattern_key", "source").orderBy("turned").rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy("pattern_key", "source").orderBy("copy", "turned").rowsBetween(Window.unboundedPreceding, -1)
     start = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(BUCKETS)).cast("int")
-    buckets = sizes.join(plan, "pattern_key").withColumn("turned", F.pmod(F.col("bucket") - start, F.lit(BUCKETS)))
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("tokens").over(place), F.lit(0))).select("pattern_key", "source", "bucket", "every", "part", "before")
-    within = Window.partitionBy("pattern_key", "source", "bucket").orderBy("order", "text_id").rowsBetween(Window.unboundedPreceding, -1)
-    picked = texts.join(buckets, ["pattern_key", "bucket"])
+    buckets = sizes.join(plan, ["pattern_key", "source"]).withColumn("turned", F.pmod(F.col("bucket") - start, F.lit(BUCKETS)))
+    buckets = buckets.withColumn("before", F.coalesce(F.sum("tokens").over(place), F.lit(0))).select(*key, "every", "part", "before")
+    within = Window.partitionBy(*key).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    picked = placed.join(buckets, key)
     once_more = (F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)) < F.col("part")).cast("long")
-    counts = picked.withColumn("repeats", (F.col("every") + once_more).cast("int")).filter("repeats > 0").select("text_id", "source", "repeats")
-    limit = F.create_map(*[F.lit(x) for s, (_, n) in listed.items() for x in (s, n)])
-    return counts.join(held, ["text_id", "source"]).select("doc_id", "source", "n_tokens", F.least("repeats", F.element_at(limit, F.col("source"))).cast("int").alias("repeats"))
+    return picked.withColumn("repeats", (F.col("every") + once_more).cast("int")).filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
 
 
 def mix_report(selection: DataFrame, targets: DataFrame) -> DataFrame:
