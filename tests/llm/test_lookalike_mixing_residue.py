@@ -8,7 +8,7 @@ from weftlens.functions.visual import visual_form
 from weftlens.llm import residue_seeds as seeds
 from weftlens.llm.lookalike import SpellingTrie, alike_pairs, canonical_texts, vocabulary
 from weftlens.llm.mixing import default_tokenizer, mix_report, mix_selection, route, with_token_counts
-from weftlens.llm.residue import ResidueModels, find_residue, residue_documents
+from weftlens.llm.residue import ResidueModels, find_residue, fit_models, residue_documents
 
 
 def test_trie_agrees_with_the_table_at_no_cost():
@@ -126,3 +126,14 @@ def test_residue_documents(spark, models):
     assert {r["doc_id"] for r in residue_documents(df, models=models, least_coverage=0.5).collect()} == {5, 7}
     assert find_residue(df, models=models).filter("doc_id = 6").first()["start"] == len(PROSE[0]) * 20_000 + 1
     assert residue_documents(df.limit(0)).count() == 0
+
+
+def test_natural_prose_is_counted_over_all_documents(spark, models):
+    # More documents than the sample that was, one of them long; the script of the last is nowhere else.
+    rows = [(i, PROSE[i % 3]) for i in range(3500)] + [(5000, (PROSE[4] + "\n") * 900 + "The last line of a long one."), (5001, None), (5002, "この輪は外側から描いてください")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, here = fit_models(df).natural, ResidueModels([t for _, t in rows if t]).natural
+    assert whole.total == here.total and all((a == b).all() for a, b in zip(whole.tables, here.tables))
+    assert whole.total > sum(len(t) for _, t in rows[:3500])
+    for text in ["この輪は外側から描いてください", "Внешнее кольцо рисуют первым", "วาดวงแหวนด้านนอกก่อน"]:  # unseen by every model
+        assert models.windows([text, f"{PROSE[0]}\n{text}"], 8.0) == [[], []]

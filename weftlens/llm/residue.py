@@ -11,18 +11,27 @@ quotation marks. A document's coverage is its share of residue.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlens.session import default_parallelism
+
 from . import residue_seeds as seeds
 
 ORDER = 5
+#: Bits of a table place; no model has larger tables.
+SLOT_BITS = 21
 #: Mean log-probability of a character above which a residue model foretells a sentence of the sample.
 FORETOLD = -2.0
+#: Share of every model's probability that all characters have alike: what none has seen speaks for none.
+UNSEEN = 0.05
+#: Table places in one row of summed counts.
+ROW = 1 << 16
 #: Letters that a merged window of sentences has at least.
 LEAST_LETTERS = 6
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -39,17 +48,14 @@ class NgramModel:
 
     def __init__(self, bits: int, strength: float = 1.0, alphabet: int = 4000):
         self.bits, self.strength, self.alphabet = bits, strength, alphabet
-        self.tables = [np.zeros(1 << bits, np.float32) for _ in range(ORDER)]
+        self.tables = [np.zeros(1 << bits) for _ in range(ORDER)]
         self.total = 0.0
 
-    def slots(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Table places of the n-grams that end at each character from the fifth on, for orders 1 to 5."""
-        shift, h, out, n = np.uint64(64 - self.bits), np.zeros(len(codes) - ORDER + 1, np.uint64), [], len(codes)
-        for k in range(ORDER):
-            part = codes[ORDER - 1 - k : n - k].astype(np.uint64) + np.uint64(1)
-            h = h + part * (_MULT ** np.uint64(k + 1) | np.uint64(1))
-            out.append(((h * _MULT) >> shift).astype(np.int64))
-        return out
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": [zlib.compress(t.astype(np.float32).tobytes(), 1) for t in self.tables]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"tables": [np.frombuffer(zlib.decompress(t), np.float32) for t in state["tables"]]}
 
     def add(self, texts: list[str], weight: float = 1.0) -> None:
         """Counts the texts, each from its own start."""
@@ -59,23 +65,23 @@ class NgramModel:
         own = np.zeros(len(codes) - ORDER + 1, bool)
         for s, e in bounds:
             own[s:e] = True
-        for table, at in zip(self.tables, self.slots(codes)):
-            table += (weight * np.bincount(at[own], minlength=len(table))).astype(np.float32)
+        for table, at in zip(self.tables, slots(codes)):
+            table += weight * np.bincount(at[own] >> (SLOT_BITS - self.bits), minlength=len(table))
         self.total += weight * float(own.sum())
 
-    def log_prob(self, codes: np.ndarray) -> np.ndarray:
+    def log_prob(self, slots: list[np.ndarray]) -> np.ndarray:
         """Log-probability of each character after the four before it."""
-        at, kappa = self.slots(codes), self.strength
-        p = (self.tables[0][at[0]] + 0.1) / (self.total + 0.1 * self.alphabet)
+        at, kappa = [x >> (SLOT_BITS - self.bits) for x in slots], self.strength
+        p = self.tables[0][at[0]] / max(self.total, 1.0)
         for k in (2, 4):
             before = np.concatenate([at[k - 1][:1], at[k - 1][:-1]])
             context = self.tables[k - 1][before]
             p = (np.minimum(self.tables[k][at[k]], context) + kappa * p) / (context + kappa)
-        return np.log(p)
+        return np.log((1 - UNSEEN) * p + UNSEEN / self.alphabet)
 
-    def sums(self, codes: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    def sums(self, slots: list[np.ndarray], bounds: list[tuple[int, int]]) -> np.ndarray:
         """Log-probability of each text of ``encode_all``."""
-        total = np.concatenate([[0.0], np.cumsum(self.log_prob(codes), dtype=np.float64)])
+        total = np.concatenate([[0.0], np.cumsum(self.log_prob(slots), dtype=np.float64)])
         ends = np.asarray(bounds, np.int64).reshape(-1, 2)
         return total[ends[:, 1]] - total[ends[:, 0]]
 
@@ -101,6 +107,16 @@ def encode_all(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return codes, bounds
 
 
+def slots(codes: np.ndarray) -> list[np.ndarray]:
+    """Table places of the n-grams that end at each character from the fifth on, for orders 1 to 5, in tables of 2^SLOT_BITS; smaller tables take their first bits."""
+    shift, h, out, n = np.uint64(64 - SLOT_BITS), np.zeros(len(codes) - ORDER + 1, np.uint64), [], len(codes)
+    for k in range(ORDER):
+        part = codes[ORDER - 1 - k : n - k].astype(np.uint64) + np.uint64(1)
+        h = h + part * (_MULT ** np.uint64(k + 1) | np.uint64(1))
+        out.append(((h * _MULT) >> shift).astype(np.int64))
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of each sentence or line, without the blanks at its ends.
 
@@ -125,7 +141,7 @@ def _quoted(text: str, a: int, b: int) -> bool:
 class ResidueModels:
     """Models of filler, notices, instructions and natural prose."""
 
-    def __init__(self, natural: list[str], bits: int = 21, seed_bits: int = 17):
+    def __init__(self, natural: list[str], bits: int = SLOT_BITS, seed_bits: int = 17):
         self.residue = {kind: NgramModel(seed_bits, 0.2) for kind in ("notice", "filler", "instruction", "placeholder")}
         words = seeds.FILLER_WORDS
         orders = [" ".join(words[(i * step) % len(words)] for i in range(len(words))) for step in (1, 5, 7, 11, 13, 17, 19)]
@@ -133,28 +149,33 @@ class ResidueModels:
         self.residue["filler"].add(orders + seeds.FILLERS + [" ".join([w] * 8) for w in seeds.FILLER_KEYS])
         self.residue["instruction"].add(seeds.INSTRUCTIONS)
         self.residue["placeholder"].add([f"{a}{pad}{name}{pad}{b}" for a, b in seeds.PLACEHOLDER_MARKS for name in seeds.PLACEHOLDER_NAMES for pad in ("", " ")])
-        self.bits = bits
-        parts = [part for text in natural for part in [text[a:b] for a, b in sentences(_MARKED.sub(" ", text))]]
-        # Sentences of the sample that a residue model foretells well are no natural prose. Their ratio couldn't tell: a
-        # model fitted on them foretells them too.
-        clean = [p for p, fit in zip(parts, self._foretold(parts)) if fit < FORETOLD]
-        self.natural = self._natural(clean)
-        self.natural = self._natural([p for p in clean if not self._has_instruction(p)])
+        self.natural = NgramModel(bits, 1.0)
+        self.natural.add(seeds.ABOUT, 3.0)
+        self.natural.add(self.prose(natural))
+        self.natural.add(self.instructed(natural), -1.0)
+
+    def prose(self, texts: list[str]) -> list[str]:
+        """The sentences that count as natural prose.
+
+        What a residue model foretells well doesn't. Its ratio couldn't tell: a
+        model fitted on it foretells it too.
+        """
+        parts = [part for text in texts for part in [text[a:b] for a, b in sentences(_MARKED.sub(" ", text))]]
+        return [p for p, fit in zip(parts, self._foretold(parts)) if fit < FORETOLD]
+
+    def instructed(self, texts: list[str]) -> list[str]:
+        """Of ``prose``, the sentences with an instruction by the counts of all: they don't count after all."""
+        return [p for p in self.prose([t for t in texts if _SLOT.search(t)]) if self._has_instruction(p)]
 
     def _foretold(self, parts: list[str]) -> np.ndarray:
         """Mean log-probability of a character of each text under its best residue model."""
         if not parts:
             return np.zeros(0)
         codes, bounds = encode_all(parts)
-        best = np.stack([self.residue[k].sums(codes, bounds) for k in ("notice", "filler", "instruction")]).max(0)
+        at = slots(codes)
+        best = np.stack([self.residue[k].sums(at, bounds) for k in ("notice", "filler", "instruction")]).max(0)
         return best / np.maximum(1, [e - s for s, e in bounds])
 
-    def _natural(self, parts: list[str]) -> NgramModel:
-        model = NgramModel(self.bits, 1.0)
-        model.add(parts)
-        model.add(seeds.ABOUT, 3.0)
-        return model
-
     def _has_instruction(self, part: str) -> bool:
         return any(ratio > 0 for _, ratio in self.ratios(_slots(part), ("instruction",)))
 
@@ -163,8 +184,9 @@ class ResidueModels:
         if not texts:
             return []
         codes, bounds = encode_all(texts)
-        scores = np.stack([self.residue[k].sums(codes, bounds) for k in kinds])
-        best, natural = scores.argmax(0), self.natural.sums(codes, bounds)
+        at = slots(codes)
+        scores = np.stack([self.residue[k].sums(at, bounds) for k in kinds])
+        best, natural = scores.argmax(0), self.natural.sums(at, bounds)
         return [(kinds[k], float(scores[k, i] - natural[i])) for i, k in enumerate(best)]
 
     def windows(self, texts: list[str], sure: float) -> list[list[tuple[str, int, int, float]]]:
@@ -211,14 +233,64 @@ def _slots(text: str) -> list[str]:
     return [m.group() for m in _SLOT.finditer(text) if _wordy(m.group())]
 
 
-def fit_models(documents: DataFrame, sample_documents: int = 3000, longest: int = 20_000) -> ResidueModels:
-    """Models with natural prose from a bounded sample: ``sample_documents`` texts of at most ``longest`` characters, by hash of doc_id.
+def _portions(texts: list[str]) -> Iterator[slice]:
+    """As many texts at once as make a million characters, one at least."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
+            size, to = size + len(texts[to]), to + 1
+        yield slice(at, to)
+        at = to
+
+
+def _counted(documents: DataFrame, models: ResidueModels, chosen: Callable[[ResidueModels, list[str]], list[str]]) -> tuple[list[np.ndarray], float]:
+    """Counts of the chosen parts of all documents, by table place, and their characters.
 
-    Only the fit is on a sample. Sentences of it that already read as residue
-    are left out of natural prose.
+    Tables have a fixed size: each of as many tasks as there are cores sends
+    one set of them, whatever the corpus.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(models)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = NgramModel(shared.value.natural.bits)
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for part in _portions(texts):
+                model.add(chosen(shared.value, texts[part]))
+        for k, table in enumerate([*model.tables, np.full(1, model.total)]):
+            yield pd.DataFrame([(k, i, zlib.compress(table[i : i + ROW].tobytes(), 1)) for i in range(0, len(table), ROW)], columns=["k", "at", "counts"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(c)) for c in rows["counts"])
+        return pd.DataFrame([(rows["k"].iat[0], rows["at"].iat[0], zlib.compress(total.tobytes(), 1))], columns=["k", "at", "counts"])
+
+    schema = "k int, at int, counts binary"
+    texts = documents.select("text").filter("text is not null and trim(text) <> ''").coalesce(default_parallelism(documents.sparkSession))
+    rows = texts.mapInPandas(count, schema).groupBy("k", "at").applyInPandas(added, schema).collect()
+    shared.destroy()
+    tables, total = [np.zeros(1 << models.natural.bits) for _ in range(ORDER)], 0.0
+    for r in rows:
+        counts = np.frombuffer(zlib.decompress(r["counts"]))
+        if r["k"] == ORDER:
+            total = float(counts[0])
+        else:
+            tables[r["k"]][r["at"] : r["at"] + len(counts)] = counts
+    return tables, total
+
+
+def fit_models(documents: DataFrame) -> ResidueModels:
+    """Models with natural prose counted over all documents, whatever their length.
+
+    A second count takes out again what reads as an instruction by the first.
     """
-    some = documents.filter("text is not null and trim(text) <> ''").filter(F.length("text") <= longest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents)
-    return ResidueModels([r["text"] for r in some.select("text").collect()])
+    models = ResidueModels([])
+    for chosen, sign in ((ResidueModels.prose, 1.0), (ResidueModels.instructed, -1.0)):
+        tables, total = _counted(documents, models, chosen)
+        for table, counts in zip(models.natural.tables, tables):
+            table += sign * counts
+        models.natural.total += sign * total
+    return models
 
 
 def find_residue(documents: DataFrame, sure: float = 8.0, models: ResidueModels | None = None) -> DataFrame:
@@ -232,14 +304,10 @@ def find_residue(documents: DataFrame, sure: float = 8.0, models: ResidueModels
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), [t if isinstance(t, str) else "" for t in batch["text"]]
-            rows, at = [], 0
-            while at < len(texts):  # as many texts at once as make a million characters, one at least
-                size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
-                    size, to = size + len(texts[to]), to + 1
-                for i, t, found in zip(ids[at:to], texts[at:to], shared.value.windows(texts[at:to], sure)):
+            rows = []
+            for part in _portions(texts):
+                for i, t, found in zip(ids[part], texts[part], shared.value.windows(texts[part], sure)):
                     rows += [(i, kind, a, b - a, ratio, len(t)) for kind, a, b, ratio in found]
-                at = to
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "length", "ratio", "n_chars"])
 
     return documents.select("doc_id", "text").mapInPandas(scan, "doc_id long, kind string, start int, length int, ratio double, n_chars int")
