@@ -137,3 +137,22 @@ def test_natural_prose_is_counted_over_all_documents(spark, models):
     assert whole.total > sum(len(t) for _, t in rows[:3500])
     for text in ["この輪は外側から描いてください", "Внешнее кольцо рисуют первым", "วาดวงแหวนด้านนอกก่อน"]:  # unseen by every model
         assert models.windows([text, f"{PROSE[0]}\n{text}"], 8.0) == [[], []]
+
+
+WIDE = ["{{ lot number }}", "${user name}", "{{ lot|upper }}", "{{ f() }}", "{{  lot  }}", "{{\n  lot\n}}", "{% if x %}", "{0}", "{{1}}", "%LOT%", "$LOT", "{{ " + "a" * 60 + " }}", "{{ lot | default('none') | upper }}", "{{ 'x'.join(a) }}"]
+
+
+@pytest.mark.parametrize("mark", WIDE)
+def test_marked_spans_of_any_content(models, mark):
+    text = f"{PROSE[0]}\nThe lot {mark} was handed over."
+    assert [x[:3] for x in models.windows([text], 8.0)[0]] == [("placeholder", text.index(mark), text.index(mark) + len(mark))]
+
+
+@pytest.mark.parametrize("text", ['{"x": 236, "y": 3012}', "[[12, 34], [56, 78]]", "{1, 2, 3}", "5% of 10% and 7%", "It cost $5.", "__ and then we went on with it, as before. __", "if (x) { return y; }"])
+def test_marked_data_is_no_placeholder(models, text):
+    assert [x for x in models.windows([f"{PROSE[0]}\n{text}"], 8.0)[0] if x[0] == "placeholder"] == []
+
+
+def test_instructions_without_brackets(models):
+    for text in ["Insert lot number here", "Station: insert lot number here", "Lot: enter description"]:
+        assert "instruction" in {x[0] for x in models.windows([f"{PROSE[0]}\n{text}\n{PROSE[1]}"], 8.0)[0]}

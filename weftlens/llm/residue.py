@@ -36,11 +36,18 @@ ROW = 1 << 16
 LEAST_LETTERS = 6
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STOP = re.compile(r"[.!?。！？]+[ \t]*|\n\s*")
-_NAME = r"[^\W\d_][\w.\-]{0,39}"
-_MARKED = re.compile("|".join(f"{re.escape(a)} ?{_NAME} ?{re.escape(b)}" for a, b in sorted(seeds.PLACEHOLDER_MARKS, key=lambda m: -len(m[0]))))
+#: Every span from an opening mark to its closing mark, whatever stands between; a further opening mark starts anew.
+_MARKED = re.compile(
+    "|".join(
+        [rf"(?<!_)__(?=[^\s_])(?:(?!__).)+(?<=[^\s_])__(?!_)" if a == "__" else f"{re.escape(a)}(?:(?!{re.escape(a)}|{re.escape(b)}).)+{re.escape(b)}" for a, b in sorted(seeds.PLACEHOLDER_MARKS, key=lambda m: -len(m[0]))]
+        + [r"(?<![\w%])%[^\W\d]\w*%(?![\w%])", r"(?<![\w$])\$[^\W\d]\w+\b(?!\$)"]
+    ),
+    re.DOTALL,
+)
 _SLOT = re.compile(
-    r"\[[^\[\]\n]{2,60}\]|<[^<>\n]{3,60}>|\([^()\n]{3,60}\)|（[^（）\n]{2,60}）|【[^【】\n]{2,60}】|_{4,}(?: ?\([^()\n]{3,60}\))?|\bTODO: ?[^\n,.;]{3,60}|\b[XDMTYJ]{2}[/.-][XMDT]{2}[/.-](?:\d{2}XX|[YJ]{4})\b|\d{2}XX ?[年년] ?X{1,2} ?[月월] ?X{1,2} ?[日일]"
+    r"\[[^\[\]]{2,}\]|<[^<>]{3,}>|\([^()]{3,}\)|（[^（）]{2,}）|【[^【】]{2,}】|_{4,}(?: ?\([^()]{3,}\))?|\bTODO: ?[^\n,.;]{3,}|\b[XDMTYJ]{2}[/.-][XMDT]{2}[/.-](?:\d{2}XX|[YJ]{4})\b|\d{2}XX ?[年년] ?X{1,2} ?[月월] ?X{1,2} ?[日일]"
 )
+_VALUE = re.compile(r"^[^\n:：]{1,40}[:：][ \t]*([^\n]+)$", re.MULTILINE)
 
 
 class NgramModel:
@@ -147,8 +154,11 @@ class ResidueModels:
         orders = [" ".join(words[(i * step) % len(words)] for i in range(len(words))) for step in (1, 5, 7, 11, 13, 17, 19)]
         self.residue["notice"].add(seeds.NOTICES)
         self.residue["filler"].add(orders + seeds.FILLERS + [" ".join([w] * 8) for w in seeds.FILLER_KEYS])
-        self.residue["instruction"].add(seeds.INSTRUCTIONS)
-        self.residue["placeholder"].add([f"{a}{pad}{name}{pad}{b}" for a, b in seeds.PLACEHOLDER_MARKS for name in seeds.PLACEHOLDER_NAMES for pad in ("", " ")])
+        self.residue["instruction"].add(seeds.INSTRUCTIONS + [x[1:-1] for x in seeds.INSTRUCTIONS if x[0] in "[<(（【"])
+        self.residue["placeholder"].add([f"{a}{pad}{_shape(inside)}{pad}{b}" for a, b in seeds.PLACEHOLDER_MARKS for inside in seeds.PLACEHOLDER_INSIDES for pad in ("", " ")] + ["%a%", "$a"])
+        self.data = NgramModel(seed_bits, 0.2)
+        self.data.add([_shape(x) for x in seeds.MARKED_DATA])
+        self.known_shapes: dict[str, float] = {}
         self.natural = NgramModel(bits, 1.0)
         self.natural.add(seeds.ABOUT, 3.0)
         self.natural.add(self.prose(natural))
@@ -160,9 +170,31 @@ class ResidueModels:
         What a residue model foretells well doesn't. Its ratio couldn't tell: a
         model fitted on it foretells it too.
         """
-        parts = [part for text in texts for part in [text[a:b] for a, b in sentences(_MARKED.sub(" ", text))]]
+        parts = [part for text in texts for bare in [self.bare(text)] for part in [bare[a:b] for a, b in sentences(bare)]]
         return [p for p, fit in zip(parts, self._foretold(parts)) if fit < FORETOLD]
 
+    def placeholders(self, text: str) -> list[tuple[int, int, float]]:
+        """Start, end and log-likelihood ratio of the marked spans whose shape is more like placeholders than like data."""
+        out, at = [], 0
+        while m := _MARKED.search(text, at):
+            shape = _shape(m.group())
+            if (ratio := self.known_shapes.get(shape)) is None:
+                codes, bounds = encode_all([shape])
+                where = slots(codes)
+                ratio = float(self.residue["placeholder"].sums(where, bounds)[0] - self.data.sums(where, bounds)[0])
+                if len(shape) <= 80 and len(self.known_shapes) < 100_000:
+                    self.known_shapes[shape] = ratio
+            if ratio > 0:
+                out.append((m.start(), m.end(), ratio))
+            at = m.end() if ratio > 0 else m.start() + 1
+        return out
+
+    def bare(self, text: str) -> str:
+        """The text with blanks for its placeholders."""
+        for a, b, _ in self.placeholders(text):
+            text = text[:a] + " " * (b - a) + text[b:]
+        return text
+
     def instructed(self, texts: list[str]) -> list[str]:
         """Of ``prose``, the sentences with an instruction by the counts of all: they don't count after all."""
         return [p for p in self.prose([t for t in texts if _SLOT.search(t)]) if self._has_instruction(p)]
@@ -192,14 +224,15 @@ class ResidueModels:
     def windows(self, texts: list[str], sure: float) -> list[list[tuple[str, int, int, float]]]:
         """(kind, start, end, log-likelihood ratio) of the residue in each text, in order."""
         out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-        marked = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in _MARKED.finditer(t)]
-        slots = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in _SLOT.finditer(_MARKED.sub(lambda m: " " * len(m.group()), t)) if _wordy(m.group())]
-        # Whatever the value is called: the marks decide, so every name reads as the same one.
-        for spans, kind, least in ((marked, "placeholder", 0.0), (slots, "instruction", sure)):
-            for (i, a, b), (_, ratio) in zip(spans, self.ratios([_shape(texts[i][a:b]) for i, a, b in spans], (kind,))):
-                if ratio >= least and not _quoted(texts[i], a, b):
+        for i, t in enumerate(texts):
+            out[i] += [("placeholder", a, b, ratio) for a, b, ratio in self.placeholders(t) if not _quoted(t, a, b)]
+        bare = [self.bare(t) for t in texts]
+        slotted = [(i, m.start(), m.end()) for i, t in enumerate(bare) for m in _SLOT.finditer(t) if _wordy(m.group())]
+        plain = [(i, a, b) for i, t in enumerate(bare) for a, b in sorted({*sentences(t), *(m.span(1) for m in _VALUE.finditer(t))}) if sum(map(str.isalpha, t[a:b])) >= LEAST_LETTERS]
+        for spans, kinds in ((slotted, ("instruction",)), (plain, ("instruction", "notice", "filler"))):
+            for (i, a, b), (kind, ratio) in zip(spans, self.ratios([bare[i][a:b] for i, a, b in spans], kinds)):
+                if kind == "instruction" and ratio >= sure and not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
                     out[i].append((kind, a, b, ratio))
-        bare = [_MARKED.sub(lambda m: " " * len(m.group()), t) for t in texts]
         parts = [(i, a, b) for i, t in enumerate(bare) for a, b in sentences(t)]
         merged: list[list] = []
         last = None
@@ -221,12 +254,8 @@ def _wordy(span: str) -> bool:
 
 
 def _shape(span: str) -> str:
-    """A placeholder with its name replaced by one name for all; other spans as they are."""
-    if not _MARKED.fullmatch(span):
-        return span
-    a, b = next(m for m in sorted(seeds.PLACEHOLDER_MARKS, key=lambda m: -len(m[0])) if span.startswith(m[0]) and span.endswith(m[1]))
-    pad = " " if span[len(a)] == " " else ""
-    return f"{a}{pad}name{pad}{b}"
+    """Whatever the value is called: letters and digits of a name read as one letter, numbers as one digit, blanks as one blank."""
+    return re.sub(r"\s+", " ", re.sub(r"[^\W\d_][\w.\-]*", "a", re.sub(r"\b\d[\d.]*\b", "0", span)) if not span.startswith("__") else f"__{_shape(' ' + span[2:-2])[1:]}__")
 
 
 def _slots(text: str) -> list[str]:

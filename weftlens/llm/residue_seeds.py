@@ -44,7 +44,9 @@ ABOUT = [
 
 # Marks that enclose the name of a value in template languages, opening and closing.
 PLACEHOLDER_MARKS = [("{{", "}}"), ("${", "}"), ("#{", "}"), ("<<", ">>"), ("<%=", "%>"), ("<%", "%>"), ("@@", "@@"), ("%%", "%%"), ("__", "__"), ("[[", "]]"), ("{%", "%}"), ("{", "}")]
-# Names of values, to show the models what stands between the marks.
-PLACEHOLDER_NAMES = ["name", "first_name", "firstName", "class.name", "lotId", "LINE", "date", "report.title", "FILE_COUNT", "customerRef"]
+# What stands between the marks: names, calls, filters, tags with arguments and numbered slots of template languages.
+PLACEHOLDER_INSIDES = ["name", "name", "name", "lot number", "name of user", "name of the user", "a|b", "a | b", "a | b(0)", "a|b:\"c\"", "a | b: 'c'", "a()", "a(b)", "a(b, c)", "a[0]", "a['b']", "a:b", "a:0", "0", "0", "0:a", "if a", "if a == b", "if a == 'b'", "for a in b", "end a", "include 'a'", "#a", "/a", "> a", "a ? b : c", "a or b", "a + b", "-", "a/b", "@a", "_a"]
+# Data, code and prose between the same marks.
+MARKED_DATA = ["{\"a\": 0}", "{\"a\": 0, \"b\": 0}", "{\"a\": \"b\", \"c\": \"d\"}", "{'a': 0, 'b': 'c'}", "{a: 0, b: 0}", "{\"a\": [0, 0]}", "{\"a\":0,\"b\":0}", "{\"a\":\"b\"}", "{0, 0}", "{0, 0, 0}", "{0,0}", "{a, b}", "{a, b, c}", "{ return a; }", "{ a = b; c = d; }", "{\n a: b;\n c: d;\n}", "[[0, 0], [0, 0]]", "[[0,0],[0,0],[0,0]]", "[[0, 0]]", "[[0,0]]", "<<a b c d e f>>", "<< 0 >>", "<<0>>", "__a b c d e f g, a b c d.__", "{a b c d e f g, a b c d e.}", "%% a b c d e f %%", "@@ -0,0 +0,0 @@", "@@ a b c d e, f g. @@", "[[a b c d e f g, a b.]]"]
 # Quotation marks; what stands between them is spoken about, not used.
 QUOTES_OPEN, QUOTES_CLOSE = "`'\"“‘„«‹「『”’", "`'\"”’“»›」』"
