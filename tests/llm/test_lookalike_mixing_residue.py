@@ -156,3 +156,13 @@ def test_marked_data_is_no_placeholder(models, text):
 def test_instructions_without_brackets(models):
     for text in ["Insert lot number here", "Station: insert lot number here", "Lot: enter description"]:
         assert "instruction" in {x[0] for x in models.windows([f"{PROSE[0]}\n{text}\n{PROSE[1]}"], 8.0)[0]}
+
+
+@pytest.mark.parametrize("residue", ["please enable JavaScript in your browser to view this page", "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod"])
+@pytest.mark.parametrize("join", [", ", ": ", " - ", " | "])
+def test_residue_inside_a_longer_line(models, residue, join):
+    prose = " and ".join(p.rstrip(".").replace(". ", ", ") for p in PROSE[:4])
+    for text in (f"{prose}{join}{residue}{join}{prose}", f"{prose} {prose} {prose} {residue} {prose}"):
+        found = models.windows([text], 8.0)[0]
+        a, b = text.index(residue), text.index(residue) + len(residue)
+        assert found and sum(max(0, min(b, y) - max(a, x)) for _, x, y, _ in found) > 0.7 * len(residue) and all(a - 8 <= x < y <= b + 8 for _, x, y, _ in found)

@@ -211,6 +211,15 @@ class ResidueModels:
     def _has_instruction(self, part: str) -> bool:
         return any(ratio > 0 for _, ratio in self.ratios(_slots(part), ("instruction",)))
 
+    def scores(self, texts: list[str]) -> list[tuple[float, float, float]]:
+        """Log-likelihood ratios of each text against natural prose as instruction, notice and filler."""
+        if not texts:
+            return []
+        codes, bounds = encode_all(texts)
+        at = slots(codes)
+        natural = self.natural.sums(at, bounds)
+        return list(zip(*[(self.residue[k].sums(at, bounds) - natural).tolist() for k in ("instruction", "notice", "filler")]))
+
     def ratios(self, texts: list[str], kinds: tuple[str, ...]) -> list[tuple[str, float]]:
         """The best kind of each text and its log-likelihood ratio against natural prose."""
         if not texts:
@@ -221,6 +230,37 @@ class ResidueModels:
         best, natural = scores.argmax(0), self.natural.sums(at, bounds)
         return [(kinds[k], float(scores[k, i] - natural[i])) for i, k in enumerate(best)]
 
+    def segments(self, texts: list[str], sure: float) -> list[tuple[int, str, int, int, float]]:
+        """(text, kind, start, end, log-likelihood ratio) of the best-scoring segments inside each sentence or line, by a running sum of the characters' ratios.
+
+        Natural prose is counted by sentences, so they are scored by them; whole
+        ones next to each other are merged elsewhere. A segment may start and
+        end at any character: its ratio must be above ``sure`` by twice the
+        logarithm of the length.
+        """
+        places = [(i, a, b) for i, t in enumerate(texts) for a, b in sentences(t)]
+        if not places:
+            return []
+        # Scores are of the line as it is encoded: blanks that become one are counted off to find the place in the text.
+        lines = [texts[i][a:b] for i, a, b in places]
+        codes, bounds = encode_all(lines)
+        at = slots(codes)
+        natural, out = self.natural.log_prob(at), []
+        for kind in ("notice", "filler"):
+            gain = self.residue[kind].log_prob(at) - natural
+            for (i, begin, _), line, (s, e) in zip(places, lines, bounds):
+                need = sure + 2 * float(np.log(max(e - s, 1)))
+                path = np.concatenate([[0.0], np.cumsum(gain[s:e])])
+                # At no place does the sum rise by more than this: most lines end here.
+                if (path - np.minimum.accumulate(path)).max() < need:
+                    continue
+                back = None
+                for a, b, ratio in _runs(gain[s:e].tolist(), need):
+                    back = back or _places(line)
+                    x, y = begin + back[a], begin + back[b - 1] + 1
+                    out.append((i, kind, x, y, ratio))
+        return sorted(out, key=lambda x: (x[0], -x[4]))
+
     def windows(self, texts: list[str], sure: float) -> list[list[tuple[str, int, int, float]]]:
         """(kind, start, end, log-likelihood ratio) of the residue in each text, in order."""
         out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
@@ -228,15 +268,17 @@ class ResidueModels:
             out[i] += [("placeholder", a, b, ratio) for a, b, ratio in self.placeholders(t) if not _quoted(t, a, b)]
         bare = [self.bare(t) for t in texts]
         slotted = [(i, m.start(), m.end()) for i, t in enumerate(bare) for m in _SLOT.finditer(t) if _wordy(m.group())]
-        plain = [(i, a, b) for i, t in enumerate(bare) for a, b in sorted({*sentences(t), *(m.span(1) for m in _VALUE.finditer(t))}) if sum(map(str.isalpha, t[a:b])) >= LEAST_LETTERS]
-        for spans, kinds in ((slotted, ("instruction",)), (plain, ("instruction", "notice", "filler"))):
-            for (i, a, b), (kind, ratio) in zip(spans, self.ratios([bare[i][a:b] for i, a, b in spans], kinds)):
-                if kind == "instruction" and ratio >= sure and not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
-                    out[i].append((kind, a, b, ratio))
         parts = [(i, a, b) for i, t in enumerate(bare) for a, b in sentences(t)]
+        seen = set(parts)
+        values = [(i, *m.span(1)) for i, t in enumerate(bare) for m in _VALUE.finditer(t) if (i, *m.span(1)) not in seen]
+        scored = self.scores([bare[i][a:b] for i, a, b in parts + values])
+        plain = [(x, "instruction", r[0]) for x, r in zip(parts + values, scored) if r[0] > max(r[1:]) and sum(map(str.isalpha, bare[x[0]][x[1] : x[2]])) >= LEAST_LETTERS]
+        for (i, a, b), kind, ratio in [(x, *r) for x, r in zip(slotted, self.ratios([bare[i][a:b] for i, a, b in slotted], ("instruction",)))] + plain:
+            if ratio >= sure and not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
+                out[i].append((kind, a, b, ratio))
         merged: list[list] = []
         last = None
-        for (i, a, b), (kind, ratio) in zip(parts, self.ratios([bare[i][a:b] for i, a, b in parts], ("notice", "filler"))):
+        for (i, a, b), (kind, ratio) in zip(parts, [("notice", r[1]) if r[1] >= r[2] else ("filler", r[2]) for r in scored]):
             if ratio > 0 and last == i:
                 merged[-1][3], merged[-1][4] = b, merged[-1][4] + ratio
             elif ratio > 0:
@@ -245,9 +287,39 @@ class ResidueModels:
         for i, kind, a, b, ratio in merged:
             if ratio >= sure and sum(map(str.isalpha, texts[i][a:b])) >= LEAST_LETTERS and not _quoted(texts[i], a, b):
                 out[i].append((kind, a, b, ratio))
+        for i, kind, a, b, ratio in self.segments(bare, sure):
+            if sum(map(str.isalpha, texts[i][a:b])) >= LEAST_LETTERS and not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
+                out[i].append((kind, a, b, ratio))
         return [sorted(w, key=lambda x: (x[1], x[2])) for w in out]
 
 
+def _runs(gain: list[float], need: float) -> list[tuple[int, int, float]]:
+    """Start, end and sum of the runs whose sum reaches ``need``, each from where the running sum leaves 0 to its peak; it ends ``need`` below the peak."""
+    out, total, peak, start, end = [], 0.0, 0.0, 0, 0
+    for k, g in enumerate([*gain, -float("inf")]):
+        total += g
+        if total > peak:
+            peak, end = total, k + 1
+        if total <= 0 or total < peak - need:
+            if peak >= need:
+                out.append((start, end, peak))
+            total, peak, start, end = 0.0, 0.0, k + 1, k + 1
+    return out
+
+
+def _places(line: str) -> list[int]:
+    """The place in the line of each character of its encoded form."""
+    out: list[int] = []
+    at = 0
+    for m in [*_BLANKS.finditer(line), None]:
+        for k in range(at, m.start() if m else len(line)):
+            out += [k] * len(line[k].lower())
+        if m:
+            out.append(m.start())
+            at = m.end()
+    return out
+
+
 def _wordy(span: str) -> bool:
     """Whether a marked span holds more than numbers and codes: two letters in a row, or a blank to fill."""
     return span.startswith("____") or bool(re.search(r"[^\W\d_]{2}", re.sub(r"\b(?=\w*\d)[0-9a-fA-F]+\b", "", span)))
