@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from weftlens.llm import overlap
 from weftlens.llm.leak import align, find_leaks
 from weftlens.llm.overlap import cross_split_overlaps, overlap_report, split_records
 from weftlens.llm.queries import ORACLES, QUERIES
@@ -24,12 +25,16 @@ def variants(rng, vocabulary, n):
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 2, 5])):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        if rng.random() < 0.2:
+            w = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))] + w + [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
         rows.append((i, rng.choice([" ", "  ", ", "]).join(w), rng.random() < 0.6, rng.random() < 0.4))
     return rows
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 1e-3), (2, 0.5)])
-def test_overlaps_equal_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,rare,paired,bits", [(1, 32, 64, 20), (2, 0, 64, 20), (3, 0, 8, 20), (4, 4, 20, 6)])
+def test_overlaps_equal_brute_force(spark, monkeypatch, seed, rare, paired, bits):
+    for name, value in (("RARE", rare), ("MOST_PAIRED", paired), ("BITS", bits)):
+        monkeypatch.setattr(overlap, name, value)
     rng = random.Random(seed)
     rows = variants(rng, [f"w{i}" for i in range(60)], 180) + [(900, None, True, True), (901, " ", True, True), (902, "one two", True, False), (903, "one two", False, True), (904, "同 じ 文 章 です", True, False), (905, "同 じ 文 章 です", False, True), (906, "x " * 5000, True, False)]
     sets = {i: runs(t, 3) for i, t, _, _ in rows}
@@ -42,10 +47,12 @@ def test_overlaps_equal_brute_force(spark, seed, hot):
                 if share >= 0.6 - 1e-9:
                     expected[i, j] = share
     df = spark.createDataFrame([(*r, "extra") for r in rows], "id long, text string, is_train boolean, is_eval boolean, gram string")
-    found = {(r["id_a"], r["id_b"]): r["jaccard"] for r in cross_split_overlaps(df, hot_share=hot).collect()}
+    found = {(r["id_a"], r["id_b"]): r["jaccard"] for r in cross_split_overlaps(df).collect()}
     assert found.keys() == expected.keys() and (904, 905) in found
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in found)
     assert cross_split_overlaps(df.limit(0)).count() == 0
+    contained = {(i, j) for i in sets for j in sets if i != j and role[i][1] and role[j][0] and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i]) - 1e-9}
+    assert {(r["id_a"], r["id_b"]) for r in cross_split_overlaps(df, containment=0.8).collect()} == expected.keys() | {(min(p), max(p)) for p in contained} and not {(min(p), max(p)) for p in contained} <= expected.keys()
 
 
 def test_roles_and_report(spark):
@@ -57,7 +64,16 @@ def test_roles_and_report(spark):
     assert {r["id"]: (r["is_train"], r["is_eval"]) for r in records.collect()} == {1: (True, False), 2: (False, True), 3: (False, False), 4: (False, False)}
     pairs = cross_split_overlaps(records)
     assert [(r["id_a"], r["id_b"]) for r in pairs.collect()] == [(1, 2)]
-    assert [tuple(r) for r in overlap_report(pairs, records).collect()] == [(1, "a", 1, 1)]
+    assert [tuple(r) for r in overlap_report(records).collect()] == [("validation", 1, "a", 1, 1, 1.0)]
+
+
+def test_a_record_inside_a_longer_one_is_reported(spark):
+    inner = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, inner, False, True, ["test"], 7, "d"), (2, " ".join(f"a{i}" for i in range(40)) + f" {inner} " + " ".join(f"b{i}" for i in range(40)), True, False, [], 7, "d"), (3, inner, True, True, ["test", "validation"], 8, "d"), (4, inner, True, False, [], 8, "d")]
+    records = spark.createDataFrame(rows, "id long, text string, is_train boolean, is_eval boolean, splits array<string>, project_key long, dataset_name string")
+    assert {tuple(r) for r in overlap_report(records).collect()} == {("test", 7, "d", 1, 3, 1.0), ("test", 8, "d", 1, 2, 1.0), ("validation", 8, "d", 1, 2, 1.0)}
+    assert {tuple(r)[3:5] for r in overlap_report(records, containment=None).collect()} == {(1, 2), (1, 1)}
+    assert overlap_report(records.limit(0)).count() == 0
 
 
 def smith_waterman(a, b):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,13 @@ def gram_hashes(tokens: Column, n: int) -> Column:
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists of long after one another, and the length of each list."""
+    return np.asarray(lists.flatten()).astype(np.int64, copy=False), np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64, copy=False)
+
+
+def places(values: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each value in a table of 2^bits."""
+    return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)

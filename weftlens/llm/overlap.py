@@ -1,24 +1,49 @@
 """Same or near-same records across splits (problem 5).
 
 Word n-gram hashes of evaluation records are partitioned by hash and training
-records are scanned for hits. Records with equal n-gram sets are one class, so
-copies take part once. Any two sets with Jaccard ``t`` share a hash among the
-first ``n - ceil(t n) + 1`` of each in any common order; ordered by rarity,
-those few rare hashes are all that has to meet. Hits are then verified on the
-whole sets. Asking for ``hits`` common hashes among the first
-``n - ceil(t n) + hits`` is as exact, and spares most verifications.
+records are scanned for hits; every hit is verified on the whole sets, which
+gives the similarity and the containment of the evaluation record in the
+training record. Records with equal n-gram sets are one class: copies take
+part once, and only a listing of pairs expands them.
+
+Which hashes have to meet is exact. Two sets with Jaccard ``t`` or more share
+at least two of the first ``n - ceil(2t/(1+t) n) + 2`` hashes of the smaller
+and ``n - ceil(t n) + 2`` of the larger in any common order. The order here is
+by how many pairs a hash could make, from a table of fixed size, so hashes on
+one side only come first and make no key at all. Rare hashes are keys by
+themselves; common ones are keys only two together, so that candidates don't
+grow with the square of their frequency. A contained set lacks at most
+``n - ceil(c n)`` of its hashes, so one of its ``n - ceil(c n) + 1`` rarest is
+in the record that contains it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grams import gram_hashes, words
+from weftlens.session import cut, default_parallelism
+
+from .grams import flat, gram_hashes, places, words
 
 # Spellings of the splits, without case, blanks, hyphens and underscores.
 TRAINING = ["train", "training"]
-EVALUATION = ["val", "valid", "validation", "test", "testing", "eval", "evaluation"]
+VALIDATION = ["val", "valid", "validation"]
+TEST = ["test", "testing", "eval", "evaluation"]
+EVALUATION = VALIDATION + TEST
+
+#: Bits of the table of frequencies; its size is fixed, whatever the records.
+BITS = 20
+#: A hash that makes up to this many pairs is a key by itself.
+RARE = 32
+#: Sets above this size have their common hashes as single keys: two together would be too many.
+MOST_PAIRED = 64
+
+_EPS = 1e-9
 
 
 def split_role(split_sets: Column, names: list[str]) -> Column:
@@ -27,69 +52,166 @@ def split_role(split_sets: Column, names: list[str]) -> Column:
     return F.coalesce(F.exists(split_sets, lambda s: F.coalesce(plain(s).isin(names), F.lit(False))), F.lit(False))
 
 
-def _prefixes(classes: DataFrame, t: float, hot_share: float, hits: int) -> DataFrame:
-    """(gram, class_id, n) of the prefix of each class, rare hashes first.
-
-    Only the hashes in more than ``hot_share`` of the classes need a count: there
-    are at most (mean set size / hot_share) of them however many records there
-    are, so their table may be broadcast. The rest are in order of their hash;
-    the prefix argument holds for any common order.
+def _frequencies(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of training and of evaluation per table place; each core sends one table at most."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            grams, sizes = flat(batch.column("grams"))
+            at = places(grams, BITS)
+            for row, side in zip(sums, ("has_train", "has_eval")):
+                row += np.bincount(at[np.repeat(np.asarray(batch.column(side)), sizes)], minlength=1 << BITS)
+        used = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], ["place", "t", "e"])
+
+    counted = classes.select("grams", "has_train", "has_eval").coalesce(default_parallelism(classes.sparkSession)).mapInArrow(count, "place long, t long, e long")
+    rows = counted.groupBy("place").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).toPandas()
+    table = np.zeros((2, 1 << BITS), np.int64)
+    table[:, rows["place"].to_numpy(np.int64)] = rows[["t", "e"]].to_numpy(np.int64).T
+    return table[0], table[1]
+
+
+def _keyed(classes: DataFrame, side: str, choose: Callable) -> DataFrame:
+    """(key, class_id, n, small) of the classes on one side; ``choose`` takes hashes and sizes and gives keys, their record and the flag."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, sizes = flat(batch.column("grams"))
+            key, record, small = choose(grams, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("class_id").take(pa.array(record)), pa.array(sizes[record].astype(np.int32)), pa.array(small)], ["key", "class_id", "n", "small"])
+
+    return classes.filter(side).select("class_id", "grams").mapInArrow(keys, "key long, class_id binary, n int, small boolean")
+
+
+def _ranked(grams: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each record in the common order, with weight, record and rank."""
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    w = weight[places(grams, len(weight).bit_length() - 1)]
+    order = np.lexsort((grams, w, record))
+    return grams[order], w[order], record, np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[record]
+
+
+def _similar_keys(weight: np.ndarray, t: float) -> Callable:
+    def choose(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, w, record, rank = _ranked(grams, sizes, weight)
+        n = sizes[record]
+        least = np.ceil(n * t - _EPS)
+        small = rank < n - np.ceil(n * 2 * t / (1 + t) - _EPS) + 2
+        inside = (rank < n - least + 2) & (w > 0)
+        single = np.flatnonzero(inside & ((w <= RARE) | (n > MOST_PAIRED)))
+        parts = [(g[single], record[single], small[single])]
+        # Sorted by weight, the common hashes of a record are the last of its prefix: neighbours at each distance make all its pairs.
+        common = np.flatnonzero(inside & (w > RARE) & (least <= MOST_PAIRED))
+        for d in range(1, int(np.bincount(record[common]).max(initial=0)) if len(common) else 0):
+            a, b = common[:-d], common[d:]
+            a, b = a[record[a] == record[b]], b[record[a] == record[b]]
+            parts.append((places(g[a] * np.int64(31) ^ g[b], 63), record[a], small[b]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    return choose
+
+
+def _similar(classes: DataFrame, weight: np.ndarray, t: float) -> DataFrame:
+    """(e, t) of the evaluation and training classes that may be that similar, every such pair among them."""
+    choose = _similar_keys(weight, t)
+    e = _keyed(classes, "has_eval", choose).select("key", F.col("class_id").alias("e"), F.col("n").alias("en"), F.col("small").alias("es"))
+    r = _keyed(classes, "has_train", choose).select("key", F.col("class_id").alias("t"), F.col("n").alias("tn"), F.col("small").alias("ts"))
+    fits = (F.least("en", "tn") >= F.greatest("en", "tn") * t - _EPS) & F.when(F.col("en") <= F.col("tn"), F.col("es")).otherwise(F.col("ts"))
+    return e.join(r, "key").filter(fits & (F.col("e") != F.col("t"))).select("e", "t").distinct()
+
+
+def _containing(classes: DataFrame, train: np.ndarray, c: float) -> DataFrame:
+    """(e, t) of the evaluation classes that may be contained in training classes, every such pair among them."""
+    def rarest(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, w, record, rank = _ranked(grams, sizes, train)
+        n = sizes[record]
+        keep = np.flatnonzero((rank < n - np.ceil(n * c - _EPS) + 1) & (w > 0))
+        return g[keep], record[keep], np.ones(len(keep), bool)
+
+    e = _keyed(classes, "has_eval", rarest).select("key", F.col("class_id").alias("e"))
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            seen[places(np.asarray(batch.column("key")), BITS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["place"])
+
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[e.select("key").mapInArrow(used, "place long").distinct().toPandas()["place"].to_numpy(np.int64)] = True
+
+    def hits(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = np.flatnonzero(wanted[places(grams, BITS)])
+        return grams[keep], np.repeat(np.arange(len(sizes)), sizes)[keep], np.ones(len(keep), bool)
+
+    r = _keyed(classes, "has_train", hits).select("key", F.col("class_id").alias("t"))
+    return e.join(r, "key").filter("e <> t").select("e", "t").distinct()
+
+
+def overlap_classes(records: DataFrame, n: int = 3, similarity: float = 0.6, containment: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (class_id, id, is_train, is_eval) and links (e, t, shared, jaccard, containment) between classes of records.
+
+    A link joins the class ``e`` of evaluation records to the class ``t`` of
+    training records whose sets of ``n``-word runs have at least ``similarity``
+    in common or, if asked for, that hold at least ``containment`` of the
+    runs of ``e``. A class in both splits is linked to itself.
     """
-    total = classes.count()
-    least = max(2, int(total * hot_share))
-    exploded = classes.select("class_id", "n", F.explode("grams").alias("gram"))
-    hot = exploded.groupBy("gram").count().filter(F.col("count") > least).select("gram", F.col("count").alias("df"))
-    ranked = exploded.join(F.broadcast(hot), "gram", "left")
-    ordered = ranked.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
-    keep = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * t - 1e-9) + hits).cast("int")
-    return ordered.select("class_id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("g")).select("class_id", "n", F.col("g.gram").alias("gram"))
+    sets = records.filter("(is_train or is_eval) and id is not null").select("id", "is_train", "is_eval", F.array_sort(F.array_distinct(gram_hashes(words(F.col("text")), n))).alias("grams")).filter("size(grams) > 0")
+    # 128 bits: a class of 64 would merge different texts of a large corpus.
+    members = sets.withColumn("class_id", F.unhex(F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ","))))
+    # Used by every step below: written once.
+    classes = cut(members.groupBy("class_id").agg(F.first("grams").alias("grams"), F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")))
+    train, evaluation = _frequencies(classes)
+    candidates = _similar(classes, train * evaluation, similarity)
+    if containment is not None:
+        candidates = candidates.unionByName(_containing(classes, train, containment)).distinct()
+    left, right = classes.filter("has_eval").select(F.col("class_id").alias("e"), F.col("grams").alias("eg")), classes.filter("has_train").select(F.col("class_id").alias("t"), F.col("grams").alias("tg"))
+    shared = F.size(F.array_intersect("eg", "tg"))
+    near = candidates.join(left, "e").join(right, "t").select("e", "t", shared.alias("shared"), F.size("eg").alias("en"), F.size("tg").alias("tn"))
+    near = near.withColumns({"jaccard": F.col("shared") / (F.col("en") + F.col("tn") - F.col("shared")), "containment": F.col("shared") / F.col("en")})
+    near = near.filter((F.col("jaccard") >= similarity - _EPS) | (F.col("containment") >= (containment if containment is not None else 2) - _EPS)).select("e", "t", "shared", "jaccard", "containment")
+    same = classes.filter("has_train and has_eval").select(F.col("class_id").alias("e"), F.col("class_id").alias("t"), F.size("grams").alias("shared"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"))
+    return members.drop("grams"), near.unionByName(same)
 
 
-def cross_split_overlaps(records: DataFrame, n: int = 3, similarity: float = 0.6, hot_share: float = 2e-4, hits: int = 3) -> DataFrame:
+def cross_split_overlaps(records: DataFrame, n: int = 3, similarity: float = 0.6, containment: float | None = None) -> DataFrame:
     """Pairs (id_a, id_b, shared, jaccard, containment) of records (id, text, is_train, is_eval), id_a < id_b.
 
-    One of the two is in training, the other in evaluation, and their sets of
-    ``n``-word runs have at least ``similarity`` in common. ``containment`` is
-    the share of the evaluation record's runs in the training record (the
-    larger share where both are both). Null and blank texts and texts of fewer
-    than ``n`` words have no runs and no pairs; repeated rows of an id must have
-    been settled before. Copies share a class and meet once; their pairs are
-    expanded only at the end.
+    One of the two is in training, the other in evaluation, and they are linked
+    as in ``overlap_classes``. ``containment`` is the share of the evaluation
+    record's runs in the training record (the larger share where both are
+    both). Null and blank texts and texts of fewer than ``n`` words have no
+    runs and no pairs; repeated rows of an id must have been settled before.
     """
-    sets = records.filter("(is_train or is_eval) and id is not null").select("id", "is_train", "is_eval", F.array_sort(F.array_distinct(gram_hashes(words(F.col("text")), n))).alias("grams")).filter("size(grams) > 0")
-    members = sets.withColumn("class_id", F.xxhash64("grams")).select("id", "is_train", "is_eval", "class_id", "grams")
-    classes = members.groupBy("class_id").agg(F.first("grams").alias("grams"), F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")).withColumn("n", F.size("grams"))
-    prefixes = _prefixes(classes.select("class_id", "n", "grams"), similarity, hot_share, hits).join(classes.select("class_id", "has_train", "has_eval"), "class_id")
-    evaluation = prefixes.filter("has_eval").select("gram", F.col("class_id").alias("e"), F.col("n").alias("en"))
-    training = prefixes.filter("has_train").select("gram", F.col("class_id").alias("t"), F.col("n").alias("tn"))
-    fits = (F.least("en", "tn") >= F.greatest("en", "tn") * similarity - 1e-9) & (F.col("e") != F.col("t"))
-    met = evaluation.join(training, "gram").filter(fits).groupBy("e", "t").agg(F.count("*").alias("met"), F.first(F.greatest("en", "tn")).alias("larger"))
-    # Sets smaller than that share all that the similarity asks of them, and their prefix is the whole set.
-    close = met.filter(F.col("met") >= F.least(F.lit(hits), F.ceil(F.col("larger") * similarity - 1e-9))).select("e", "t")
-    left, right = classes.select(F.col("class_id").alias("e"), F.col("grams").alias("eg")), classes.select(F.col("class_id").alias("t"), F.col("grams").alias("tg"))
-    shared = F.size(F.array_intersect("eg", "tg"))
-    near = close.join(left, "e").join(right, "t").select("e", "t", shared.alias("shared"), F.size("eg").alias("en"), F.size("tg").alias("tn"))
-    near = near.withColumn("union", F.col("en") + F.col("tn") - F.col("shared")).filter(F.col("shared") >= F.col("union") * similarity - 1e-9)
-    same = classes.filter("has_train and has_eval").select(F.col("class_id").alias("e"), F.col("class_id").alias("t"), F.col("n").alias("shared"), F.col("n").alias("en"), F.col("n").alias("tn"), F.col("n").alias("union"))
-    links = near.unionByName(same)
+    members, links = overlap_classes(records, n, similarity, containment)
     in_eval = members.filter("is_eval").select(F.col("class_id").alias("e"), F.col("id").alias("eval_id"))
     in_train = members.filter("is_train").select(F.col("class_id").alias("t"), F.col("id").alias("train_id"))
     pairs = links.join(in_eval, "e").join(in_train, "t").filter("eval_id <> train_id")
     return pairs.groupBy(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).agg(
-        F.max("shared").alias("shared"), F.max(F.col("shared") / F.col("union")).alias("jaccard"), F.max(F.col("shared") / F.col("en")).alias("containment")
+        F.max("shared").alias("shared"), F.max("jaccard").alias("jaccard"), F.max("containment").alias("containment")
     )
 
 
 def split_records(files: DataFrame) -> DataFrame:
-    """Records of ``project_files`` once each, with their split roles: (id, text, is_train, is_eval, project_key, dataset_name)."""
-    roles = files.select("file_uid", "remark", split_role(F.col("split_sets"), TRAINING).alias("is_train"), split_role(F.col("split_sets"), EVALUATION).alias("is_eval"), "received_at", *[c for c in ("project_key", "dataset_name") if c in files.columns])
+    """Records of ``project_files`` once each, with their split roles: (id, text, is_train, is_eval, splits, project_key, dataset_name)."""
+    held = lambda names: split_role(F.col("split_sets"), names)
+    splits = F.filter(F.array(F.when(held(VALIDATION), F.lit("validation")), F.when(held(TEST), F.lit("test"))), lambda s: s.isNotNull())
+    roles = files.select("file_uid", "remark", held(TRAINING).alias("is_train"), held(EVALUATION).alias("is_eval"), splits.alias("splits"), "received_at", *[c for c in ("project_key", "dataset_name") if c in files.columns])
     first = lambda c: F.min_by(c, F.struct(F.coalesce("received_at", F.lit("9999-12-31").cast("timestamp")), F.col("remark"))).alias(c)
     once = roles.groupBy("file_uid").agg(*[first(c) for c in roles.columns if c not in ("file_uid", "received_at")])
     return once.withColumnsRenamed({"file_uid": "id", "remark": "text"})
 
 
-def overlap_report(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Per evaluation record's project and dataset: records with an overlap, and pairs."""
-    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
-    hit = ends.groupBy("id").agg(F.count("*").alias("n_pairs")).join(records.filter("is_eval"), "id")
-    return hit.groupBy("project_key", "dataset_name").agg(F.count("*").alias("n_records"), F.sum("n_pairs").alias("n_pairs"))
+def overlap_report(records: DataFrame, n: int = 3, similarity: float = 0.6, containment: float | None = 0.8) -> DataFrame:
+    """Per split, project and dataset of the evaluation records: (split, project_key, dataset_name, n_records, n_pairs, most_contained).
+
+    ``n_records`` of them overlap with training, in ``n_pairs`` pairs;
+    ``most_contained`` is the largest containment. Pairs are counted from the
+    sizes of classes and never listed: copies cost nothing. A record in two
+    evaluation splits counts in both; one that is also in training is no pair
+    with itself.
+    """
+    members, links = overlap_classes(records.select("id", "text", "is_train", "is_eval"), n, similarity, containment)
+    held = members.filter("is_train").groupBy(F.col("class_id").alias("t")).agg(F.count("*").alias("held"))
+    partners = links.join(held, "t").groupBy(F.col("e").alias("class_id")).agg(F.sum("held").alias("partners"), F.max(F.when((F.col("e") != F.col("t")) | (F.col("held") > 1), F.col("containment"))).alias("most"))
+    per_record = members.filter("is_eval").join(partners, "class_id").select("id", (F.col("partners") - F.col("is_train").cast("int")).alias("n_pairs"), F.coalesce("most", F.lit(1.0)).alias("most")).filter("n_pairs > 0")
+    located = per_record.join(records.select("id", "splits", "project_key", "dataset_name"), "id").withColumn("split", F.explode("splits"))
+    return located.groupBy("split", "project_key", "dataset_name").agg(F.count("*").alias("n_records"), F.sum("n_pairs").alias("n_pairs"), F.max("most").alias("most_contained"))

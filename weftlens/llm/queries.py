@@ -10,7 +10,7 @@ from weftlens.sources.tables import read_table
 from .leak import find_leaks
 from .lookalike import alike_pairs, vocabulary
 from .mixing import default_tokenizer, mix_report, mix_selection, with_token_counts
-from .overlap import EVALUATION, TRAINING, cross_split_overlaps, overlap_report, split_records
+from .overlap import EVALUATION, TEST, TRAINING, VALIDATION, cross_split_overlaps, overlap_report, split_records
 from .residue import residue_documents
 
 
@@ -23,8 +23,9 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, base: str) -> DataFrame:
-    records = _files(spark, base)
-    return overlap_report(cross_split_overlaps(records.select("id", "text", "is_train", "is_eval")), records)
+    """Overlapping evaluation records per split, project and dataset: similar ones, and those contained in longer training records."""
+    report = overlap_report(_files(spark, base))
+    return report.withColumn("most_contained", F.round("most_contained", 6))
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -78,6 +79,14 @@ with f as (select file_uid, any_value(remark) as t, any_value(split_sets) as s f
 g as ({_RUNS.format("file_uid", 2, "r")}), n as (select file_uid, count(*) as n from g group by 1),
 c as (select a.file_uid as x, b.file_uid as y, count(*) as c from g a join g b using (g) where a.file_uid < b.file_uid group by all)
 select x as file_uid_a, y as file_uid_b from c join n a on a.file_uid = x join n b on b.file_uid = y join r p on p.file_uid = x join r q on q.file_uid = y where (p.tr and q.ev or p.ev and q.tr) and c.c >= 0.6 * (a.n + b.n - c.c) - 1e-9""",
+    "p5_report": f"""
+with f as (select file_uid, any_value(remark) as t, any_value(split_sets) as s, any_value(project_key) as project_key, any_value(dataset_name) as dataset_name from project_files group by 1),
+r as (select *, {_WORDS.format("t")} as w, {_ROLE.format(_IN(TRAINING))} as tr, {_ROLE.format(_IN(EVALUATION))} as ev, list_filter([case when {_ROLE.format(_IN(VALIDATION))} then 'validation' end, case when {_ROLE.format(_IN(TEST))} then 'test' end], lambda x: x is not null) as splits from f where t is not null),
+g as ({_RUNS.format("file_uid", 2, "r")}), n as (select file_uid, count(*) as n from g group by 1),
+c as (select a.file_uid as x, b.file_uid as y, count(*) as c from g a join r p on p.file_uid = a.file_uid and p.ev join g b using (g) join r q on q.file_uid = b.file_uid and q.tr where a.file_uid <> b.file_uid group by all),
+l as (select x, y, c.c / a.n as share from c join n a on a.file_uid = x join n b on b.file_uid = y where c.c >= 0.6 * (a.n + b.n - c.c) - 1e-9 or c.c >= 0.8 * a.n - 1e-9),
+e as (select x, count(*) as n_pairs, max(share) as most from l group by 1)
+select split, project_key, dataset_name, count(*) as n_records, sum(n_pairs)::bigint as n_pairs, round(max(most), 6) as most_contained from (select unnest(splits) as split, project_key, dataset_name, n_pairs, most from e join r on file_uid = x) group by all""",
     "p8_found": f"""
 with i as (select item_id, {_WORDS.format("item_text")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
 ig as ({_RUNS.format("item_id", 11, "i")}), dg as ({_RUNS.format("doc_id", 11, "d")}) select distinct item_id, doc_id from ig join dg using (g)""",
