@@ -6,8 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from weftlens.llm import overlap
-from weftlens.llm.leak import align, find_leaks
+from weftlens.llm import leak, overlap
+from weftlens.llm.leak import find_leaks, leak_report
 from weftlens.llm.overlap import cross_split_overlaps, overlap_report, split_records
 from weftlens.llm.queries import ORACLES, QUERIES
 
@@ -86,11 +86,11 @@ def smith_waterman(a, b):
 
 def test_alignment_equals_the_full_matrix():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        a, b = rng.integers(0, 5, rng.integers(0, 25)).astype(np.int32), rng.integers(0, 5, rng.integers(0, 25)).astype(np.int32)
+    pairs = [(rng.integers(0, 5, rng.integers(0, 25)), rng.integers(0, 5, rng.integers(0, 25))) for _ in range(60)]
+    for (a, b), (score, _, _, run) in zip(pairs, leak.align_many(*zip(*pairs))):
         longest = max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, 26) if i + k <= len(a) and j + k <= len(b) and (a[i : i + k] == b[j : j + k]).all()), default=0)
-        score, _, _, run = align(a, b)
         assert score == smith_waterman(a, b) and run == longest
+    assert leak.align_many([], []) == []
 
 
 def test_leaks_equal_brute_force(spark):
@@ -123,6 +123,38 @@ def test_edited_copy_is_scored(spark):
     assert row["doc_id"] == 7 and row["longest_run"] == 5 and row["item_share"] > 0.7
 
 
+@pytest.mark.parametrize("copies,block", [(1, 2_000_000), (8, 2_000_000), (200, 2_000_000), (8, 300)])
+def test_edited_copies_are_found_however_many_there_are(spark, monkeypatch, copies, block):
+    monkeypatch.setattr(leak, "MOST_BLOCK_WORDS", block)
+    rng = random.Random(copies)
+    vocabulary = [f"w{i}" for i in range(400)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, draw(rng.randint(25, 50))) for i in range(20)]
+    docs, expected = [], set()
+    for k in range(copies):
+        for i, w in items:
+            edited = list(w)
+            kind = (i + k) % 4
+            if kind == 0:  # every sixth word changed, the same ones everywhere
+                edited = [x if j % 6 else "changed" for j, x in enumerate(w)]
+            elif kind == 1:  # words changed here and there
+                for j in rng.sample(range(len(w)), len(w) // 8):
+                    edited[j] = rng.choice(vocabulary)
+            elif kind == 2:  # words put in and left out
+                for j in sorted(rng.sample(range(len(w)), 4), reverse=True):
+                    edited[j : j + 1] = [] if j % 2 else [w[j], "more"]
+            else:  # half of the item
+                edited = w[: len(w) // 2 + 1]
+            docs.append((len(docs), " ".join(draw(60) + edited + draw(60))))
+            expected.add((i, docs[-1][0]))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, item_text string")
+    found = find_leaks(frame, spark.createDataFrame(docs, "doc_id long, text string"))
+    pairs = {(r["item_id"], r["doc_id"]) for r in found.collect()}
+    assert len(pairs & expected) >= 0.97 * len(expected) and len(pairs - expected) <= 0.02 * len(expected)
+    report = {r["item_id"]: r for r in leak_report(found, frame).collect()}
+    assert len(report) == 20 and sum(r["n_documents"] for r in report.values()) == len(pairs) and all(r["n_unbroken"] <= r["n_documents"] for r in report.values())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, data, duck, name):
     df = QUERIES[name](spark, data)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlens.sources.tables import read_table
 
-from .leak import find_leaks
+from .leak import find_leaks, leak_report
 from .lookalike import alike_pairs, vocabulary
 from .mixing import default_tokenizer, mix_report, mix_selection, with_token_counts
 from .overlap import EVALUATION, TEST, TRAINING, VALIDATION, cross_split_overlaps, overlap_report, split_records
@@ -38,12 +38,18 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return alike_pairs(rows, vocabulary(rows, "text")).select("field_name", "id_a", "id_b")
 
 
-def leaks(spark: SparkSession, base: str) -> DataFrame:
-    return find_leaks(read_table(spark, base, "eval_items", "item_id", "item_text"), read_table(spark, base, "documents", "doc_id", "text"))
+def leaks(spark: SparkSession, base: str, least_score: int = 16) -> DataFrame:
+    return find_leaks(read_table(spark, base, "eval_items", "item_id", "item_text"), read_table(spark, base, "documents", "doc_id", "text"), least_score=least_score)
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
-    return leaks(spark, base).filter("longest_run >= 12").select("item_id", "doc_id")
+    """Pairs whose alignment scores as much as twelve words do, and holds them unbroken."""
+    return leaks(spark, base, 24).filter("longest_run >= 12").select("item_id", "doc_id")
+
+
+def p8_report(spark: SparkSession, base: str) -> DataFrame:
+    """Per test item: the documents that hold passages of it, edited copies included."""
+    return leak_report(leaks(spark, base), read_table(spark, base, "eval_items", "item_id", "suite", "lang"))
 
 
 def _mix(spark: SparkSession, base: str, total_tokens: int) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +72,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return residue_documents(read_table(spark, base, "documents", "doc_id", "text")).select("doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_selection": p9_selection, "p10_found": p10_found}
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_mix": p9_mix, "p9_selection": p9_selection, "p10_found": p10_found}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _RUNS = "select distinct {0}, array_to_string(w[k:k + {1}], ' ') as g from (select {0}, w, unnest(range(1, len(w) - {1} + 1)) as k from {2})"
