@@ -48,6 +48,8 @@ def shape_of(ch: str) -> str:
         return ""
     if ch in HYPHENS:
         return "-"
+    if ch in LOOK_ALIKES:  # before its decomposition: the lunate sigma decomposes to a letter of another shape
+        return LOOK_ALIKES[ch]
     parts = unicodedata.decomposition(ch).split()
     if parts and (not parts[0].startswith("<") or parts[0] in SAME_SHAPE):
         return "".join(shape_of(chr(int(p, 16))) for p in parts if not p.startswith("<"))
@@ -55,7 +57,7 @@ def shape_of(ch: str) -> str:
         return unicodedata.normalize("NFD", ch)
     if unicodedata.category(ch) == "Zs":
         return " "
-    return LOOK_ALIKES.get(ch, ch)
+    return ch
 
 
 def visual_form(text: str | None) -> str | None:
