@@ -1,10 +1,11 @@
 """Look-alikes, mixing and residue on small fixtures."""
 
 import random
+import unicodedata
 
 import pytest
 
-from weftlens.functions.visual import visual_form
+from weftlens.functions.visual import LOOK_ALIKES, visual_form
 from weftlens.llm import residue_seeds as seeds
 from weftlens.llm.lookalike import SpellingTrie, alike_pairs, canonical_texts, vocabulary
 from weftlens.llm.mixing import default_tokenizer, mix_report, mix_selection, route, with_token_counts
@@ -18,6 +19,40 @@ def test_trie_agrees_with_the_table_at_no_cost():
     assert trie.best("camara") is None and trie.best("camara", 1) == "camera" and trie.best("camra", 1) == "camera" and trie.best("caméra") is None
 
 
+def test_the_automaton_reads_what_the_table_cannot_tell():
+    """Fails where the walk is replaced by the table: it has one reading of each letter and no edits."""
+    words = {"lamp": 9, "Image": 4, "IMAGE": 1, "tall": 2, "kernel": 3, "window": 2}
+    trie = SpellingTrie(words, several=True)
+    for token, spelling in {"Іamp": "lamp", "Іmage": "Image", "Ιmаge": "Image", "taӏl": "tall", "keгneӏ": "kernel", "windoш": "window", "l\u200bаm\u200bp": "lamp"}.items():
+        assert trie.best(token) == spelling
+    assert visual_form("Іamp") == "Iamp" and SpellingTrie(words).best("Іamp") is None and SpellingTrie(words | {"Iamp": 1}, several=True).best("Іamp") == "Iamp"
+    assert trie.best("Іamb", 1) == "lamp" and trie.best("l\u200bamps", 1) == "lamp" and trie.best("kегneӏ") == "kernel"
+
+
+def test_random_disguises_come_back(spark):
+    rng = random.Random(8)
+    back: dict[str, list[str]] = {}
+    for ch, latin in LOOK_ALIKES.items():
+        back.setdefault(latin, []).append(ch)
+    words = {"".join(rng.choice("abcdehijklmnopqstuvxyzABCEHIKMOPST") for _ in range(rng.randint(3, 9))): 1 for _ in range(200)} | {"verre dépoli".split()[1]: 1, "gerät": 1, "フォルダ": 1, "상판": 1, "file": 1}
+    rows = []
+    for word in words:
+        out = "".join(rng.choice(back[c]) if c in back and rng.random() < 0.4 else c for c in word)
+        out = unicodedata.normalize(rng.choice(["NFC", "NFD"]), out)
+        at = rng.randrange(len(out) + 1)
+        rows.append((word, out[:at] + rng.choice(["", "\u200b", "\u00ad", "\ufeff", "\u2060"]) + out[at:]))
+    df = spark.createDataFrame(rows, "word string, text string")
+    trie = SpellingTrie(words)
+    assert all(trie.best(text) == word for word, text in rows)
+    assert all(r["canonical"] == r["word"] for r in canonical_texts(df, "text", words).collect())
+
+
+def test_a_hot_group_of_one_spelling_is_no_square(spark):
+    df = spark.range(20_000).selectExpr("1 as scope", "'f' as field_name", "id", "if(id = 7, 'МASK', 'MASK') as text")
+    found = alike_pairs(df, {})
+    assert found.count() == 19_999 and found.filter("id_a <> 7 and id_b <> 7").count() == 0
+
+
 def test_pairs(spark):
     rows = [(1, "f", 1, "MASK_1"), (1, "f", 2, "МASK_1"), (1, "f", 3, "mask_1"), (2, "f", 4, "MASK_1"), (1, "g", 5, "МASK_1"), (1, "f", 6, None), (1, "f", 7, "MASK_1"), (1, "f", 8, ""), (None, "f", 9, "МASK_1"), (1, "f", 10, "é"), (1, "f", 11, "é"), (1, "f", 12, "e"), (1, "f", 13, "a­b" * 3000), (1, "f", 14, "ab" * 3000)]
     df = spark.createDataFrame(rows, "scope int, field_name string, id long, text string")
