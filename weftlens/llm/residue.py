@@ -1,11 +1,18 @@
 """Template residue, filler and error-page text (problem 10).
 
 Hashed character n-gram models are fitted for filler, notices, instructions
-and natural prose. A text is cut into windows (sentences, lines, and the
-marked spans that may be placeholders); each has the log-likelihood ratio of
-its best residue model against natural prose. Neighbouring windows in favour
-of residue are merged; what is sure enough is residue, unless it stands in
-quotation marks. A document's coverage is its share of residue.
+and natural prose. The models of residue come from labelled examples and are
+laid over the model of natural prose: where an example's context was never
+seen they say what natural prose says, and the likelihood ratio is 0. Each
+text is cut into windows (sentences, lines, values after a colon, bracketed
+spans and the best-scoring segments inside long lines); windows whose ratio is
+sure enough are residue, unless they stand in quotation marks. A document's
+coverage is its share of residue.
+
+The models are fitted over all documents. Sentences that are made of the
+examples' n-grams become examples themselves, so that the wording of a corpus
+is learnt, and aren't natural prose: a model fitted on them would foretell
+them. All other sentences are.
 """
 
 from __future__ import annotations
@@ -24,16 +31,35 @@ from weftlens.session import default_parallelism
 from . import residue_seeds as seeds
 
 ORDER = 5
-#: Bits of a table place; no model has larger tables.
-SLOT_BITS = 21
-#: Mean log-probability of a character above which a residue model foretells a sentence of the sample.
-FORETOLD = -2.0
-#: Share of every model's probability that all characters have alike: what none has seen speaks for none.
-UNSEEN = 0.05
+#: Bits of a table place, for natural prose and for residue.
+SLOT_BITS, SEED_BITS = 21, 18
+#: Share of the natural model's probability that all characters have alike, and the number of characters.
+UNSEEN, ALPHABET = 0.02, 4000
+#: Weight of natural prose inside a residue model, in characters seen.
+STRENGTH = 0.3
+#: Most that one character speaks for residue and against it; a character of a dense script stands for more.
+GAIN, DENSE_GAIN = 1.0, 2.0
+#: What is asked for in an instruction may be anything: it speaks less against it.
+LOSS = {"notice": -3.0, "filler": -3.0, "sample": -3.0, "instruction": -1.0}
+KINDS = tuple(LOSS)
+#: Kinds of sentences: error and script notices, mock Latin and key strokes, and prose that only fills.
+SENTENCE_KINDS = KINDS[:3]
+#: Share of its characters that end n-grams of the examples from which a sentence isn't natural prose.
+CLAIMED = {"notice": 0.5, "filler": 0.2, "sample": 0.6, "instruction": 0.7}
+#: The same share of a bracketed span, from which it is an instruction and no prose.
+CLAIMED_SPAN = 0.3
+#: The same shares, from which a sentence or span is an example itself when the models are fitted again.
+LEARNT = {"notice": 0.65, "filler": 0.25, "sample": 0.7, "instruction": 0.45}
+#: Mean log-likelihood ratio of a character from which a marked name is one of code.
+CODE_NAME = -2.5
+#: Log-likelihood ratio from which a bracketed span is an instruction: its brackets say something already.
+SURE_SPAN = 4.0
+#: n-grams of the examples that such a sentence has at least; one of a dense script counts twice.
+LEAST_GRAMS = {"notice": 6, "filler": 15, "sample": 8, "instruction": 0}
+#: Letters that a window of sentences has at least.
+LEAST_LETTERS = 6
 #: Table places in one row of summed counts.
 ROW = 1 << 16
-#: Letters that a merged window of sentences has at least.
-LEAST_LETTERS = 6
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STOP = re.compile(r"[.!?。！？]+[ \t]*|\n\s*")
 #: Every span from an opening mark to its closing mark, whatever stands between; a further opening mark starts anew.
@@ -44,61 +70,17 @@ _MARKED = re.compile(
     ),
     re.DOTALL,
 )
-_SLOT = re.compile(
-    r"\[[^\[\]]{2,}\]|<[^<>]{3,}>|\([^()]{3,}\)|（[^（）]{2,}）|【[^【】]{2,}】|_{4,}(?: ?\([^()]{3,}\))?|\bTODO: ?[^\n,.;]{3,}|\b[XDMTYJ]{2}[/.-][XMDT]{2}[/.-](?:\d{2}XX|[YJ]{4})\b|\d{2}XX ?[年년] ?X{1,2} ?[月월] ?X{1,2} ?[日일]"
+_MARKS = re.compile(r"[{<$%\[]|@@|__")
+_SPAN = re.compile(
+    r"\[[^\[\]]{2,}\]|<[^<>]{3,}>|\([^()]{3,}\)|（[^（）]{2,}）|【[^【】]{2,}】|＜[^＜＞]{2,}＞|_{4,}(?: ?\([^()]{3,}\))?|\bTODO: ?[^\n,.;]{3,}|\b[XDMTYJ]{2}[/.-][XMDT]{2}[/.-](?:\d{2}XX|[XYJ]{4})\b|(?:\d{2}XX|XXXX) ?[年년] ?X{1,2} ?[月월] ?X{1,2} ?[日일]"
 )
 _VALUE = re.compile(r"^[^\n:：]{1,40}[:：][ \t]*([^\n]+)$", re.MULTILINE)
-
-
-class NgramModel:
-    """Character n-gram model of order 5, interpolated over orders 5, 3 and 1, with counts in hash tables of 2^bits."""
-
-    def __init__(self, bits: int, strength: float = 1.0, alphabet: int = 4000):
-        self.bits, self.strength, self.alphabet = bits, strength, alphabet
-        self.tables = [np.zeros(1 << bits) for _ in range(ORDER)]
-        self.total = 0.0
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": [zlib.compress(t.astype(np.float32).tobytes(), 1) for t in self.tables]}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"tables": [np.frombuffer(zlib.decompress(t), np.float32) for t in state["tables"]]}
-
-    def add(self, texts: list[str], weight: float = 1.0) -> None:
-        """Counts the texts, each from its own start."""
-        if not texts:
-            return
-        codes, bounds = encode_all(texts)
-        own = np.zeros(len(codes) - ORDER + 1, bool)
-        for s, e in bounds:
-            own[s:e] = True
-        for table, at in zip(self.tables, slots(codes)):
-            table += weight * np.bincount(at[own] >> (SLOT_BITS - self.bits), minlength=len(table))
-        self.total += weight * float(own.sum())
-
-    def log_prob(self, slots: list[np.ndarray]) -> np.ndarray:
-        """Log-probability of each character after the four before it."""
-        at, kappa = [x >> (SLOT_BITS - self.bits) for x in slots], self.strength
-        p = self.tables[0][at[0]] / max(self.total, 1.0)
-        for k in (2, 4):
-            before = np.concatenate([at[k - 1][:1], at[k - 1][:-1]])
-            context = self.tables[k - 1][before]
-            p = (np.minimum(self.tables[k][at[k]], context) + kappa * p) / (context + kappa)
-        return np.log((1 - UNSEEN) * p + UNSEEN / self.alphabet)
-
-    def sums(self, slots: list[np.ndarray], bounds: list[tuple[int, int]]) -> np.ndarray:
-        """Log-probability of each text of ``encode_all``."""
-        total = np.concatenate([[0.0], np.cumsum(self.log_prob(slots), dtype=np.float64)])
-        ends = np.asarray(bounds, np.int64).reshape(-1, 2)
-        return total[ends[:, 1]] - total[ends[:, 0]]
-
-
 _BLANKS = re.compile(r"\s+(?:> ?)*")
 _DIGITS = str.maketrans("123456789", "000000000")
 
 
-def encode_all(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Code points of the texts after one another, and where the scores of each lie.
+def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts after one another, and where the scores of each begin and end.
 
     Letters in lower case, digits alike, blanks and line breaks one space, so
     that wrapped and shouted text reads as the same text. Each text has a start
@@ -107,23 +89,67 @@ def encode_all(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     start = "\x00\x00\x00\n"
     plain = [_BLANKS.sub(" ", t).lower().translate(_DIGITS) for t in texts]
     codes = np.frombuffer("".join(start + p for p in plain).encode("utf-32-le", "surrogatepass"), np.uint32)
-    bounds, at = [], 0
-    for p in plain:
-        bounds.append((at, at + len(p)))
-        at += len(p) + ORDER - 1
-    return codes, bounds
+    size = np.array([len(p) for p in plain], np.int64)
+    begin = np.cumsum(size + ORDER - 1) - size - (ORDER - 1)
+    return codes, begin, begin + size
 
 
 def slots(codes: np.ndarray) -> list[np.ndarray]:
     """Table places of the n-grams that end at each character from the fifth on, for orders 1 to 5, in tables of 2^SLOT_BITS; smaller tables take their first bits."""
-    shift, h, out, n = np.uint64(64 - SLOT_BITS), np.zeros(len(codes) - ORDER + 1, np.uint64), [], len(codes)
+    shift, h, out, n = np.uint64(64 - SLOT_BITS), np.zeros(max(0, len(codes) - ORDER + 1), np.uint64), [], len(codes)
     for k in range(ORDER):
         part = codes[ORDER - 1 - k : n - k].astype(np.uint64) + np.uint64(1)
         h = h + part * (_MULT ** np.uint64(k + 1) | np.uint64(1))
-        out.append(((h * _MULT) >> shift).astype(np.int64))
+        out.append(((h * _MULT) >> shift).astype(np.int32))
     return out
 
 
+def _before(at: np.ndarray) -> np.ndarray:
+    return np.concatenate([at[:1], at[:-1]])
+
+
+def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[end] - total[begin]
+
+
+class NgramModel:
+    """Counts of character n-grams of orders 1 to 5 in hash tables of 2^bits."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.tables = [np.zeros(1 << bits) for _ in range(ORDER)]
+        self.total = 0.0
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": [zlib.compress(t.astype(np.float32).tobytes(), 1) for t in self.tables]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"tables": [np.frombuffer(zlib.decompress(t), np.float32) for t in state["tables"]]}
+
+    def add(self, texts: list[str]) -> None:
+        """Counts the texts, each from its own start."""
+        if not texts:
+            return
+        codes, begin, end = encode_all(texts)
+        own = np.zeros(max(0, len(codes) - ORDER + 1) + 1, np.int64)
+        np.add.at(own, begin, 1)
+        np.add.at(own, end, -1)
+        own = np.cumsum(own[:-1]) > 0
+        for table, at in zip(self.tables, slots(codes)):
+            table += np.bincount(at[own] >> (SLOT_BITS - self.bits), minlength=len(table))
+        self.total += float(own.sum())
+
+    def prob(self, slots: list[np.ndarray], strength: float = 1.0) -> np.ndarray:
+        """Probability of each character after the four before it, interpolated over orders 5, 3 and 1."""
+        at = [x >> (SLOT_BITS - self.bits) for x in slots]
+        p = self.tables[0][at[0]] / max(self.total, 1.0)
+        for k in (2, 4):
+            context = self.tables[k - 1][_before(at[k - 1])]
+            p = (np.minimum(self.tables[k][at[k]], context) + strength * p) / (context + strength)
+        return (1 - UNSEEN) * p + UNSEEN / ALPHABET
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of each sentence or line, without the blanks at its ends.
 
@@ -146,152 +172,239 @@ def _quoted(text: str, a: int, b: int) -> bool:
 
 
 class ResidueModels:
-    """Models of filler, notices, instructions and natural prose."""
-
-    def __init__(self, natural: list[str], bits: int = SLOT_BITS, seed_bits: int = 17):
-        self.residue = {kind: NgramModel(seed_bits, 0.2) for kind in ("notice", "filler", "instruction", "placeholder")}
-        words = seeds.FILLER_WORDS
-        orders = [" ".join(words[(i * step) % len(words)] for i in range(len(words))) for step in (1, 5, 7, 11, 13, 17, 19)]
-        self.residue["notice"].add(seeds.NOTICES)
-        self.residue["filler"].add(orders + seeds.FILLERS + [" ".join([w] * 8) for w in seeds.FILLER_KEYS])
-        self.residue["instruction"].add(seeds.INSTRUCTIONS + [x[1:-1] for x in seeds.INSTRUCTIONS if x[0] in "[<(（【"])
-        self.residue["placeholder"].add([f"{a}{pad}{_shape(inside)}{pad}{b}" for a, b in seeds.PLACEHOLDER_MARKS for inside in seeds.PLACEHOLDER_INSIDES for pad in ("", " ")] + ["%a%", "$a"])
-        self.data = NgramModel(seed_bits, 0.2)
+    """Models of filler, notices, instructions, placeholders and natural prose."""
+
+    def __init__(self, natural: list[str], bits: int = SLOT_BITS):
+        self.residue = {kind: NgramModel(SEED_BITS) for kind in KINDS}
+        self.residue["notice"].add(seeds.NOTICES + seeds.STATUS_LINES)
+        latin = sorted({w for t in seeds.LATIN for w in re.findall(r"\w+", t.lower())})
+        orders = [" ".join(latin[(i * step) % len(latin)] for i in range(len(latin))) for step in (1, 5, 7, 11, 13, 17, 19)]
+        self.residue["filler"].add(seeds.LATIN * 3 + orders + [" ".join([w] * 8) for w in seeds.FILLER_KEYS])
+        self.residue["sample"].add(seeds.FILLERS)
+        self.residue["instruction"].add(seeds.INSTRUCTIONS + [x[1:-1] for x in seeds.INSTRUCTIONS if x[0] == "["])
+        self.shapes, self.data, self.names, self.code = (NgramModel(SEED_BITS - 2) for _ in range(4))
+        self.shapes.add([f"{a}{pad}{_shape(inside)}{pad}{b}" for a, b in seeds.PLACEHOLDER_MARKS for inside in seeds.PLACEHOLDER_INSIDES for pad in ("", " ")] + ["%a%", "$a"])
         self.data.add([_shape(x) for x in seeds.MARKED_DATA])
-        self.known_shapes: dict[str, float] = {}
-        self.natural = NgramModel(bits, 1.0)
-        self.natural.add(seeds.ABOUT, 3.0)
+        self.names.add([f"{a}{pad}{form}{pad}{b}" for a, b in seeds.PLACEHOLDER_MARKS for name in seeds.TEMPLATE_NAMES for form in (name, name.upper()) for pad in ("", " ")])
+        self.code.add(seeds.CODE_NAMES * 8)
+        self.known_spans: dict[str, float] = {}
+        self.natural = NgramModel(bits)
+        self.refit([{kind: self._counts(x) for kind, x in self.examples(natural).items()}])
         self.natural.add(self.prose(natural))
-        self.natural.add(self.instructed(natural), -1.0)
 
-    def prose(self, texts: list[str]) -> list[str]:
-        """The sentences that count as natural prose.
+    @staticmethod
+    def _counts(texts: list[str]) -> list[np.ndarray]:
+        model = NgramModel(SEED_BITS)
+        model.add(texts)
+        return model.tables
 
-        What a residue model foretells well doesn't. Its ratio couldn't tell: a
-        model fitted on it foretells it too.
-        """
-        parts = [part for text in texts for bare in [self.bare(text)] for part in [bare[a:b] for a, b in sentences(bare)]]
-        return [p for p, fit in zip(parts, self._foretold(parts)) if fit < FORETOLD]
+    def refit(self, found: list[dict[str, list[np.ndarray]]]) -> None:
+        """Adds the counts of examples found in the documents to those of the labelled ones."""
+        for counts in found:
+            for kind, tables in counts.items():
+                for table, more in zip(self.residue[kind].tables, tables):
+                    table += more
 
     def placeholders(self, text: str) -> list[tuple[int, int, float]]:
-        """Start, end and log-likelihood ratio of the marked spans whose shape is more like placeholders than like data."""
+        """Start, end and log-likelihood ratio of the marked spans that are more like placeholders than like data and code.
+
+        Their shape counts, whatever the value is called, and their own
+        characters where these are a name of code by the examples.
+        """
         out, at = [], 0
+        if not _MARKS.search(text):
+            return out
         while m := _MARKED.search(text, at):
-            shape = _shape(m.group())
-            if (ratio := self.known_shapes.get(shape)) is None:
-                codes, bounds = encode_all([shape])
-                where = slots(codes)
-                ratio = float(self.residue["placeholder"].sums(where, bounds)[0] - self.data.sums(where, bounds)[0])
-                if len(shape) <= 80 and len(self.known_shapes) < 100_000:
-                    self.known_shapes[shape] = ratio
+            span = m.group()
+            if (ratio := self.known_spans.get(span)) is None:
+                ratio = self._compare(self.shapes, self.data, _shape(span))
+                name = self._compare(self.names, self.code, span)
+                ratio += name if name < CODE_NAME * len(span) else 0.0
+                if len(span) <= 80 and len(self.known_spans) < 100_000:
+                    self.known_spans[span] = ratio
             if ratio > 0:
                 out.append((m.start(), m.end(), ratio))
             at = m.end() if ratio > 0 else m.start() + 1
         return out
 
+    @staticmethod
+    def _compare(one: NgramModel, other: NgramModel, text: str) -> float:
+        """Log-likelihood ratio of two models of the same smoothing: what neither has seen speaks for none."""
+        codes, begin, end = encode_all([text])
+        at = slots(codes)
+        return float(_sums(np.log(one.prob(at, 0.2)) - np.log(other.prob(at, 0.2)), begin, end)[0])
+
     def bare(self, text: str) -> str:
         """The text with blanks for its placeholders."""
         for a, b, _ in self.placeholders(text):
             text = text[:a] + " " * (b - a) + text[b:]
         return text
 
-    def instructed(self, texts: list[str]) -> list[str]:
-        """Of ``prose``, the sentences with an instruction by the counts of all: they don't count after all."""
-        return [p for p in self.prose([t for t in texts if _SLOT.search(t)]) if self._has_instruction(p)]
-
-    def _foretold(self, parts: list[str]) -> np.ndarray:
-        """Mean log-probability of a character of each text under its best residue model."""
-        if not parts:
-            return np.zeros(0)
-        codes, bounds = encode_all(parts)
-        at = slots(codes)
-        best = np.stack([self.residue[k].sums(at, bounds) for k in ("notice", "filler", "instruction")]).max(0)
-        return best / np.maximum(1, [e - s for s, e in bounds])
-
-    def _has_instruction(self, part: str) -> bool:
-        return any(ratio > 0 for _, ratio in self.ratios(_slots(part), ("instruction",)))
+    def _dense(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each scored character is of a script whose characters stand for syllables or words."""
+        return codes[ORDER - 1 :] >= 0x1100
 
-    def scores(self, texts: list[str]) -> list[tuple[float, float, float]]:
-        """Log-likelihood ratios of each text against natural prose as instruction, notice and filler."""
-        if not texts:
-            return []
-        codes, bounds = encode_all(texts)
-        at = slots(codes)
-        natural = self.natural.sums(at, bounds)
-        return list(zip(*[(self.residue[k].sums(at, bounds) - natural).tolist() for k in ("instruction", "notice", "filler")]))
-
-    def ratios(self, texts: list[str], kinds: tuple[str, ...]) -> list[tuple[str, float]]:
-        """The best kind of each text and its log-likelihood ratio against natural prose."""
-        if not texts:
-            return []
-        codes, bounds = encode_all(texts)
-        at = slots(codes)
-        scores = np.stack([self.residue[k].sums(at, bounds) for k in kinds])
-        best, natural = scores.argmax(0), self.natural.sums(at, bounds)
-        return [(kinds[k], float(scores[k, i] - natural[i])) for i, k in enumerate(best)]
+    def shares(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """Share of the characters of each text that end n-grams of each kind's examples: of order 5, of order 3 in dense scripts; 0 where they are too few."""
+        codes, begin, end = encode_all(texts)
+        at = [x >> (SLOT_BITS - SEED_BITS) for x in slots(codes)]
+        dense = self._dense(codes)
+        hit = {kind: np.where(dense, model.tables[2][at[2]], model.tables[4][at[4]]) > 0 for kind, model in self.residue.items()}
+        return {kind: np.where(_sums(h * np.where(dense, 2, 1), begin, end) >= LEAST_GRAMS[kind], _sums(h, begin, end), 0) / np.maximum(1, end - begin) for kind, h in hit.items()}
 
-    def segments(self, texts: list[str], sure: float) -> list[tuple[int, str, int, int, float]]:
-        """(text, kind, start, end, log-likelihood ratio) of the best-scoring segments inside each sentence or line, by a running sum of the characters' ratios.
+    def examples(self, texts: list[str]) -> dict[str, list[str]]:
+        """Sentences and bracketed spans that are so much made of the examples that they are further ones, by kind."""
+        bare = [self.bare(t) for t in texts]
+        out: dict[str, list[str]] = {kind: [] for kind in KINDS}
+        for kinds, parts in ((("instruction",), [m.group() for t in bare for m in _SPAN.finditer(t) if _wordy(m.group())]), (SENTENCE_KINDS, [line for t in bare for a, b in sentences(t) for line in t[a:b].splitlines()])):
+            if parts:
+                share = self.shares(parts)
+                for k, part in enumerate(parts):
+                    kind = max(kinds, key=lambda x: share[x][k])
+                    if share[kind][k] >= LEARNT[kind]:
+                        out[kind].append(part)
+        return out
 
-        Natural prose is counted by sentences, so they are scored by them; whole
-        ones next to each other are merged elsewhere. A segment may start and
-        end at any character: its ratio must be above ``sure`` by twice the
-        logarithm of the length.
+    def prose(self, texts: list[str]) -> list[str]:
+        """What counts as natural prose: the sentences that aren't made of the examples, blanks for their placeholders and instructions."""
+        out = []
+        for text in texts:
+            bare = self.bare(text)
+            spans = [m for m in _SPAN.finditer(bare) if _wordy(m.group())]
+            if spans:
+                share = self.shares([m.group() for m in spans])["instruction"]
+                for m, s in zip(spans, share):
+                    if s >= CLAIMED_SPAN:
+                        bare = bare[: m.start()] + " " * (m.end() - m.start()) + bare[m.end() :]
+            out += [bare[a:b] for a, b in sentences(bare)]
+        if not out:
+            return out
+        claimed = np.zeros(len(out), bool)
+        for kind, share in self.shares(out).items():
+            claimed |= share >= CLAIMED[kind]
+        return [p for p, c in zip(out, claimed) if not c]
+
+    def gains(self, texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood ratio of each character by kind, where the texts begin and end, and which may hold residue at all.
+
+        Natural prose is only asked about texts whose n-grams of examples, taken
+        at the most that they can speak for, are enough to be sure of anything.
         """
-        places = [(i, a, b) for i, t in enumerate(texts) for a, b in sentences(t)]
-        if not places:
-            return []
-        # Scores are of the line as it is encoded: blanks that become one are counted off to find the place in the text.
-        lines = [texts[i][a:b] for i, a, b in places]
-        codes, bounds = encode_all(lines)
+        codes, begin, end = encode_all(texts)
         at = slots(codes)
-        natural, out = self.natural.log_prob(at), []
-        for kind in ("notice", "filler"):
-            gain = self.residue[kind].log_prob(at) - natural
-            for (i, begin, _), line, (s, e) in zip(places, lines, bounds):
-                need = sure + 2 * float(np.log(max(e - s, 1)))
-                path = np.concatenate([[0.0], np.cumsum(gain[s:e])])
-                # At no place does the sum rise by more than this: most lines end here.
-                if (path - np.minimum.accumulate(path)).max() < need:
-                    continue
-                back = None
-                for a, b, ratio in _runs(gain[s:e].tolist(), need):
-                    back = back or _places(line)
-                    x, y = begin + back[a], begin + back[b - 1] + 1
-                    out.append((i, kind, x, y, ratio))
-        return sorted(out, key=lambda x: (x[0], -x[4]))
+        small = [x >> (SLOT_BITS - SEED_BITS) for x in at]
+        dense = self._dense(codes)
+        most = np.where(dense, DENSE_GAIN, GAIN)
+        found, bound = {}, np.zeros(len(texts))
+        for kind, model in self.residue.items():
+            gram = np.where(dense, model.tables[2][small[2]], model.tables[4][small[4]])
+            context = np.where(dense, model.tables[1][_before(small[1])], model.tables[3][_before(small[3])])
+            gram = np.minimum(gram, context)
+            # What a character speaks at most: nothing where its context is new, against residue where it differs from all examples.
+            top = np.where(gram > 0, most, np.where(context > 0, np.maximum(LOSS[kind], np.log(STRENGTH / (context + STRENGTH))), 0.0))
+            path = np.concatenate([[0.0], np.cumsum(top)])
+            found[kind] = (gram, context)
+            bound = np.maximum(bound, _best_runs(path, begin, end))
+        open_ = bound >= min(SURE_SPAN, 8.0)
+        asked = np.zeros(len(dense) + 1, np.int64)
+        np.add.at(asked, begin[open_], 1)
+        np.add.at(asked, end[open_], -1)
+        asked = np.flatnonzero(np.cumsum(asked[:-1]) > 0)
+        # Orders of a character need the place before it as well: those are asked along.
+        natural = np.ones(len(dense))
+        if len(asked):
+            runs = np.flatnonzero(np.diff(asked, prepend=-9) != 1)
+            for a, b in zip(runs, [*runs[1:], len(asked)]):
+                lo, hi = max(0, asked[a] - 1), asked[b - 1] + 1
+                natural[asked[a] : hi] = self.natural.prob([x[lo:hi] for x in at])[asked[a] - lo :]
+        out = {}
+        for kind, (gram, context) in found.items():
+            gain = np.log((gram + STRENGTH * natural) / (context + STRENGTH)) - np.log(natural)
+            out[kind] = np.where(context > 0, np.clip(gain, LOSS[kind], most), 0.0)
+        return out, begin, end, open_
 
     def windows(self, texts: list[str], sure: float) -> list[list[tuple[str, int, int, float]]]:
         """(kind, start, end, log-likelihood ratio) of the residue in each text, in order."""
         out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+        bare = []
         for i, t in enumerate(texts):
-            out[i] += [("placeholder", a, b, ratio) for a, b, ratio in self.placeholders(t) if not _quoted(t, a, b)]
-        bare = [self.bare(t) for t in texts]
-        slotted = [(i, m.start(), m.end()) for i, t in enumerate(bare) for m in _SLOT.finditer(t) if _wordy(m.group())]
+            marks = self.placeholders(t)
+            out[i] += [("placeholder", a, b, ratio) for a, b, ratio in marks if not _quoted(t, a, b)]
+            for a, b, _ in marks:
+                t = t[:a] + " " * (b - a) + t[b:]
+            bare.append(t)
+        spans = [(i, m.start(), m.end()) for i, t in enumerate(bare) for m in _SPAN.finditer(t) if _wordy(m.group())]
         parts = [(i, a, b) for i, t in enumerate(bare) for a, b in sentences(t)]
         seen = set(parts)
         values = [(i, *m.span(1)) for i, t in enumerate(bare) for m in _VALUE.finditer(t) if (i, *m.span(1)) not in seen]
-        scored = self.scores([bare[i][a:b] for i, a, b in parts + values])
-        plain = [(x, "instruction", r[0]) for x, r in zip(parts + values, scored) if r[0] > max(r[1:]) and sum(map(str.isalpha, bare[x[0]][x[1] : x[2]])) >= LEAST_LETTERS]
-        for (i, a, b), kind, ratio in [(x, *r) for x, r in zip(slotted, self.ratios([bare[i][a:b] for i, a, b in slotted], ("instruction",)))] + plain:
-            if ratio >= sure and not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
-                out[i].append((kind, a, b, ratio))
+        every = spans + parts + values
+        if not every:
+            return [sorted(w, key=lambda x: (x[1], x[2])) for w in out]
+        gains, begin, end, open_ = self.gains([bare[i][a:b] for i, a, b in every])
+        total = {kind: _sums(g, begin, end) for kind, g in gains.items()}
+
+        def add(i: int, kind: str, a: int, b: int, ratio: float) -> None:
+            if not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
+                out[i].append((kind, int(a), int(b), float(ratio)))
+
+        def letters(i: int, a: int, b: int) -> bool:
+            return sum(map(str.isalpha, bare[i][a:b])) >= LEAST_LETTERS
+
+        for k, (i, a, b) in enumerate(spans):
+            if total["instruction"][k] >= SURE_SPAN:
+                add(i, "instruction", a, b, total["instruction"][k])
+        for k in range(len(spans), len(every)):
+            i, a, b = every[k]
+            if open_[k] and total["instruction"][k] >= sure and total["instruction"][k] > max(total[x][k] for x in SENTENCE_KINDS) and letters(i, a, b):
+                add(i, "instruction", a, b, total["instruction"][k])
+        # Neighbouring sentences in favour of residue are one window.
         merged: list[list] = []
         last = None
-        for (i, a, b), (kind, ratio) in zip(parts, [("notice", r[1]) if r[1] >= r[2] else ("filler", r[2]) for r in scored]):
+        for k in range(len(spans), len(spans) + len(parts)):
+            i, a, b = every[k]
+            kind = max(SENTENCE_KINDS, key=lambda x: total[x][k])
+            ratio = total[kind][k]
             if ratio > 0 and last == i:
                 merged[-1][3], merged[-1][4] = b, merged[-1][4] + ratio
             elif ratio > 0:
                 merged.append([i, kind, a, b, ratio])
             last = i if ratio > 0 else None
         for i, kind, a, b, ratio in merged:
-            if ratio >= sure and sum(map(str.isalpha, texts[i][a:b])) >= LEAST_LETTERS and not _quoted(texts[i], a, b):
-                out[i].append((kind, a, b, ratio))
-        for i, kind, a, b, ratio in self.segments(bare, sure):
-            if sum(map(str.isalpha, texts[i][a:b])) >= LEAST_LETTERS and not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
-                out[i].append((kind, a, b, ratio))
+            if ratio >= sure and letters(i, a, b):
+                add(i, kind, a, b, ratio)
+        for k in range(len(spans), len(spans) + len(parts)):
+            if open_[k]:
+                i, first, last = every[k]
+                for kind in SENTENCE_KINDS:
+                    for a, b, ratio in self._segments(gains[kind][begin[k] : end[k]], bare[i][first:last], sure):
+                        if letters(i, first + a, first + b):
+                            add(i, kind, first + a, first + b, ratio)
         return [sorted(w, key=lambda x: (x[1], x[2])) for w in out]
 
+    @staticmethod
+    def _segments(gain: np.ndarray, line: str, sure: float) -> list[tuple[int, int, float]]:
+        """Start, end and ratio of the best-scoring segments inside a line, by a running sum of the characters' ratios.
+
+        A segment may start and end at any character: its ratio must be above
+        ``sure`` by twice the logarithm of the length.
+        """
+        need = sure + 2 * float(np.log(max(len(gain), 1)))
+        path = np.concatenate([[0.0], np.cumsum(gain)])
+        # At no place does the sum rise by more than this: most lines end here.
+        if (path - np.minimum.accumulate(path)).max() < need:
+            return []
+        back = _places(line)
+        return [(back[a], back[b - 1] + 1, ratio) for a, b, ratio in _runs(gain.tolist(), need)]
+
+
+def _best_runs(path: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The largest rise of a running sum inside each part."""
+    out = np.zeros(len(begin))
+    for k, (a, b) in enumerate(zip(begin, end)):
+        part = path[a : b + 1]
+        out[k] = (part - np.minimum.accumulate(part)).max()
+    return out
+
 
 def _runs(gain: list[float], need: float) -> list[tuple[int, int, float]]:
     """Start, end and sum of the runs whose sum reaches ``need``, each from where the running sum leaves 0 to its peak; it ends ``need`` below the peak."""
@@ -321,7 +434,7 @@ def _places(line: str) -> list[int]:
 
 
 def _wordy(span: str) -> bool:
-    """Whether a marked span holds more than numbers and codes: two letters in a row, or a blank to fill."""
+    """Whether a bracketed span holds more than numbers and codes: two letters in a row, or a blank to fill."""
     return span.startswith("____") or bool(re.search(r"[^\W\d_]{2}", re.sub(r"\b(?=\w*\d)[0-9a-fA-F]+\b", "", span)))
 
 
@@ -330,10 +443,6 @@ def _shape(span: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\W\d_][\w.\-]*", "a", re.sub(r"\b\d[\d.]*\b", "0", span)) if not span.startswith("__") else f"__{_shape(' ' + span[2:-2])[1:]}__")
 
 
-def _slots(text: str) -> list[str]:
-    return [m.group() for m in _SLOT.finditer(text) if _wordy(m.group())]
-
-
 def _portions(texts: list[str]) -> Iterator[slice]:
     """As many texts at once as make a million characters, one at least."""
     at = 0
@@ -345,52 +454,67 @@ def _portions(texts: list[str]) -> Iterator[slice]:
         at = to
 
 
-def _counted(documents: DataFrame, models: ResidueModels, chosen: Callable[[ResidueModels, list[str]], list[str]]) -> tuple[list[np.ndarray], float]:
-    """Counts of the chosen parts of all documents, by table place, and their characters.
+def _table_sums(documents: DataFrame, models: ResidueModels, counts: Callable[[ResidueModels, list[str]], list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums over all documents (text) of the tables that ``counts`` gives for some of them.
 
     Tables have a fixed size: each of as many tasks as there are cores sends
-    one set of them, whatever the corpus.
+    one set of them, whatever the corpus; they are summed in Spark, in two
+    steps where there are very many cores.
     """
     shared = documents.sparkSession.sparkContext.broadcast(models)
+    sizes = [len(t) for t in counts(models, [])]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = NgramModel(shared.value.natural.bits)
+        tables = [np.zeros(n) for n in sizes]
         for batch in batches:
             texts = batch["text"].tolist()
             for part in _portions(texts):
-                model.add(chosen(shared.value, texts[part]))
-        for k, table in enumerate([*model.tables, np.full(1, model.total)]):
+                for table, more in zip(tables, counts(shared.value, texts[part])):
+                    table += more
+        for k, table in enumerate(tables):
             yield pd.DataFrame([(k, i, zlib.compress(table[i : i + ROW].tobytes(), 1)) for i in range(0, len(table), ROW)], columns=["k", "at", "counts"])
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c)) for c in rows["counts"])
         return pd.DataFrame([(rows["k"].iat[0], rows["at"].iat[0], zlib.compress(total.tobytes(), 1))], columns=["k", "at", "counts"])
 
-    schema = "k int, at int, counts binary"
-    texts = documents.select("text").filter("text is not null and trim(text) <> ''").coalesce(default_parallelism(documents.sparkSession))
-    rows = texts.mapInPandas(count, schema).groupBy("k", "at").applyInPandas(added, schema).collect()
+    schema, tasks = "k int, at int, counts binary", default_parallelism(documents.sparkSession)
+    rows = documents.select("text").filter("text is not null and trim(text) <> ''").coalesce(tasks).mapInPandas(count, schema)
+    if tasks > 64:
+        rows = rows.withColumn("part", F.spark_partition_id() % 64).groupBy("k", "at", "part").applyInPandas(lambda rows: added(rows), schema)
+    out = [np.zeros(n) for n in sizes]
+    for r in rows.groupBy("k", "at").applyInPandas(added, schema).collect():
+        found = np.frombuffer(zlib.decompress(r["counts"]))
+        out[r["k"]][r["at"] : r["at"] + len(found)] = found
     shared.destroy()
-    tables, total = [np.zeros(1 << models.natural.bits) for _ in range(ORDER)], 0.0
-    for r in rows:
-        counts = np.frombuffer(zlib.decompress(r["counts"]))
-        if r["k"] == ORDER:
-            total = float(counts[0])
-        else:
-            tables[r["k"]][r["at"] : r["at"] + len(counts)] = counts
-    return tables, total
+    return out
+
+
+def _example_counts(models: ResidueModels, texts: list[str]) -> list[np.ndarray]:
+    found = models.examples(texts)
+    return [table for kind in KINDS for table in models._counts(found[kind])]
+
+
+def _prose_counts(models: ResidueModels, texts: list[str]) -> list[np.ndarray]:
+    model = NgramModel(models.natural.bits)
+    model.add(models.prose(texts))
+    return [*model.tables, np.array([model.total])]
 
 
 def fit_models(documents: DataFrame) -> ResidueModels:
-    """Models with natural prose counted over all documents, whatever their length.
+    """Models fitted over all documents (text), whatever their length.
 
-    A second count takes out again what reads as an instruction by the first.
+    The first count adds the sentences and spans that are made of the labelled
+    examples to them; the second counts natural prose, without what is made of
+    the examples then.
     """
     models = ResidueModels([])
-    for chosen, sign in ((ResidueModels.prose, 1.0), (ResidueModels.instructed, -1.0)):
-        tables, total = _counted(documents, models, chosen)
-        for table, counts in zip(models.natural.tables, tables):
-            table += sign * counts
-        models.natural.total += sign * total
+    tables = _table_sums(documents, models, _example_counts)
+    models.refit([{kind: tables[k * ORDER : (k + 1) * ORDER] for k, kind in enumerate(KINDS)}])
+    *tables, total = _table_sums(documents, models, _prose_counts)
+    for table, more in zip(models.natural.tables, tables):
+        table += more
+    models.natural.total += float(total[0])
     return models
 
 
