@@ -16,5 +16,5 @@ UNSEEN = [
     "请在浏览器中启用脚本后重试。", "您访问的页面不存在或已被移动。", "服务器内部发生错误，请稍后重试。", "会话已超时，请重新登录。",
     "Sed perspiciatis dolor laboris voluptate nulla officia commodo sint veniam.", "Lorem tempor magna aliquip incididunt ipsum labore et consequat.", "zzz zzz zzz zzz zzz zzz zzz zzz zzz", "foo bar foo bar foo bar foo bar foo bar",
     "This is only placeholder text and will be replaced.", "Dieser Absatz dient nur als Platzhalter.", "本段文字仅为占位，稍后将替换。",
-    "[enter your address here]", "<insert title here>", "(fill in your name)", "[Datum hier eintragen]", "<이름을 입력하세요>", "【此处填写日期】", "Order {{ order.id }} was shipped.", "Hello ${userName}, welcome back.", "DD.MM.20XX",
+    "[enter your address here]", "<insert title here>", "(fill in your name)", "[Datum hier eintragen]", "<이름을 입력하세요>", "【此处填写日期】", "[please add your comment here]", "<type your title here>", "(your full address goes here)", "[Bitte Datum und Namen eintragen]", "<연락처를 입력하세요>", "【请在此填写地址】", "JavaScript appears to be disabled in this browser.", "We could not find the page you asked for.", "You have been signed out, please log in again.", "Der Server hat nicht rechtzeitig geantwortet, bitte versuchen Sie es erneut.", "Order {{ order.id }} was shipped.", "Hello ${userName}, welcome back.", "DD.MM.20XX",
 ]

@@ -5,6 +5,7 @@ import unicodedata
 
 import pytest
 
+import residue_cases
 from weftlens.functions.visual import LOOK_ALIKES, visual_form
 from weftlens.llm import residue_seeds as seeds
 from weftlens.llm.lookalike import SpellingTrie, alike_pairs, canonical_texts, vocabulary
@@ -139,6 +140,25 @@ def models():
     return ResidueModels(["\n".join(rng.choices(PROSE, k=6)) for _ in range(200)] + CLEAN + RESIDUE[:7])
 
 
+@pytest.fixture(scope="module")
+def fitted(spark, data):
+    """Models of the driver's smallest documents."""
+    return fit_models(spark.read.parquet(f"{data}/documents.parquet"))
+
+
+def test_unseen_residue_and_neutral_prose(fitted):
+    examples = "\n".join(seeds.NOTICES + seeds.STATUS_LINES + seeds.LATIN + seeds.FILLERS + seeds.INSTRUCTIONS)
+    unseen = [t for t in residue_cases.UNSEEN if t not in examples]
+    found = [t for t, w in zip(unseen, fitted.windows(unseen, 8.0)) if w]
+    assert len(unseen) >= 50 and len(found) >= 0.9 * len(unseen), set(unseen) - set(found)
+    assert len(residue_cases.NEUTRAL) >= 50 and [w for w in fitted.windows(residue_cases.NEUTRAL, 8.0) if w] == []
+
+
+@pytest.mark.parametrize("code", ["__init__", "__main__", "{train}", "[7]", "f(x, y)", "<div>", "5 < 7 and 9 > 3"])
+def test_code_in_prose_is_not(fitted, code):
+    assert fitted.windows([f"The value of {code} is kept as it was in the second run."], 8.0) == [[]]
+
+
 @pytest.mark.parametrize("text", RESIDUE)
 def test_residue_is_found_alone_and_amid_prose(models, text):
     amid = f"{PROSE[0]}\n\n{text}\n\n{PROSE[3]} {PROSE[1]}"

@@ -47,13 +47,13 @@ SENTENCE_KINDS = KINDS[:3]
 #: Share of its characters that end n-grams of the examples from which a sentence isn't natural prose.
 CLAIMED = {"notice": 0.5, "filler": 0.2, "sample": 0.6, "instruction": 0.7}
 #: The same share of a bracketed span, from which it is an instruction and no prose.
-CLAIMED_SPAN = 0.3
+CLAIMED_SPAN = 0.25
 #: The same shares, from which a sentence or span is an example itself when the models are fitted again.
 LEARNT = {"notice": 0.65, "filler": 0.25, "sample": 0.7, "instruction": 0.45}
 #: Mean log-likelihood ratio of a character from which a marked name is one of code.
 CODE_NAME = -2.5
 #: Log-likelihood ratio from which a bracketed span is an instruction: its brackets say something already.
-SURE_SPAN = 4.0
+SURE_SPAN = 3.0
 #: n-grams of the examples that such a sentence has at least; one of a dense script counts twice.
 LEAST_GRAMS = {"notice": 6, "filler": 15, "sample": 8, "instruction": 0}
 #: Letters that a window of sentences has at least.
@@ -76,7 +76,6 @@ _SPAN = re.compile(
 )
 _VALUE = re.compile(r"^[^\n:：]{1,40}[:：][ \t]*([^\n]+)$", re.MULTILINE)
 _BLANKS = re.compile(r"\s+(?:> ?)*")
-_DIGITS = str.maketrans("123456789", "000000000")
 
 
 def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,12 +85,15 @@ def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     that wrapped and shouted text reads as the same text. Each text has a start
     of four marks of its own.
     """
-    start = "\x00\x00\x00\n"
-    plain = [_BLANKS.sub(" ", t).lower().translate(_DIGITS) for t in texts]
-    codes = np.frombuffer("".join(start + p for p in plain).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.array([len(p) for p in plain], np.int64)
-    begin = np.cumsum(size + ORDER - 1) - size - (ORDER - 1)
-    return codes, begin, begin + size
+    start = "\x00\x00\x00\x01"
+    if any("\x01" in t for t in texts):
+        texts = [t.replace("\x01", "\x02") for t in texts]
+    joined = _BLANKS.sub(" ", start + start.join(texts)).lower() if texts else ""
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    codes[(codes > 48) & (codes < 58)] = 48
+    marks = np.flatnonzero(codes == 1)
+    begin = marks - (ORDER - 2)
+    return codes, begin, np.concatenate([begin[1:] - (ORDER - 1), [len(codes) - (ORDER - 1)]]) if len(begin) else begin
 
 
 def slots(codes: np.ndarray) -> list[np.ndarray]:
@@ -132,21 +134,18 @@ class NgramModel:
         if not texts:
             return
         codes, begin, end = encode_all(texts)
-        own = np.zeros(max(0, len(codes) - ORDER + 1) + 1, np.int64)
-        np.add.at(own, begin, 1)
-        np.add.at(own, end, -1)
-        own = np.cumsum(own[:-1]) > 0
+        own = _inside(np.ones(len(texts), bool), begin, end, max(0, len(codes) - ORDER + 1))
         for table, at in zip(self.tables, slots(codes)):
             table += np.bincount(at[own] >> (SLOT_BITS - self.bits), minlength=len(table))
         self.total += float(own.sum())
 
-    def prob(self, slots: list[np.ndarray], strength: float = 1.0) -> np.ndarray:
-        """Probability of each character after the four before it, interpolated over orders 5, 3 and 1."""
-        at = [x >> (SLOT_BITS - self.bits) for x in slots]
-        p = self.tables[0][at[0]] / max(self.total, 1.0)
+    def prob(self, slots: list[np.ndarray], strength: float = 1.0, where: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Probability of each character, or of those at ``where``, after the four before it, interpolated over orders 5, 3 and 1."""
+        place = lambda x: x[where] >> (SLOT_BITS - self.bits)
+        p = self.tables[0][place(slots[0])] / max(self.total, 1.0)
         for k in (2, 4):
-            context = self.tables[k - 1][_before(at[k - 1])]
-            p = (np.minimum(self.tables[k][at[k]], context) + strength * p) / (context + strength)
+            context = self.tables[k - 1][place(_before(slots[k - 1]))]
+            p = (np.minimum(self.tables[k][place(slots[k])], context) + strength * p) / (context + strength)
         return (1 - UNSEEN) * p + UNSEEN / ALPHABET
 
 
@@ -259,10 +258,9 @@ class ResidueModels:
         for kinds, parts in ((("instruction",), [m.group() for t in bare for m in _SPAN.finditer(t) if _wordy(m.group())]), (SENTENCE_KINDS, [line for t in bare for a, b in sentences(t) for line in t[a:b].splitlines()])):
             if parts:
                 share = self.shares(parts)
-                for k, part in enumerate(parts):
-                    kind = max(kinds, key=lambda x: share[x][k])
-                    if share[kind][k] >= LEARNT[kind]:
-                        out[kind].append(part)
+                best = np.argmax([share[kind] for kind in kinds], 0)
+                for n, kind in enumerate(kinds):
+                    out[kind] += [parts[k] for k in np.flatnonzero((best == n) & (share[kind] >= LEARNT[kind]))]
         return out
 
     def prose(self, texts: list[str]) -> list[str]:
@@ -284,7 +282,7 @@ class ResidueModels:
             claimed |= share >= CLAIMED[kind]
         return [p for p, c in zip(out, claimed) if not c]
 
-    def gains(self, texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def gains(self, texts: list[str], sure: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Log-likelihood ratio of each character by kind, where the texts begin and end, and which may hold residue at all.
 
         Natural prose is only asked about texts whose n-grams of examples, taken
@@ -302,21 +300,12 @@ class ResidueModels:
             gram = np.minimum(gram, context)
             # What a character speaks at most: nothing where its context is new, against residue where it differs from all examples.
             top = np.where(gram > 0, most, np.where(context > 0, np.maximum(LOSS[kind], np.log(STRENGTH / (context + STRENGTH))), 0.0))
-            path = np.concatenate([[0.0], np.cumsum(top)])
             found[kind] = (gram, context)
-            bound = np.maximum(bound, _best_runs(path, begin, end))
-        open_ = bound >= min(SURE_SPAN, 8.0)
-        asked = np.zeros(len(dense) + 1, np.int64)
-        np.add.at(asked, begin[open_], 1)
-        np.add.at(asked, end[open_], -1)
-        asked = np.flatnonzero(np.cumsum(asked[:-1]) > 0)
-        # Orders of a character need the place before it as well: those are asked along.
+            bound = np.maximum(bound, _best_rises(top, begin, end))
+        open_ = bound >= min(SURE_SPAN, sure)
+        asked = np.flatnonzero(_inside(open_, begin, end, len(dense)))
         natural = np.ones(len(dense))
-        if len(asked):
-            runs = np.flatnonzero(np.diff(asked, prepend=-9) != 1)
-            for a, b in zip(runs, [*runs[1:], len(asked)]):
-                lo, hi = max(0, asked[a] - 1), asked[b - 1] + 1
-                natural[asked[a] : hi] = self.natural.prob([x[lo:hi] for x in at])[asked[a] - lo :]
+        natural[asked] = self.natural.prob(at, where=asked)
         out = {}
         for kind, (gram, context) in found.items():
             gain = np.log((gram + STRENGTH * natural) / (context + STRENGTH)) - np.log(natural)
@@ -340,7 +329,7 @@ class ResidueModels:
         every = spans + parts + values
         if not every:
             return [sorted(w, key=lambda x: (x[1], x[2])) for w in out]
-        gains, begin, end, open_ = self.gains([bare[i][a:b] for i, a, b in every])
+        gains, begin, end, open_ = self.gains([bare[i][a:b] for i, a, b in every], sure)
         total = {kind: _sums(g, begin, end) for kind, g in gains.items()}
 
         def add(i: int, kind: str, a: int, b: int, ratio: float) -> None:
@@ -372,38 +361,39 @@ class ResidueModels:
         for i, kind, a, b, ratio in merged:
             if ratio >= sure and letters(i, a, b):
                 add(i, kind, a, b, ratio)
-        for k in range(len(spans), len(spans) + len(parts)):
-            if open_[k]:
-                i, first, last = every[k]
-                for kind in SENTENCE_KINDS:
-                    for a, b, ratio in self._segments(gains[kind][begin[k] : end[k]], bare[i][first:last], sure):
-                        if letters(i, first + a, first + b):
-                            add(i, kind, first + a, first + b, ratio)
+        for kind in SENTENCE_KINDS:
+            need = sure + 2 * np.log(np.maximum(end - begin, 1))
+            # At no place does the sum rise by more than this: most lines end here.
+            for k in np.flatnonzero(open_ & (_best_rises(gains[kind], begin, end) >= need)):
+                if len(spans) <= k < len(spans) + len(parts):
+                    i, first, last = every[k]
+                    back = _places(bare[i][first:last])
+                    for a, b, ratio in _runs(gains[kind][begin[k] : end[k]].tolist(), need[k]):
+                        a, b = first + back[a], first + back[b - 1] + 1
+                        if letters(i, a, b):
+                            add(i, kind, a, b, ratio)
         return [sorted(w, key=lambda x: (x[1], x[2])) for w in out]
 
-    @staticmethod
-    def _segments(gain: np.ndarray, line: str, sure: float) -> list[tuple[int, int, float]]:
-        """Start, end and ratio of the best-scoring segments inside a line, by a running sum of the characters' ratios.
 
-        A segment may start and end at any character: its ratio must be above
-        ``sure`` by twice the logarithm of the length.
-        """
-        need = sure + 2 * float(np.log(max(len(gain), 1)))
-        path = np.concatenate([[0.0], np.cumsum(gain)])
-        # At no place does the sum rise by more than this: most lines end here.
-        if (path - np.minimum.accumulate(path)).max() < need:
-            return []
-        back = _places(line)
-        return [(back[a], back[b - 1] + 1, ratio) for a, b, ratio in _runs(gain.tolist(), need)]
-
-
-def _best_runs(path: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The largest rise of a running sum inside each part."""
-    out = np.zeros(len(begin))
-    for k, (a, b) in enumerate(zip(begin, end)):
-        part = path[a : b + 1]
-        out[k] = (part - np.minimum.accumulate(part)).max()
-    return out
+def _inside(chosen: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Whether each place lies in a chosen part."""
+    edges = np.zeros(size + 1, np.int32)
+    np.add.at(edges, begin[chosen], 1)
+    np.add.at(edges, end[chosen], -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _best_rises(gain: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The best sum of neighbouring values inside each part.
+
+    Parts are set so far below one another that the least sum so far is always
+    the part's own.
+    """
+    path = np.concatenate([[0.0], np.cumsum(np.where(_inside(np.ones(len(begin), bool), begin, end, len(gain)), gain, 0.0))])
+    part = np.zeros(len(path))
+    np.add.at(part, begin, 1.0)
+    path -= np.cumsum(part) * (2.0 * np.abs(path).max() + 1.0)
+    return np.maximum.reduceat(path - np.minimum.accumulate(path), begin) if len(begin) else np.zeros(0)
 
 
 def _runs(gain: list[float], need: float) -> list[tuple[int, int, float]]:

@@ -39,10 +39,10 @@ FILLERS = [
 
 # What an instruction asks for, and how it asks, by language; the mark stands for what.
 ASKED = {
-    "en": (["name", "your name", "date", "title", "serial number", "value", "comment", "company name", "address", "reviewer name", "text"], ["insert {} here", "insert {}", "enter {}", "enter {} here", "fill in {}", "add {} here", "your {}", "{} goes here", "TBD: {}", "to be filled in: {}", "replace with {}", "choose {}"]),
-    "de": (["Name", "Datum", "Titel", "Nummer", "Wert", "Kommentar", "Firma", "Name der Firma", "Name des Kunden", "Text"], ["{} hier einfügen", "{} einfügen", "{} eintragen", "{} hier eintragen", "{} eingeben", "{} ergänzen", "bitte {} eintragen", "Ihr {}"]),
-    "ko": (["이름", "날짜", "제목", "번호", "값", "의견", "회사 이름", "담당자 이름"], ["여기에 {} 입력", "{}을 입력하세요", "{}를 입력하세요", "{} 입력", "{} 기입", "{}"]),
-    "zh": (["姓名", "日期", "标题", "编号", "数值", "备注", "公司名称", "负责人姓名"], ["{}", "您的{}", "此处填写{}", "请输入{}", "请填写{}", "在此输入{}", "填写{}", "插入{}"]),
+    "en": (["name", "your name", "date", "title", "serial number", "value", "comment", "short description", "company name", "address", "reviewer name", "text"], ["insert {} here", "insert {}", "enter {}", "enter {} here", "fill in {}", "add {} here", "your {}", "{} goes here", "TBD: {}", "to be filled in: {}", "replace with {}", "choose {}"]),
+    "de": (["Name", "Datum", "Titel", "Nummer", "Wert", "Kommentar", "kurze Beschreibung", "Firma", "Name der Firma", "Name des Kunden", "Text"], ["{} hier einfügen", "{} einfügen", "{} eintragen", "{} hier eintragen", "{} eingeben", "{} ergänzen", "bitte {} eintragen", "Ihr {}"]),
+    "ko": (["이름", "날짜", "제목", "번호", "값", "의견", "간단한 설명", "회사 이름", "담당자 이름", "검토 담당자 이름"], ["여기에 {} 입력", "{}을 입력하세요", "{}를 입력하세요", "{} 입력", "{} 기입", "{}"]),
+    "zh": (["姓名", "日期", "标题", "编号", "数值", "备注", "简要说明", "公司名称", "负责人姓名", "审核员姓名", "联系人姓名"], ["{}", "您的{}", "此处填写{}", "请输入{}", "请填写{}", "在此输入{}", "填写{}", "插入{}"]),
 }
 #: Instructions in the brackets that they stand in, by rule.
 INSTRUCTIONS = [b.format(how.format(what)) for what, how in [pair for things, ways in ASKED.values() for pair in product(things, ways)] for b in ("[{}]", "<{}>", "({})")] + [b.format(how.format(what)) for k in ("ko", "zh") for what, how in product(*ASKED[k]) for b in ("【{}】", "（{}）", "＜{}＞")]
