@@ -59,6 +59,24 @@ def test_order_is_learnt_where_no_hint_is_given(spark):
     assert found[99]["epoch_ms"] == ms(2022, 3, 4, 10) and not found[99]["ambiguous"]
 
 
+def test_a_hint_is_weighed_and_not_obeyed(spark):
+    """The mixture decides: a word about the order outweighs few values, and an impossible value is none for all that."""
+    rows = [(i, f"{d}/3/2022 10:00:00", "UTC", True, datetime(2026, 1, 1), "") for i, d in enumerate(range(13, 29))] + [(50, "4/3/2022 10:00:00", "UTC", True, datetime(2026, 1, 1), ""), (51, "3/14/2022 10:00:00", "UTC", True, datetime(2026, 1, 1), ""), (52, "4/3/2022 10:00:00", "UTC", None, datetime(2026, 1, 1), "")]
+    run = lambda **k: {r["id"]: r for r in normalise_timestamps(spark.createDataFrame(rows, SCHEMA), "text", "zone", ["zone"], "day_first", "received_at", **k).collect()}
+    found = run()
+    assert found[50]["epoch_ms"] == found[52]["epoch_ms"] == ms(2022, 3, 4, 10) and found[51]["epoch_ms"] is None and found[51]["format"] is None and not found[51]["ambiguous"]
+    # With a source that is often misled the same value is read in the other order.
+    assert run(misled=0.2, unreadable=1e-9)[51]["epoch_ms"] == ms(2022, 3, 14, 10)
+
+
+def test_shared_abbreviations_are_read_as_their_source_reads_them(spark):
+    """CST is China's or America's time by the mixture: here only one of them is not in the future."""
+    at = datetime(2022, 3, 4, 12)
+    rows = [(i, f"2022-03-05 1{i % 10}:00:00 CST", "UTC", None, at, "") for i in range(9, 19)] + [(99, "2022-03-01 10:00:00 CST", "UTC", None, at, "")]
+    found = {r["id"]: r for r in normalise_timestamps(spark.createDataFrame(rows, SCHEMA), "text", "zone", ["zone"], "day_first", "received_at").collect()}
+    assert found[99]["format"] == "cst_china" and found[99]["epoch_ms"] == ms(2022, 3, 1, 2)
+
+
 def test_what_cannot_be_told_is_marked(spark):
     df = spark.createDataFrame([(1, "4/3/2022 10:00:00", "UTC", None, datetime(2026, 1, 1), ""), (1, "4/3/2022 10:00:00", "UTC", None, datetime(2026, 1, 1), "")], SCHEMA)
     rows = normalise_timestamps(df, "text", "zone", ["zone"], "day_first", "received_at").collect()

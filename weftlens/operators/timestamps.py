@@ -53,12 +53,12 @@ def _epoch_ms(ntz: Column) -> Column:
 
 
 def parse_candidates(df: DataFrame, text: str, zone: str, day_first: str | None = None, arrival: str | None = None) -> DataFrame:
-    """``df`` with ``candidates``: array of (format, epoch_ms, plausible) for each valid parse of ``text``.
+    """``df`` with ``candidates``: array of (format, epoch_ms, plausible, against) for each valid parse of ``text``.
 
     ``zone`` names the column with the IANA zone of texts that name none (null:
-    such texts have no candidate). Where ``day_first`` is null, both orders of
-    day and month are candidates. Null, blank and impossible texts give an
-    empty array.
+    such texts have no candidate). Both orders of day and month are candidates;
+    one that a stated ``day_first`` speaks against is marked. Null, blank and
+    impossible texts give an empty array.
     """
     value = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
     family = reduce(lambda e, f: e.when(value.rlike(f[1]), f[0]), [*EPOCHS, *FAMILIES], F.when(value.isNull() | (value == ""), F.lit(None).cast("string")))
@@ -108,8 +108,8 @@ def parse_candidates(df: DataFrame, text: str, zone: str, day_first: str | None
     choices = [
         F.struct(F.col("__family").alias("format"), digits_ms.alias("epoch_ms")),
         F.struct(F.concat("__family", F.when(F.col("__zone") == "", "_local").otherwise("_zoned")).alias("format"), F.when(~is_numeric, instant(a, b, offset)).alias("epoch_ms")),
-        F.struct(F.lit("numeric_dmy").alias("format"), F.when(is_numeric & F.coalesce(hint, F.lit(True)), instant(b, a, offset)).alias("epoch_ms")),
-        F.struct(F.lit("numeric_mdy").alias("format"), F.when(is_numeric & ~F.coalesce(hint, F.lit(False)), instant(a, b, offset)).alias("epoch_ms")),
+        F.struct(F.lit("numeric_dmy").alias("format"), F.when(is_numeric, instant(b, a, offset)).alias("epoch_ms")),
+        F.struct(F.lit("numeric_mdy").alias("format"), F.when(is_numeric, instant(a, b, offset)).alias("epoch_ms")),
         *[
             F.struct(F.lit(name).alias("format"), F.when((F.col("__zone") == short) & ~is_numeric, instant(a, b, F.lit(minutes))).alias("epoch_ms"))
             for short, readings in SHARED_ABBREVIATIONS.items()
@@ -120,16 +120,27 @@ def parse_candidates(df: DataFrame, text: str, zone: str, day_first: str | None
     latest = F.unix_millis(F.col(arrival)) + 86_400_000 if arrival else F.unix_millis(F.current_timestamp())
     earliest = F.lit(int(pd.Timestamp(_PLAUSIBLE_FROM).timestamp() * 1000))
     valid = F.filter(F.array(*choices), lambda c: c["epoch_ms"].isNotNull() & c["format"].isNotNull())
-    judged = F.transform(valid, lambda c: F.struct(c["format"].alias("format"), c["epoch_ms"].alias("epoch_ms"), c["epoch_ms"].between(earliest, latest).alias("plausible")))
+    against = lambda f: F.coalesce(((f == "numeric_dmy") & ~hint) | ((f == "numeric_mdy") & hint), F.lit(False))
+    judged = F.transform(valid, lambda c: F.struct(c["format"].alias("format"), c["epoch_ms"].alias("epoch_ms"), c["epoch_ms"].between(earliest, latest).alias("plausible"), against(c["format"]).alias("against")))
     return out.withColumn("candidates", judged).select(*df.columns, "candidates")
 
 
-def _fit(patterns: pd.DataFrame, rounds: int, unlikely: float, sure: float) -> pd.DataFrame:
-    """Mixture weights of one source by EM over its pattern counts, then the posterior choice of each pattern."""
+#: The component of texts that mean none of their parses; it is no format.
+UNREADABLE = "unreadable"
+
+
+def _fit(patterns: pd.DataFrame, rounds: int, unlikely: float, misled: float, unreadable: float, sure: float) -> pd.DataFrame:
+    """Mixture weights of one source by EM over its pattern counts, then the posterior choice of each pattern.
+
+    A parse has likelihood 1, ``unlikely`` outside the plausible span, and
+    ``misled`` of that against the source's own word; that a text means none of
+    its parses has ``unreadable``.
+    """
     patterns = patterns[patterns["pattern"] != ""]
     if patterns.empty:
         return pd.DataFrame({"source": [], "pattern": [], "format": [], "posterior": [], "ambiguous": []}).astype({"source": object, "pattern": object, "format": object, "posterior": float, "ambiguous": bool})
-    parsed = [[(c.rsplit("=", 1)[0], 1.0 if c.endswith("=1") else unlikely) for c in p.split(";")] for p in patterns["pattern"]]
+    weights = {"1": 1.0, "0": unlikely, "1!": misled, "0!": unlikely * misled}
+    parsed = [[(c.rsplit("=", 1)[0], weights[c.rsplit("=", 1)[1]]) for c in p.split(";")] + [(UNREADABLE, unreadable)] for p in patterns["pattern"]]
     names = sorted({f for p in parsed for f, _ in p})
     place = {f: i for i, f in enumerate(names)}
     like = np.zeros((len(parsed), len(names)))
@@ -152,29 +163,33 @@ def _fit(patterns: pd.DataFrame, rounds: int, unlikely: float, sure: float) -> p
     return pd.DataFrame({"source": patterns["source"].tolist(), "pattern": patterns["pattern"].tolist(), "format": [names[b] for b in best], "posterior": top, "ambiguous": top < sure}).astype({"source": object, "pattern": object, "format": object})
 
 
-def normalise_timestamps(df: DataFrame, text: str, zone: str, source: list[str], day_first: str | None = None, arrival: str | None = None, rounds: int = 50, unlikely: float = 0.01, sure: float = 0.9) -> DataFrame:
+def normalise_timestamps(df: DataFrame, text: str, zone: str, source: list[str], day_first: str | None = None, arrival: str | None = None, rounds: int = 50, unlikely: float = 0.01, misled: float = 1e-9, unreadable: float = 1e-6, sure: float = 0.9) -> DataFrame:
     """``df`` with ``format``, ``epoch_ms``, ``posterior`` and ``ambiguous``.
 
     ``source`` names the columns that tell sources apart; each gets its own
-    mixture. A stated ``day_first`` gives the other order no likelihood. A
-    value outside the plausible span counts ``unlikely`` as much. A posterior
-    below ``sure`` leaves the value ambiguous: its chosen format is reported,
-    its ``epoch_ms`` is null. Texts without a valid parse (null, blank,
-    impossible) have null format and instant and are not ambiguous. Repeated
+    mixture over formats and one component of texts that mean none of their
+    parses (likelihood ``unreadable``). A value outside the plausible span
+    counts ``unlikely`` as much, an order of day and month that a stated
+    ``day_first`` speaks against ``misled``: less than that it is no date, so a
+    month of 14 isn't rescued by the other order. A posterior below ``sure``
+    leaves the value ambiguous: its chosen format is reported, its
+    ``epoch_ms`` is null. Texts without a valid parse (null, blank, impossible,
+    or better explained as none) have null format and instant and are not
+    ambiguous. Repeated
     rows each count. An empty table gives an empty table. Columns of ``df``
     that clash with the new ones are kept under a name with ``_in`` after it.
     """
     df, name = set_aside(df, ["candidates", "format", "epoch_ms", "posterior", "ambiguous"])
     text, zone, source, day_first, arrival = name(text), name(zone), [name(c) for c in source], day_first and name(day_first), arrival and name(arrival)
     key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in source])
-    pattern = F.array_join(F.array_sort(F.transform("candidates", lambda c: F.concat(c["format"], F.when(c["plausible"], "=1").otherwise("=0")))), ";")
+    pattern = F.array_join(F.array_sort(F.transform("candidates", lambda c: F.concat(c["format"], F.when(c["plausible"], "=1").otherwise("=0"), F.when(c["against"], "!").otherwise("")))), ";")
     parsed = parse_candidates(df, text, zone, day_first, arrival).withColumns({"__source": key, "__pattern": pattern})
     # Texts without a candidate leave in the fit: a filter here would be pushed below the parse and copy it many times over.
     counts = parsed.groupBy(F.col("__source").alias("source"), F.col("__pattern").alias("pattern")).agg(F.count("*").alias("n"))
-    fitted = counts.groupBy("source").applyInPandas(lambda p: _fit(p, rounds, unlikely, sure), _EM)
+    fitted = counts.groupBy("source").applyInPandas(lambda p: _fit(p, rounds, unlikely, misled, unreadable, sure), _EM)
     fitted = fitted.select(F.col("source").alias("__source"), F.col("pattern").alias("__pattern"), "format", "posterior", "ambiguous")
     joined = parsed.join(fitted, ["__source", "__pattern"], "left")
     chosen = F.filter("candidates", lambda c: c["format"] == F.col("format"))
     return joined.select(
-        *df.columns, "format", F.when(~F.col("ambiguous"), F.try_element_at(chosen, F.lit(1))["epoch_ms"]).alias("epoch_ms"), "posterior", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous")
+        *df.columns, F.when(F.col("format") != UNREADABLE, F.col("format")).alias("format"), F.when(~F.col("ambiguous"), F.try_element_at(chosen, F.lit(1))["epoch_ms"]).alias("epoch_ms"), "posterior", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous")
     )
