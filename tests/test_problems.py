@@ -3,7 +3,7 @@
 import json
 from datetime import datetime
 
-from weftlens.operators.drift import consistent_table, path_values, schema_changes
+from weftlens.operators.drift import aliases, consistent_table, path_values, schema_changes
 from weftlens.operators.nested import flatten_inbox, flatten_tables
 from weftlens.operators.orphans import find_orphans
 from weftlens.operators.units import normalise_quantities
@@ -76,10 +76,23 @@ def test_consistent_table(spark):
     df = _exports(spark, {1: [(1, {"roiPosX": 0.5, "x": [1]}), (2, {"roi": {"posX": "wide"}}), (3, "{}"), (None, None)]})
     found = {r["project_id"]: r for r in consistent_table(df, {"pos_x": ("double", ["roiPosX", "roi.posX"])}).collect()}
     assert found[1]["pos_x"] == 0.5 and found[1]["unmapped"] == {"x": "[1]"} and found[2]["failed_casts"] == ["pos_x"] and found[2]["pos_x"] is None
+    kept = _exports(spark, {1: [(1, {}), (2, {"o": {}}), (3, '{"cut')]})
+    rows = {r["project_id"]: r for r in consistent_table(kept, {"a": ("double", ["a"])}).collect()}
+    assert set(rows) == {1, 2, 3} and rows[1]["unmapped"] == rows[2]["unmapped"] == {} and rows[3]["unmapped"] is None and consistent_table(kept.limit(0), {"a": ("double", ["a"])}).count() == 0
     clash = path_values(spark.createDataFrame([("k", '{"a":1}')], "path string, payload string"), "payload")
     assert [tuple(r) for r in clash.collect()] == [("k", "a", "number", "1.0")]
 
 
+def test_renamings_are_applied(spark):
+    recs = lambda name: [(i, {name: f"v{i}", "n": i}) for i in range(5)]
+    df = _exports(spark, {1: recs("Version"), 2: recs("version"), 3: recs("ver"), 4: [(i, {"ver": [i], "n": "x"}) for i in range(5)]})
+    found = aliases(schema_changes(df), {"v": ("string", ["Version"]), "n": ("bigint", ["n"])})
+    assert found == {"v": ("string", ["Version", "ver", "version"]), "n": ("bigint", ["n"])}
+    rows = {(r["batch_no"], r["project_id"]): r for r in consistent_table(df, found).collect()}
+    assert len(rows) == 20 and all(rows[b, i]["v"] == f"v{i}" and rows[b, i]["n"] == i and rows[b, i]["failed_casts"] == [] for b in (1, 2, 3) for i in range(5))
+    assert rows[4, 1]["v"] == "[1]" and rows[4, 1]["n"] is None and rows[4, 1]["failed_casts"] == ["n"]
+
+
 def test_orphans(spark):
     refs = spark.createDataFrame(
         [(1, 1, 0, T(2024, 3, 5)), (2, 1, 1, T(2024, 3, 5)), (3, 1, 2, T(2024, 3, 5)), (3, 1, 2, T(2024, 9, 5)), (4, 1, 7, T(2024, 4, 1)), (5, 1, None, T(2024, 4, 1)), (6, None, 1, T(2024, 4, 1)), (7, 1, -1, T(2024, 4, 1)), (8, 1, 2, T(2024, 12, 31, 23, 59))],

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,7 +26,12 @@ def _canonical(value) -> str | None:
     return json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
-def json_paths(text: str | None) -> list[tuple[str, str, str | None]] | None:
+def _raw(value) -> str | None:
+    """The value as it is written, strings without quotes."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def json_paths(text: str | None, written: Callable = _canonical) -> list[tuple[str, str, str | None]] | None:
     """(path, kind, value) of every field down through objects; null if the text is no JSON object."""
     try:
         top = json.loads(text)
@@ -40,7 +45,7 @@ def json_paths(text: str | None) -> list[tuple[str, str, str | None]] | None:
         for key, value in node.items():
             path = f"{prefix}.{key}" if prefix else key
             kind = _KINDS[type(value)]
-            out.append((path, kind, None if kind == "object" else _canonical(value)))
+            out.append((path, kind, None if kind == "object" else written(value)))
             if kind == "object":
                 todo.append((path, value))
     return out
@@ -106,36 +111,76 @@ def schema_changes(records: DataFrame, least_known: int = 3) -> DataFrame:
     digests, never as pairs of all gone with all new paths. Batches without a
     batch before, or without a valid record, give no changes.
     """
-    # A few rows per batch, used on both sides of every comparison: written once rather than planned and computed each time.
+    # A few rows per batch, used on both sides of the comparison: written once rather than planned and computed each time.
     stats = cut(path_statistics(records))
-    batches = stats.select("feed_id", "batch_no").distinct()
-    key = ["feed_id", "batch_no"]
-    followed = batches.join(batches.select("feed_id", (F.col("batch_no") + 1).cast(batches.schema["batch_no"].dataType).alias("batch_no")), key, "left_semi")
-    now = stats.join(followed, key, "left_semi").select(*key, "path", F.col("kinds").alias("new_kinds"), F.col("is_object").alias("new_object"), *[F.col(f"in_prev_{x}").alias(f"new_{x}") for x in ("n", "known", "h1", "h2")])
-    before = stats.withColumn("batch_no", (F.col("batch_no") + 1).cast(batches.schema["batch_no"].dataType)).join(followed, key, "left_semi")
-    before = before.select(*key, "path", F.col("kinds").alias("old_kinds"), F.col("is_object").alias("old_object"), *[F.col(f"in_next_{x}").alias(f"old_{x}") for x in ("n", "known", "h1", "h2")])
-    # Paths compare by code, as SQL equality does; both sides are keyed alike, so one exchange serves the full join.
+    key, number = ["feed_id", "batch_no"], stats.schema["batch_no"].dataType
+    digest = ("n", "known", "h1", "h2")
+    now = stats.select(*key, "path", F.col("kinds").alias("new_kinds"), F.col("is_object").alias("new_object"), *[F.col(f"in_prev_{x}").alias(f"new_{x}") for x in digest])
+    before = stats.select("feed_id", (F.col("batch_no") + 1).cast(number).alias("batch_no"), "path", F.col("kinds").alias("old_kinds"), F.col("is_object").alias("old_object"), *[F.col(f"in_next_{x}").alias(f"old_{x}") for x in digest])
     both = now.join(before, [*key, "path"], "full")
-    gone = both.filter("new_object is null and not old_object").select(*key, F.col("path").alias("prior_path"), F.col("old_n").alias("n"), F.col("old_known").alias("known"), F.col("old_h1").alias("h1"), F.col("old_h2").alias("h2"))
-    fresh = both.filter("old_object is null and not new_object").select(*key, F.col("path").alias("field_path"), F.col("new_n").alias("n"), F.col("new_known").alias("known"), F.col("new_h1").alias("h1"), F.col("new_h2").alias("h2"))
-    renamed = fresh.filter(F.col("known") >= least_known).join(gone, [*key, "n", "known", "h1", "h2"]).select(*key, "field_path", F.lit("renamed").alias("change_kind"), "prior_path")
-    added = both.filter("old_object is null").select(*key, F.col("path").alias("field_path")).join(renamed.select(*key, "field_path"), [*key, "field_path"], "left_anti")
-    removed = both.filter("new_object is null").select(*key, F.col("path").alias("field_path")).join(renamed.select(*key, F.col("prior_path").alias("field_path")), [*key, "field_path"], "left_anti")
-    retyped = both.filter("size(old_kinds) > 0 and size(new_kinds) > 0 and old_kinds <> new_kinds").select(*key, F.col("path").alias("field_path"))
-    plain = lambda df, kind: df.select(*key, "field_path", F.lit(kind).alias("change_kind"), F.lit("").alias("prior_path"))
-    return renamed.unionByName(plain(added, "added")).unionByName(plain(removed, "removed")).unionByName(plain(retyped, "retyped"))
+    # Batches that have a batch before, or are one, on one side only give no changes.
+    compared = both.groupBy(*key).agg(F.bool_or(F.col("new_object").isNotNull()).alias("a"), F.bool_or(F.col("old_object").isNotNull()).alias("b")).filter("a and b").select(*key)
+    is_new, is_gone = F.col("old_object").isNull(), F.col("new_object").isNull()
+    changed = both.filter(is_new | is_gone | ((F.size("old_kinds") > 0) & (F.size("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")))).join(compared, key, "left_semi")
+    # Paths of a batch with one digest meet: as many as a record has fields, at most. Objects and paths in both batches stay alone.
+    alone = (is_new & F.col("new_object")) | (is_gone & F.col("old_object")) | ~(is_new | is_gone)
+    shared = [F.coalesce(F.col(f"new_{x}"), F.col(f"old_{x}")).alias(x) for x in digest]
+    grouped = changed.groupBy(*key, F.when(alone, F.col("path")).alias("apart"), *shared).agg(F.collect_list(F.when(is_new, F.col("path"))).alias("fresh"), F.collect_list(F.when(is_gone, F.col("path"))).alias("gone"), F.collect_list(F.when(~is_new & ~is_gone, F.col("path"))).alias("kept"))
+    change = lambda paths, kind: F.transform(paths, lambda p: F.struct(p.alias("field_path"), F.lit(kind).alias("change_kind"), F.lit("").alias("prior_path")))
+    pairs = F.flatten(F.transform("fresh", lambda f: F.transform("gone", lambda g: F.struct(f.alias("field_path"), F.lit("renamed").alias("change_kind"), g.alias("prior_path")))))
+    renamed = F.col("apart").isNull() & (F.col("known") >= least_known) & (F.size("fresh") > 0) & (F.size("gone") > 0)
+    listed = F.when(renamed, pairs).otherwise(F.concat(change("fresh", "added"), change("gone", "removed"), change("kept", "retyped")))
+    return grouped.select(*key, F.explode(listed).alias("c")).select(*key, "c.field_path", "c.change_kind", "c.prior_path")
+
+
+def value_maps(df: DataFrame, payload: str) -> DataFrame:
+    """``df`` without its payload, and ``values``: raw text by path of every field that is no object; null where there is no valid JSON object."""
+    df, name = set_aside(df, ["values"])
+    payload = name(payload)
+    keep = [f for f in df.schema.fields if f.name != payload]
+    schema = T.StructType([*keep, T.StructField("values", T.MapType(T.StringType(), T.StringType()))])
+    names = [f.name for f in keep]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [json_paths(t, _raw) for t in batch[payload]]
+            yield batch[names].assign(values=pd.Series([None if f is None else {p: v for p, k, v in f if k != "object"} for f in found], index=batch.index, dtype=object))
+
+    return df.mapInPandas(read, schema)
+
+
+def aliases(changes: DataFrame, columns: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[str, list[str]]]:
+    """``columns`` (name to type and paths) with all further paths that theirs were renamed to or from, in any number of steps.
+
+    Only the aliases of the wanted columns come to the driver, one step at a
+    time. A path that two columns reach stays with the first.
+    """
+    pairs = cut(changes.filter("change_kind = 'renamed'").select(F.col("prior_path").alias("a"), F.col("field_path").alias("b")).distinct())
+    owner = {path: name for name, (_, paths) in columns.items() for path in paths}
+    edge = list(owner)
+    while edge:
+        rows = pairs.filter(F.col("a").isin(edge) | F.col("b").isin(edge)).orderBy("a", "b").collect()
+        reached = {}
+        for r in rows:
+            for x, y in ((r["a"], r["b"]), (r["b"], r["a"])):
+                if x in owner and y not in owner:
+                    reached.setdefault(y, owner[x])
+        owner |= reached
+        edge = list(reached)
+    return {name: (kind, [*paths, *sorted(p for p, n in owner.items() if n == name and p not in paths)]) for name, (kind, paths) in columns.items()}
 
 
 def consistent_table(records: DataFrame, columns: dict[str, tuple[str, list[str]]]) -> DataFrame:
     """One typed row per record: ``columns`` maps a name to its type and the paths it may stand under, first found first.
 
     ``failed_casts`` lists the columns whose raw value isn't null but doesn't
-    cast; ``unmapped`` holds the remaining paths with their raw texts. Repeated
-    rows of a record in a batch count once, at their first arrival.
+    cast; ``unmapped`` holds the remaining paths with their raw texts, and is
+    null for records without valid JSON. Records without any of the fields keep
+    their row. Repeated rows of a record in a batch count once, at their first
+    arrival; rows cut short have no project_id and are no record.
     """
     once = records.filter("project_id is not null").groupBy("feed_id", "batch_no", "project_id").agg(F.min_by("payload", F.struct("received_at", "payload")).alias("payload"))
-    values = path_values(once, "payload").filter("kind <> 'object'")
-    wide = values.groupBy("feed_id", "batch_no", "project_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("__m"))
+    wide = value_maps(once, "payload").withColumnRenamed("values", "__m")
     raw = {name: F.coalesce(*[F.try_element_at("__m", F.lit(p)) for p in paths]) for name, (_, paths) in columns.items()}
     typed = {name: raw[name].try_cast(kind) for name, (kind, _) in columns.items()}
     failed = F.filter(F.array(*[F.when(raw[n].isNotNull() & typed[n].isNull(), F.lit(n)) for n in columns]), lambda x: x.isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.drift import schema_changes
+from ..operators.drift import aliases, consistent_table, schema_changes
 from ..operators.nested import flatten_inbox
 from ..operators.orphans import find_reference_orphans
 from ..operators.timestamps import normalise_timestamps
@@ -41,6 +41,20 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return schema_changes(read_table(spark, base, "raw_exports", "feed_id", "batch_no", "project_id", "payload", "received_at"))
 
 
+#: Columns of the consistent table of ``raw_exports``: type and first names; renamings found in the feeds add the others.
+EXPORT_COLUMNS = {
+    "project_name": ("string", ["projectName"]), "project_type": ("string", ["projectType", "projectType.code"]), "format_version": ("double", ["Version"]), "roi_mode": ("string", ["roiMode"]), "roi_pos_x": ("double", ["roiPosX"]),
+    "roi_pos_y": ("double", ["roiPosY"]), "roi_width": ("double", ["roiWidth"]), "station": ("string", ["station"]), "created_by": ("string", ["createdBy"]), "description": ("string", ["description"]), "file_count": ("bigint", ["fileCount"]),
+}
+
+
+def p2_table(spark: SparkSession, base: str) -> DataFrame:
+    """All records of ``raw_exports`` in one typed table, renamings applied, with the casts that failed and the number of fields left over."""
+    records = read_table(spark, base, "raw_exports", "feed_id", "batch_no", "project_id", "payload", "received_at")
+    table = consistent_table(records, aliases(schema_changes(records), EXPORT_COLUMNS))
+    return table.select("feed_id", "batch_no", "project_id", *EXPORT_COLUMNS, F.array_join("failed_casts", ",").alias("failed_casts"), F.when(F.col("unmapped").isNotNull(), F.size("unmapped")).alias("n_unmapped"))
+
+
 def quantities_table(spark: SparkSession, base: str) -> DataFrame:
     """Every quantity of problem 3 with its number, unit, pixels and status."""
     projects = _with_station(spark, base)
@@ -72,7 +86,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 
 _SPACES = r"[\s\x{00A0}\x{2007}\x{2009}\x{202F}]"
 _NUMBER = r"([+\-]?[0-9](?:[0-9.,'\s\x{00A0}\x{2007}\x{2009}\x{202F}]*[0-9])?(?:[eE][+\-]?[0-9]+)?)"
