@@ -1,11 +1,14 @@
 """Units, nested records, drift and orphans on small fixtures."""
 
 import json
+import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from weftlens.operators.drift import aliases, consistent_table, path_values, schema_changes
 from weftlens.operators.nested import flatten_inbox, flatten_tables
-from weftlens.operators.orphans import find_orphans
+from weftlens.operators.orphans import find_orphans, numbered_path, parent_keys, parent_runs
 from weftlens.operators.units import normalise_quantities
 from weftlens.sources.tables import first_arrivals
 
@@ -93,6 +96,37 @@ def test_renamings_are_applied(spark):
     assert rows[4, 1]["v"] == "[1]" and rows[4, 1]["n"] is None and rows[4, 1]["failed_casts"] == ["n"]
 
 
+def test_orphans_equal_brute_force(spark):
+    """Runs of live and deleted keys, holes, block edges and arrivals on either side, against every key looked up."""
+    rng = random.Random(6)
+    at = lambda: T(2024, rng.randint(1, 12), rng.randint(1, 28))
+    parents = [(rng.randint(1, 3), k, at() if rng.random() < 0.3 else None, at()) for k in [*range(65_500, 65_580), *range(-20, 20)] for _ in range(rng.choice([0, 1, 1, 2]))]
+    refs = [(i, rng.choice([1, 2, 3, None]), rng.choice([rng.randint(65_490, 65_590), rng.randint(-30, 30)]), at()) for i in range(1500)]
+    expected = set()
+    for i, scope, key, seen in refs:
+        live = [r for s, k, d, r in parents if (s, k) == (scope, key) and d is None]
+        have = [1 for s, k, _, _ in parents if (s, k) == (scope, key)]
+        kind = "missing" if not have else "deleted" if not live else "late" if min(live) > seen else None
+        if kind:
+            expected.add((i, kind, f"{seen:%Y-%m}"))
+    df, pf = spark.createDataFrame(refs, "row_id long, scope long, key long, received_at timestamp"), spark.createDataFrame(parents, "scope long, key long, deleted_at timestamp, received_at timestamp")
+    assert {tuple(r) for r in find_orphans(df, pf).collect()} == expected and {k for _, k, _ in expected} == {"missing", "deleted", "late"}
+    runs = parent_runs(parent_keys(pf)).collect()
+    assert sum(r["run_end"] - r["run_start"] + 1 for r in runs) == parent_keys(pf).count() and len(runs) < parent_keys(pf).count() and all(r["run_start"] >> 16 == r["run_end"] >> 16 for r in runs)
+
+
+def test_numbered_paths(spark):
+    paths = ["a/IMG_0009.png", "A\\img_0010.PNG", "a/img_10.png", "a/readme", "a/x" + "9" * 25, "", None, "ａ/img_0011.png", "img_7/0012.png", "a/Ａ.png"]
+    rows = spark.createDataFrame([(i, 1, p) for i, p in enumerate(paths)], "i int, project long, path string").select("i", numbered_path(F.col("project"), F.col("path")).alias("p")).orderBy("i").collect()
+    scope, key = [r["p"] and r["p"]["scope"] for r in rows], [r["p"] and r["p"]["key"] for r in rows]
+    assert scope[0] == scope[1] == scope[7] != scope[2] and key[:3] == [9, 10, 10] and key[7] == 11 and key[3] == 0 and key[4] == 10**18 - 1 and key[6] is None and key[8] == 12
+    assert len({(str(s), k) for s, k in zip(scope, key)}) == len(paths)
+    refs = spark.createDataFrame([(i, 1, f"d/f_{n:04d}.png", T(2024, 5, 1)) for i, n in enumerate((3, 7, 12))], "entry_id long, project long, path string, received_at timestamp").select(F.col("entry_id").alias("row_id"), numbered_path(F.col("project"), F.col("path")).alias("p"), "received_at").select("row_id", "p.*", "received_at")
+    files = spark.createDataFrame([(1, f"d\\F_{n:04d}.PNG", None, T(2024, 1, 1)) for n in range(1, 11) if n != 7], "project long, path string, deleted_at timestamp, received_at timestamp").select(numbered_path(F.col("project"), F.col("path")).alias("p"), "deleted_at", "received_at").select("p.*", "deleted_at", "received_at")
+    assert {tuple(r) for r in find_orphans(refs, files).collect()} == {(1, "missing", "2024-05"), (2, "missing", "2024-05")}
+    assert parent_runs(parent_keys(files)).count() == 2  # nine files, two runs
+
+
 def test_orphans(spark):
     refs = spark.createDataFrame(
         [(1, 1, 0, T(2024, 3, 5)), (2, 1, 1, T(2024, 3, 5)), (3, 1, 2, T(2024, 3, 5)), (3, 1, 2, T(2024, 9, 5)), (4, 1, 7, T(2024, 4, 1)), (5, 1, None, T(2024, 4, 1)), (6, None, 1, T(2024, 4, 1)), (7, 1, -1, T(2024, 4, 1)), (8, 1, 2, T(2024, 12, 31, 23, 59))],
@@ -101,5 +135,6 @@ def test_orphans(spark):
     parents = spark.createDataFrame([(1, 0, None, T(2024, 1, 1)), (1, 1, T(2024, 2, 1), T(2024, 1, 1)), (1, 2, None, T(2024, 6, 1)), (1, 2, T(2024, 1, 2), T(2024, 1, 1)), (2, 7, None, T(2020, 1, 1))], "scope long, key long, deleted_at timestamp, received_at timestamp")
     expected = {(2, "deleted", "2024-03"), (3, "late", "2024-03"), (4, "missing", "2024-04"), (6, "missing", "2024-04"), (7, "missing", "2024-04")}
     assert {tuple(r) for r in find_orphans(refs, parents).collect()} == expected
-    assert {tuple(r) for r in find_orphans(refs, parents, hashed=True).collect()} == expected
+    wide = lambda df: df.withColumns({"scope": F.expr("if(scope is null, null, struct(scope as project, 5 as a))"), "key": F.col("key") * 70_000})
+    assert {tuple(r) for r in find_orphans(wide(refs), wide(parents)).collect()} == expected
     assert find_orphans(refs, parents.limit(0)).count() == 7 and find_orphans(refs.limit(0), parents).count() == 0

@@ -1,17 +1,20 @@
 """References to records that do not exist (problem 6).
 
-Parent keys are integers (class indexes as they are, paths by a 64-bit hash of
-their consistent form). Per project they are sorted and compressed into runs
-of consecutive keys; distinct referenced keys are matched as-of to the run
-that starts at or before them, and keys beyond its end are missing. A run
-carries the first arrival of a live row of each of its keys, so that the same
-match tells deleted and late targets.
-
-Keys are cut into blocks of 65,536 values (for hashes: 256 ranges), and runs
-end at the block's edge: project and block together partition the match, so a
-project that holds a third of all rows is many tasks. Reference rows never
-take part in it, only their distinct keys; rows come back by an equi-join
-with those keys that have an orphan at all.
+Parent keys are integers. Per scope they are sorted and compressed into runs
+of consecutive keys that are alike, live or deleted; distinct referenced keys
+are matched as-of to the run that starts at or before them, and keys beyond
+its end are missing. A run carries the first and the last arrival of its live
+keys: only references between the two have to look their key's arrival up.
+
+Paths become integers by their running number: the last digits of a path are
+its key, and the rest of it, with the number of digits, its scope within the
+project. Files numbered through are one run.
+
+Keys are cut into blocks of 65,536 values, and runs end at the block's edge:
+scope and block together partition the match, so a project that holds a third
+of all rows is many tasks. Reference rows never take part in it, only their
+distinct keys; rows come back by an equi-join with those keys that have an
+orphan at all.
 """
 
 from __future__ import annotations
@@ -20,77 +23,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import bind
 from ..functions.visual import visual_path
 
 
-def _block(key: Column, hashed: bool) -> Column:
-    return F.shiftright(key, 56 if hashed else 16)
+#: Bits of a key within its block.
+BLOCK_BITS = 16
 
 
-def parent_runs(parents: DataFrame, hashed: bool = False) -> DataFrame:
-    """(scope, block, run_start, run_end, live_at[]) of parents (scope, key, deleted_at, received_at).
+def _block(key: Column) -> Column:
+    return F.shiftright(key, BLOCK_BITS)
 
-    ``live_at[i]`` is the first arrival of an undeleted row with key
-    ``run_start + i``; null if all its rows are deleted. Parents with a null
-    scope or key are no targets.
+
+def parent_keys(parents: DataFrame) -> DataFrame:
+    """(scope, key, live_at) of parents (scope, key, deleted_at, received_at): ``live_at`` is the first arrival of an undeleted row, null if all are deleted.
+
+    Parents with a null scope or key are no targets.
     """
-    keys = (
-        parents.filter("scope is not null and key is not null")
-        .groupBy("scope", _block(F.col("key"), hashed).alias("block"), "key")
-        .agg(F.min(F.when(F.col("deleted_at").isNull(), F.col("received_at"))).alias("live_at"))
-    )
-    at = Window.partitionBy("scope", "block").orderBy("key")
-    runs = keys.withColumn("run", F.col("key") - F.row_number().over(at)).groupBy("scope", "block", "run")
-    listed = F.array_sort(F.collect_list(F.struct("key", "live_at")))
-    return runs.agg(F.min("key").alias("run_start"), F.max("key").alias("run_end"), F.transform(listed, lambda x: x["live_at"]).alias("live_at")).drop("run")
-
-
-def find_orphans(references: DataFrame, parents: DataFrame, hashed: bool = False) -> DataFrame:
+    live = F.when(F.col("deleted_at").isNull(), F.col("received_at"))
+    return parents.filter("scope is not null and key is not null").groupBy("scope", "key").agg(F.min(live).alias("live_at"))
+
+
+def parent_runs(keys: DataFrame) -> DataFrame:
+    """(scope, block, run_start, run_end, deleted, first_live, last_live) of ``parent_keys``: consecutive keys that are all live or all deleted."""
+    at = lambda *by: Window.partitionBy("scope", "block", *by).orderBy("key")
+    alike = keys.select("scope", _block(F.col("key")).alias("block"), "key", "live_at", F.col("live_at").isNull().alias("deleted"))
+    runs = alike.withColumn("run", F.col("key") - F.row_number().over(at("deleted"))).groupBy("scope", "block", "deleted", "run")
+    return runs.agg(F.min("key").alias("run_start"), F.max("key").alias("run_end"), F.min("live_at").alias("first_live"), F.max("live_at").alias("last_live")).drop("run")
+
+
+def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """Rows (row_id, orphan_kind, period) of references (row_id, scope, key, received_at) without a live target in time.
 
     ``missing``: no target; ``deleted``: every target is deleted; ``late``:
     the first live target arrived after the reference. ``period`` is the month
     (UTC) of the reference's first arrival; redelivered references count once,
     at their first arrival. A null key is no reference; a null scope has no
-    targets, so its keys are missing.
+    targets, so its keys are missing. Scopes may be structs.
     """
     refs = references.filter("key is not null and row_id is not null")
-    wanted = refs.groupBy("scope", "key").agg(F.min("received_at").alias("first_ref")).withColumn("block", _block(F.col("key"), hashed))
-    runs = parent_runs(parents, hashed)
-    run = F.struct("run_start", "run_end", "live_at")
-    empty = F.lit(None).cast(runs.select(run.alias("r")).schema["r"].dataType)
-    merged = runs.select("scope", "block", F.col("run_start").alias("key"), F.lit(0).alias("is_ref"), run.alias("run"), F.lit(None).cast("timestamp").alias("first_ref")).unionByName(
-        wanted.select("scope", "block", "key", F.lit(1).alias("is_ref"), empty.alias("run"), "first_ref")
-    )
+    wanted = refs.groupBy("scope", "key").agg(F.min("received_at").alias("first_ref"))
+    targets = parent_keys(parents)
+    run = ["run_end", "deleted", "last_live"]
+    runs = parent_runs(targets).select("scope", "block", F.col("run_start").alias("key"), F.lit(0).alias("is_ref"), F.struct(*run).alias("run"), F.lit(None).cast("timestamp").alias("first_ref"))
+    nothing = F.lit(None).cast(runs.schema["run"].dataType).alias("run")
+    merged = runs.unionByName(wanted.select("scope", _block(F.col("key")).alias("block"), "key", F.lit(1).alias("is_ref"), nothing, "first_ref"))
     preceding = Window.partitionBy("scope", "block").orderBy("key", "is_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     matched = merged.withColumn("run", F.last("run", ignorenulls=True).over(preceding)).filter("is_ref = 1")
-    inside = F.col("run").isNotNull() & (F.col("key") <= F.col("run.run_end"))
-    live_at = F.when(inside, F.get("run.live_at", (F.col("key") - F.col("run.run_start")).cast("int")))
-    keys = matched.select("scope", "key", inside.alias("exists"), live_at.alias("live_at"), "first_ref")
-    keys = keys.filter("not exists or live_at is null or live_at > first_ref").select(F.coalesce("scope", F.lit(-(2**62))).alias("scope"), "key", "exists", "live_at")
-    kind = F.when(~F.col("exists"), "missing").when(F.col("live_at").isNull(), "deleted").when(F.col("live_at") > F.col("received_at"), "late")
-    hits = refs.withColumn("scope", F.coalesce("scope", F.lit(-(2**62)))).join(keys, ["scope", "key"]).select("row_id", "received_at", kind.alias("orphan_kind"))
+    inside = F.coalesce(F.col("key") <= F.col("run.run_end"), F.lit(False))
+    known = F.when(~inside, "missing").when(F.col("run.deleted"), "deleted").when(F.col("run.last_live") > F.col("first_ref"), "late")
+    suspects = matched.select("scope", "key", known.alias("known")).filter("known is not null")
+    # The rows of these keys, a small share: only those that may be late ask for the arrival of their very key.
+    hits = refs.alias("r").join(suspects.alias("s"), F.col("r.scope").eqNullSafe(F.col("s.scope")) & (F.col("r.key") == F.col("s.key"))).select("r.row_id", "r.scope", "r.key", "r.received_at", "s.known")
+    timed = hits.filter("known = 'late'").join(targets, ["scope", "key"]).select("row_id", "received_at", F.when(F.col("live_at") > F.col("received_at"), "late").alias("orphan_kind"))
+    found = hits.filter("known <> 'late'").select("row_id", "received_at", F.col("known").alias("orphan_kind")).unionByName(timed)
     # A redelivered row arrives later: it can lose "late", never gain it, so its first arrival decides and is here if any row is.
-    once = hits.groupBy("row_id").agg(F.min_by("orphan_kind", "received_at").alias("orphan_kind"), F.min("received_at").alias("received_at"))
+    once = found.groupBy("row_id").agg(F.min_by("orphan_kind", "received_at").alias("orphan_kind"), F.min("received_at").alias("received_at"))
     return once.filter("orphan_kind is not null").select("row_id", "orphan_kind", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("received_at").cast("timestamp_ntz")), "yyyy-MM").alias("period"))
 
 
-def path_key(path: Column) -> Column:
-    """Integer key of a path: hash of its consistent form; null stays null."""
-    return F.when(path.isNotNull(), F.xxhash64(visual_path(path)))
+def numbered_path(project: Column, path: Column) -> Column:
+    """(scope, key) of a path in its consistent form: its last digits, up to 18 of them, are the key; the rest, hashed to 128 bits, and the project are the scope. Null stays null."""
+    def split(form: Column) -> Column:
+        digits = F.regexp_extract(form, r"([0-9]{1,18})[^0-9]*$", 1)
+        rest = F.regexp_replace(form, r"[0-9]{1,18}([^0-9]*)$", "\u0001$1")
+        shape = F.concat(rest, F.lit("\u0001"), F.length(digits).cast("string"))
+        scope = F.when(project.isNotNull(), F.struct(project.alias("project"), F.xxhash64(shape).alias("a"), F.xxhash64(F.lit(1), shape).alias("b")))
+        return F.struct(scope.alias("scope"), F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint")).alias("key"))
+
+    return F.when(path.isNotNull(), bind(visual_path(path), split))
 
 
 def find_reference_orphans(manifest: DataFrame, files: DataFrame, archive: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """All orphans of the annotation tables: (table_name, row_id, field_name, orphan_kind, period)."""
-    as_path = lambda df, row_id, path: df.select(*([F.col(row_id).alias("row_id")] if row_id else []), F.col("project_key").alias("scope"), path_key(F.col(path)).alias("key"), *([] if row_id else ["deleted_at"]), "received_at")
+    as_path = lambda df, row_id, path: df.select(*([F.col(row_id).alias("row_id")] if row_id else []), numbered_path(F.col("project_key"), F.col(path)).alias("p"), *([] if row_id else ["deleted_at"]), "received_at").withColumns({"scope": F.col("p.scope"), "key": F.col("p.key")}).drop("p")
+    as_index = lambda df, *columns: df.select(F.col("project_key").alias("scope"), F.col("class_index").cast("long").alias("key"), *columns, "received_at")
     sets = [
-        ("manifest_entries", "original_path", as_path(manifest, "entry_id", "original_path"), as_path(files, None, "source_path"), True),
-        ("manifest_entries", "relative_path", as_path(manifest, "entry_id", "relative_path"), as_path(archive, None, "entry_name"), True),
-        (
-            "project_labels", "class_index",
-            labels.select(F.col("label_uid").alias("row_id"), F.col("project_key").alias("scope"), F.col("class_index").cast("long").alias("key"), "received_at"),
-            classes.select(F.col("project_key").alias("scope"), F.col("class_index").cast("long").alias("key"), "deleted_at", "received_at"), False,
-        ),
+        ("manifest_entries", "original_path", as_path(manifest, "entry_id", "original_path"), as_path(files, None, "source_path")),
+        ("manifest_entries", "relative_path", as_path(manifest, "entry_id", "relative_path"), as_path(archive, None, "entry_name")),
+        ("project_labels", "class_index", as_index(labels, F.col("label_uid").alias("row_id")), as_index(classes, "deleted_at")),
     ]
-    found = [find_orphans(refs, parents, hashed).select(F.lit(table).alias("table_name"), "row_id", F.lit(field).alias("field_name"), "orphan_kind", "period") for table, field, refs, parents, hashed in sets]
+    found = [find_orphans(refs, parents).select(F.lit(table).alias("table_name"), "row_id", F.lit(field).alias("field_name"), "orphan_kind", "period") for table, field, refs, parents in sets]
     return found[0].unionByName(found[1]).unionByName(found[2])
