@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from weftlens.functions.columns import set_aside
 from weftlens.functions.visual import shape_of, visual_form
+from weftlens.session import cut
 
 _TOKEN = re.compile(r"[0-9 !-/:-@\[-`{-~]+|[^0-9 !-/:-@\[-`{-~]+")
 
@@ -187,10 +188,9 @@ def alike_pairs(rows: DataFrame, spellings: dict[str, int]) -> DataFrame:
     # Spellings of a group meet, not its rows: a text that is written one way by very many rows is one spelling.
     written = keyed.select(*key, "text").distinct()
     mixed = written.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    some = written.join(mixed, key, "left_semi")
+    some = cut(written.join(mixed, key, "left_semi"))
     spelled = some.withColumnRenamed("text", "text_a").join(some.withColumnRenamed("text", "text_b"), key).filter("text_a < text_b").select("scope", "field_name", "text_a", "text_b")
-    members = keyed.select("scope", "field_name", "id", "text")
-    one = members.select("scope", "field_name", F.col("id").alias("x"), F.col("text").alias("text_a"))
-    other = members.select("scope", "field_name", F.col("id").alias("y"), F.col("text").alias("text_b"))
+    one = rows.select("scope", "field_name", F.col("id").alias("x"), F.col("text").alias("text_a"))
+    other = rows.select("scope", "field_name", F.col("id").alias("y"), F.col("text").alias("text_b"))
     pairs = spelled.join(one, ["scope", "field_name", "text_a"]).join(other, ["scope", "field_name", "text_b"]).filter("x <> y")
     return pairs.select("scope", "field_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
