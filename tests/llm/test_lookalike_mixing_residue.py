@@ -7,6 +7,7 @@ import pytest
 
 import residue_cases
 from weftlens.functions.visual import LOOK_ALIKES, visual_form
+from weftlens.llm import mixing
 from weftlens.llm import residue_seeds as seeds
 from weftlens.llm.lookalike import SpellingTrie, alike_pairs, canonical_texts, vocabulary
 from weftlens.llm.mixing import default_tokenizer, mix_report, mix_selection, route, with_token_counts
@@ -101,6 +102,30 @@ def test_mix(mixed, total):
     assert abs(sum(r["actual_share"] for r in report.values()) - 1) < 1e-9
 
 
+def test_a_mix_as_large_as_its_sources(mixed):
+    docs, targets = mixed
+    held = docs.filter("source in ('big', 'small', 'copy')").agg({"n_tokens": "sum"}).first()[0]
+    report = {r["source"]: r for r in mix_report(mix_selection(docs, targets, None, seed=4), targets).collect()}
+    assert abs(report["big"]["tokens"] - held * 60 / 105) <= 40 and report["small"]["most_repeats"] == 3
+
+
+def test_more_sources_than_patterns_are_routed_for(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 4)
+    rng = random.Random(9)
+    docs = [(i, f"text {rng.randrange(60)}", f"s{rng.randrange(12)}", 10) for i in range(600)]
+    targets = spark.createDataFrame([(f"s{i}", 1.0 + i % 3, 1 + i % 2) for i in range(12)], "source string, target_weight double, max_repeats int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_tokens long")
+    chosen = mix_selection(df, targets, 4000).collect()
+    sums = {}
+    for r in chosen:
+        assert docs[r["doc_id"]][2] == r["source"] and 1 <= r["repeats"] <= 1 + int(r["source"][1:]) % 2
+        sums[r["source"]] = sums.get(r["source"], 0) + r["repeats"] * 10
+    have = {s: sum(10 for d in docs if d[2] == s) for s in sums}
+    for i in range(12):
+        quota, most = 4000 * (1 + i % 3) / 24, have[f"s{i}"] * (1 + i % 2)
+        assert min(quota, most) - 10 <= sums[f"s{i}"] <= min(quota + 10, most)
+
+
 def test_mix_of_nothing(mixed):
     docs, targets = mixed
     assert mix_selection(docs.limit(0), targets, 100).count() == 0 and mix_selection(docs, targets.limit(0), 100).count() == 0

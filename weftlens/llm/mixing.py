@@ -25,8 +25,10 @@ from weftlens.session import cut
 
 #: Hash buckets of a text selection: a window sorts one bucket at a time.
 BUCKETS = 4096
-#: Sources that may be mixed at once; bounds the membership patterns.
-MOST_SOURCES = 16
+#: Membership patterns that are routed as such, the largest first. Up to 16 sources have no more; of more sources, the
+#: documents of smaller patterns are routed by their source alone: quotas and caps hold all the same, only uses of one
+#: text under several sources aren't told apart from others.
+MOST_PATTERNS = 1 << 16
 
 
 def with_token_counts(documents: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
@@ -98,19 +100,19 @@ def route(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats:
     return {ps: arcs[k ^ 1][1] for ps, k in at.items() if arcs[k ^ 1][1] > 0}
 
 
-def mix_selection(documents: DataFrame, targets: DataFrame, total_tokens: int, seed: int = 0) -> DataFrame:
+def mix_selection(documents: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int = 0) -> DataFrame:
     """(doc_id, source, n_tokens, repeats): how often each document is used, of documents (doc_id, text, source, n_tokens).
 
     ``targets`` is (source, target_weight, max_repeats); shares are weights
-    over their sum. Each source's tokens meet its quota but for less than the
+    over their sum; ``total_tokens`` None asks for as many as the listed
+    sources hold, so that small ones are repeated and large ones drawn from.
+    Each source's tokens meet its quota but for less than the
     size of one document, or fall short where ``max_repeats`` forbids more. No
     document is used more often than its own source's ``max_repeats``. Sources
     not listed are not used; a source without documents gets nothing. Null and
     blank texts have no tokens and aren't selected.
     """
-    listed = {r["source"]: (float(r["target_weight"]), int(r["max_repeats"])) for r in targets.filter("source is not null and target_weight > 0 and max_repeats > 0").limit(MOST_SOURCES + 1).collect()}
-    if len(listed) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    listed = {r["source"]: (float(r["target_weight"]), int(r["max_repeats"])) for r in targets.filter("source is not null and target_weight > 0 and max_repeats > 0").collect()}
     spark, total = documents.sparkSession, sum(w for w, _ in listed.values())
     empty = spark.createDataFrame([], "doc_id long, source string, n_tokens long, repeats int")
     if not listed:
@@ -118,9 +120,20 @@ def mix_selection(documents: DataFrame, targets: DataFrame, total_tokens: int, s
     used = documents.filter(F.col("source").isin(*listed) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens", F.xxhash64("text").alias("text_id"))
     # Repeated rows of a document in a source count once. Written once: texts are counted in tokens once.
     held = cut(used.groupBy("doc_id", "source").agg(F.min_by(F.struct("text_id", "n_tokens"), "text_id").alias("t")).select("doc_id", "source", "t.*"))
+    if total_tokens is None:
+        total_tokens = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     texts = held.groupBy("text_id").agg(F.array_join(F.array_sort(F.collect_set("source")), "\u0001").alias("pattern_key"), F.max("n_tokens").alias("text_tokens"))
+    if len(listed) > MOST_PATTERNS.bit_length() - 1:
+        largest = cut(texts.groupBy("pattern_key").agg(F.sum("text_tokens").alias("t")).orderBy(F.desc("t"), "pattern_key").limit(MOST_PATTERNS)).select("pattern_key")
+        alone = held.join(texts.join(largest, "pattern_key", "left_anti").select("text_id"), "text_id", "left_semi")
+        alone = alone.groupBy("text_id", "source").agg(F.max("n_tokens").alias("text_tokens")).select("text_id", "source", F.col("source").alias("pattern_key"), "text_tokens")
+        together = held.select("text_id", "source").distinct().join(texts.join(largest, "pattern_key", "left_semi"), "text_id").select("text_id", "source", "pattern_key", "text_tokens")
+        by_source = together.unionByName(alone)
+        texts = together.drop("source").distinct().unionByName(alone.drop("source"))
+    else:
+        by_source = texts
     first = held.groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", F.lit(0).alias("copy"))
-    placed = held.join(first, ["doc_id", "source"], "left").fillna(1, ["copy"]).join(texts.drop("text_tokens"), "text_id")
+    placed = held.join(first, ["doc_id", "source"], "left").fillna(1, ["copy"]).join(by_source.drop("text_tokens"), ["text_id", "source"] if "source" in by_source.columns else "text_id")
     # Copies are ordered by their own hashes: many of one text don't meet in one bucket.
     placed = placed.withColumn("order", F.xxhash64(F.lit(seed), F.when(F.col("copy") == 0, F.col("text_id")).otherwise(F.col("doc_id"))))
     placed = placed.withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
@@ -132,7 +145,7 @@ def mix_selection(documents: DataFrame, targets: DataFrame, total_tokens: int, s
     quota = {s: round(total_tokens * w / total) for s, (w, _) in listed.items()}
     flows = route(capacity, quota, {s: n for s, (_, n) in listed.items()}, in_source)
     rows = [("\u0001".join(p), s, f // in_source[p, s], f % in_source[p, s]) for (p, s), f in flows.items()]
-    plan = F.broadcast(spark.createDataFrame(rows, "pattern_key string, source string, every long, part long")) if rows else None  # at most 2^16 patterns by 16 sources; as many as the corpus has
+    plan = F.broadcast(spark.createDataFrame(rows, "pattern_key string, source string, every long, part long")) if rows else None  # at most MOST_PATTERNS by their sources, and the sources alone
     if plan is None:
         return empty
     # Each pattern and source starts at its own place in the order, so that sources don't all take the same texts once more.

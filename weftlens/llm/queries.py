@@ -52,7 +52,7 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
     return leak_report(leaks(spark, base), read_table(spark, base, "eval_items", "item_id", "suite", "lang"))
 
 
-def _mix(spark: SparkSession, base: str, total_tokens: int) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, base: str, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     tokenizer, pattern = default_tokenizer(spark)
     documents = with_token_counts(read_table(spark, base, "documents", "doc_id", "text", "source"), tokenizer, pattern)
     targets = read_table(spark, base, "mix_targets")
@@ -60,19 +60,29 @@ def _mix(spark: SparkSession, base: str, total_tokens: int) -> tuple[DataFrame,
 
 
 def p9_mix(spark: SparkSession, base: str) -> DataFrame:
-    """Report of a mix of five million tokens."""
-    return mix_report(*_mix(spark, base, 5_000_000))
+    """Report of a mix as large as the listed sources together: large ones are drawn from, small ones repeated."""
+    return mix_report(*_mix(spark, base))
 
 
 def p9_selection(spark: SparkSession, base: str) -> DataFrame:
-    return _mix(spark, base, 5_000_000)[0]
+    return _mix(spark, base)[0]
+
+
+def p9_conservation(spark: SparkSession, base: str) -> DataFrame:
+    """Per listed source what a mix must keep whatever it selects: known documents of that source once each, caps, and its quota unless the caps forbid it."""
+    selection, targets = _mix(spark, base)
+    documents = read_table(spark, base, "documents", F.col("doc_id"), F.col("source").alias("of")).distinct()
+    joined = selection.join(documents, "doc_id", "left").join(targets.select("source", "max_repeats"), "source")
+    kept = joined.groupBy("source").agg(F.bool_and(F.col("of").eqNullSafe(F.col("source"))).alias("own"), (F.count("*") == F.countDistinct("doc_id")).alias("once"), F.bool_and(F.col("repeats").between(1, F.col("max_repeats"))).alias("capped"))
+    held = read_table(spark, base, "documents", "source", "text").filter("trim(text) <> ''").select("source").distinct().join(targets.select("source"), "source", "left_semi")
+    return held.join(kept, "source", "left").fillna(False, ["own", "once", "capped"])
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return residue_documents(read_table(spark, base, "documents", "doc_id", "text")).select("doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_mix": p9_mix, "p9_selection": p9_selection, "p10_found": p10_found}
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_mix": p9_mix, "p9_selection": p9_selection, "p9_conservation": p9_conservation, "p10_found": p10_found}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _RUNS = "select distinct {0}, array_to_string(w[k:k + {1}], ' ') as g from (select {0}, w, unnest(range(1, len(w) - {1} + 1)) as k from {2})"
@@ -93,6 +103,7 @@ c as (select a.file_uid as x, b.file_uid as y, count(*) as c from g a join r p o
 l as (select x, y, c.c / a.n as share from c join n a on a.file_uid = x join n b on b.file_uid = y where c.c >= 0.6 * (a.n + b.n - c.c) - 1e-9 or c.c >= 0.8 * a.n - 1e-9),
 e as (select x, count(*) as n_pairs, max(share) as most from l group by 1)
 select split, project_key, dataset_name, count(*) as n_records, sum(n_pairs)::bigint as n_pairs, round(max(most), 6) as most_contained from (select unnest(splits) as split, project_key, dataset_name, n_pairs, most from e join r on file_uid = x) group by all""",
+    "p9_conservation": "select distinct source, true as own, true as once, true as capped from documents join mix_targets using (source) where trim(text) <> ''",
     "p8_found": f"""
 with i as (select item_id, {_WORDS.format("item_text")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
 ig as ({_RUNS.format("item_id", 11, "i")}), dg as ({_RUNS.format("doc_id", 11, "d")}) select distinct item_id, doc_id from ig join dg using (g)""",
