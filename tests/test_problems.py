@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftlens.operators.drift import aliases, consistent_table, path_values, schema_changes
 from weftlens.operators.nested import flatten_inbox, flatten_tables
-from weftlens.operators.orphans import find_orphans, numbered_path, parent_keys, parent_runs
+from weftlens.operators.orphans import find_orphans, numbered_paths, parent_keys, parent_runs
 from weftlens.operators.units import normalise_quantities
 from weftlens.sources.tables import first_arrivals
 
@@ -117,12 +117,15 @@ def test_orphans_equal_brute_force(spark):
 
 def test_numbered_paths(spark):
     paths = ["a/IMG_0009.png", "A\\img_0010.PNG", "a/img_10.png", "a/readme", "a/x" + "9" * 25, "", None, "ａ/img_0011.png", "img_7/0012.png", "a/Ａ.png"]
-    rows = spark.createDataFrame([(i, 1, p) for i, p in enumerate(paths)], "i int, project long, path string").select("i", numbered_path(F.col("project"), F.col("path")).alias("p")).orderBy("i").collect()
-    scope, key = [r["p"] and r["p"]["scope"] for r in rows], [r["p"] and r["p"]["key"] for r in rows]
+    rows = spark.createDataFrame([(i, 1, p) for i, p in enumerate(paths)], "i int, project long, path string")
+    rows = numbered_paths(rows, "project", "path").orderBy("i").collect()
+    scope, key = [r["scope"] for r in rows], [r["key"] for r in rows]
     assert scope[0] == scope[1] == scope[7] != scope[2] and key[:3] == [9, 10, 10] and key[7] == 11 and key[3] == 0 and key[4] == 10**18 - 1 and key[6] is None and key[8] == 12
     assert len({(str(s), k) for s, k in zip(scope, key)}) == len(paths)
-    refs = spark.createDataFrame([(i, 1, f"d/f_{n:04d}.png", T(2024, 5, 1)) for i, n in enumerate((3, 7, 12))], "entry_id long, project long, path string, received_at timestamp").select(F.col("entry_id").alias("row_id"), numbered_path(F.col("project"), F.col("path")).alias("p"), "received_at").select("row_id", "p.*", "received_at")
-    files = spark.createDataFrame([(1, f"d\\F_{n:04d}.PNG", None, T(2024, 1, 1)) for n in range(1, 11) if n != 7], "project long, path string, deleted_at timestamp, received_at timestamp").select(numbered_path(F.col("project"), F.col("path")).alias("p"), "deleted_at", "received_at").select("p.*", "deleted_at", "received_at")
+    refs = spark.createDataFrame([(i, 1, f"d/f_{n:04d}.png", T(2024, 5, 1)) for i, n in enumerate((3, 7, 12))], "entry_id long, project long, path string, received_at timestamp").withColumnRenamed("entry_id", "row_id")
+    refs = numbered_paths(refs, "project", "path")
+    files = spark.createDataFrame([(1, f"d\\F_{n:04d}.PNG", None, T(2024, 1, 1)) for n in range(1, 11) if n != 7], "project long, path string, deleted_at timestamp, received_at timestamp")
+    files = numbered_paths(files, "project", "path")
     assert {tuple(r) for r in find_orphans(refs, files).collect()} == {(1, "missing", "2024-05"), (2, "missing", "2024-05")}
     assert parent_runs(parent_keys(files)).count() == 2  # nine files, two runs
 

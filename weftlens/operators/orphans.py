@@ -19,12 +19,16 @@ orphan at all.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import bind
-from ..functions.visual import visual_path
+from ..functions.visual import visual_form
 
 
 #: Bits of a key within its block.
@@ -82,25 +86,39 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     return once.filter("orphan_kind is not null").select("row_id", "orphan_kind", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("received_at").cast("timestamp_ntz")), "yyyy-MM").alias("period"))
 
 
-def numbered_path(project: Column, path: Column) -> Column:
-    """(scope, key) of a path in its consistent form: its last digits, up to 18 of them, are the key; the rest, hashed to 128 bits, and the project are the scope. Null stays null."""
-    def split(form: Column) -> Column:
-        digits = F.regexp_extract(form, r"([0-9]{1,18})[^0-9]*$", 1)
-        rest = F.regexp_replace(form, r"[0-9]{1,18}([^0-9]*)$", "\u0001$1")
-        shape = F.concat(rest, F.lit("\u0001"), F.length(digits).cast("string"))
-        scope = F.when(project.isNotNull(), F.struct(project.alias("project"), F.xxhash64(shape).alias("a"), F.xxhash64(F.lit(1), shape).alias("b")))
-        return F.struct(scope.alias("scope"), F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint")).alias("key"))
+_NUMBER = re.compile(r"[0-9]{1,18}(?=[^0-9]*$)")
+
+
+def numbered_paths(df: DataFrame, project: str, path: str) -> DataFrame:
+    """``df`` without ``path``, and (scope, key) of its consistent form: its last digits, up to 18 of them, are the key; the rest, hashed to 128 bits, and the project are the scope. Null stays null.
+
+    One pass in Arrow batches: as an expression the form would be computed
+    again for every use and every filter of it.
+    """
+    keep = [f for f in df.schema.fields if f.name != path]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shapes, keys = [], []
+            for p in batch[path]:
+                form = None if p is None else visual_form(p).replace("\\", "/").lower()
+                found = form and _NUMBER.search(form)
+                shapes.append(f"{form[: found.start()]}\x01{form[found.end() :]}\x01{len(found.group())}" if found else form)
+                keys.append(int(found.group()) if found else None if form is None else 0)
+            yield batch[[f.name for f in keep]].assign(__shape=pd.Series(shapes, index=batch.index, dtype=object), key=pd.Series(keys, index=batch.index, dtype="Int64"))
 
-    return F.when(path.isNotNull(), bind(visual_path(path), split))
+    made = df.mapInPandas(split, T.StructType([*keep, T.StructField("__shape", T.StringType()), T.StructField("key", T.LongType())]))
+    scope = F.struct(F.col(project).alias("project"), F.xxhash64("__shape").alias("a"), F.xxhash64(F.lit(1), "__shape").alias("b"))
+    return made.select(*[f.name for f in keep], F.when(F.col(project).isNotNull() & F.col("__shape").isNotNull(), scope).alias("scope"), "key")
 
 
 def find_reference_orphans(manifest: DataFrame, files: DataFrame, archive: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """All orphans of the annotation tables: (table_name, row_id, field_name, orphan_kind, period)."""
-    as_path = lambda df, row_id, path: df.select(*([F.col(row_id).alias("row_id")] if row_id else []), numbered_path(F.col("project_key"), F.col(path)).alias("p"), *([] if row_id else ["deleted_at"]), "received_at").withColumns({"scope": F.col("p.scope"), "key": F.col("p.key")}).drop("p")
+    as_path = lambda df, path, *columns: numbered_paths(df.select("project_key", path, *columns, "received_at"), "project_key", path)
     as_index = lambda df, *columns: df.select(F.col("project_key").alias("scope"), F.col("class_index").cast("long").alias("key"), *columns, "received_at")
     sets = [
-        ("manifest_entries", "original_path", as_path(manifest, "entry_id", "original_path"), as_path(files, None, "source_path")),
-        ("manifest_entries", "relative_path", as_path(manifest, "entry_id", "relative_path"), as_path(archive, None, "entry_name")),
+        ("manifest_entries", "original_path", as_path(manifest, "original_path", F.col("entry_id").alias("row_id")), as_path(files, "source_path", "deleted_at")),
+        ("manifest_entries", "relative_path", as_path(manifest, "relative_path", F.col("entry_id").alias("row_id")), as_path(archive, "entry_name", "deleted_at")),
         ("project_labels", "class_index", as_index(labels, F.col("label_uid").alias("row_id")), as_index(classes, "deleted_at")),
     ]
     found = [find_orphans(refs, parents).select(F.lit(table).alias("table_name"), "row_id", F.lit(field).alias("field_name"), "orphan_kind", "period") for table, field, refs, parents in sets]
