@@ -169,3 +169,37 @@ def test_stream(spark, tmp_path):
     job = first_arrivals(stream_table(spark, str(tmp_path / "in")), ["id"]).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     job.awaitTermination(60)
     assert spark.table("once").count() == 2
+
+
+def test_values_of_the_formats(spark):
+    """Literal values of the format's own rules."""
+    kinds = [[], ["train"], ["train", "banana"], ["banana"], ["train", "TRAINING"], ["train", "val"], ["not-split"], ["none"], [None], None]
+    found = column(spark, kinds, lambda c: codes.canonical_split(F.transform(c, lambda t: codes.split_type_v2(t))), "array<string>")
+    assert [tuple(r) for r in found] == [("unassigned", "missing"), ("training", "ok"), ("training", "repeated"), ("unknown", "ok"), ("training", "repeated"), ("unknown", "conflict"), ("unassigned", "ok"), ("unknown", "ok"), ("unknown", "ok"), ("unassigned", "missing")]
+    assert column(spark, ["none", "Not Split", "Not_split"], codes.split_type) == ["unassigned"] * 3
+    colors = ["-65536", "4294901760", "#FF0000", "#80ff0000", " ", None, "red", "4294967296", "-2147483649", "#12345"]
+    assert column(spark, colors, lambda c: codes.argb_number(c, F.lit(1))) == [-65536, -65536, -65536, -2130771968, -1048576, -1048576, None, None, None, None]
+    assert column(spark, ["a/con .txt", "aux x/b", "a/console.txt", "x/NUL", "lpt1.", "com0"], paths.entry_problem) == ["reserved-name", "reserved-name", None, "reserved-name", "invalid-character", None]
+
+
+def test_cdata_is_text_and_declarations_are_not(spark):
+    texts = [(1, '<Project><Version>0.9</Version><Type><![CDATA[Segmentation]]></Type></Project>'), (2, '<!DOCTYPE x><Project/>'), (3, '<Project><!-- note --><Type>Classification</Type></Project>')]
+    parsed = v1_xml.parse_v1(spark.createDataFrame(texts, "project_key long, text string"))
+    assert {r["project_key"]: r["project_type"] for r in v1_xml.projects(parsed).collect()} == {1: "segmentation", 3: "classification"}
+    assert (2, "V1_XML_DECLARATION_FORBIDDEN") in {tuple(r)[:2] for r in v1_xml.diagnostics(parsed).collect()}
+
+
+def test_nothing_is_written_by_guessing(spark):
+    projects = spark.createDataFrame([(k, "classification", 0, "none", None, None, None, None) for k in (1, 2, 3)], "project_key long, project_type string, modified_ms long, roi_mode string, roi_left double, roi_top double, roi_right double, roi_bottom double")
+    classes = spark.createDataFrame([(1, 0, "a", "#102030"), (2, 0, "a", "#102030"), (3, 0, "a", "red")], "project_key long, class_index int, class_name string, class_color string")
+    files = spark.createDataFrame([(k, 0, "p", 2, 2, "unknown" if k == 2 else "training", False, 0) for k in (1, 2, 3)], "project_key long, file_index int, source_path string, width long, height long, split string, is_normal boolean, class_index long")
+    labels = spark.createDataFrame([], "project_key long, file_index int, label_index int, class_index int, rings array<array<array<double>>>, roles array<string>")
+    rows = {r["project_key"]: r for r in write_v1(projects, classes, files, labels).collect()}
+    assert rows[1]["code"] is None and "<SplitState>Training</SplitState>" in rows[1]["xml"]
+    assert (rows[2]["xml"], rows[2]["code"]) == (None, "SRPROJ_SPLIT_UNSUPPORTED") and (rows[3]["xml"], rows[3]["code"]) == (None, "SRPROJ_CLASS_COLOR_INVALID")
+
+
+def test_archive_names_stay_in_their_folder(spark, tmp_path):
+    entries = spark.createDataFrame([("../out.zip", "a", bytearray(b"x"), 0)], "archive string, entry_name string, content binary, ordinal int")
+    with pytest.raises(ValueError):
+        write_archives(entries, str(tmp_path))

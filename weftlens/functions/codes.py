@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Aliases of project types, split types and label origins.
 PROJECT_TYPES = {"classification": "classification", "cls": "classification", "detection": "detection", "det": "detection", "segmentation": "segmentation", "seg": "segmentation"}
+SPLIT_TYPES_V2 = {"train": "training", "training": "training", "val": "validation", "valid": "validation", "validation": "validation", "unassigned": "unassigned", "not-split": "unassigned", "not_split": "unassigned"}
 SPLIT_TYPES = {"training": "training", "train": "training", "validation": "validation", "valid": "validation", "val": "validation", "notsplit": "unassigned", "unassigned": "unassigned", "none": "unassigned"}
 LABEL_ORIGINS = {"man": "manual", "manual": "manual", "auto": "automatic", "automatic": "automatic"}
 # Written names of the splits in the two generations.
@@ -27,16 +28,26 @@ def mapped(value: Column, names: dict[str, str], otherwise: str = "unknown") ->
 
 
 def split_type(value: Column) -> Column:
-    """Canonical split of any spelling, separators ignored."""
+    """Canonical split of a V1 spelling, separators ignored."""
     return mapped(F.regexp_replace(value, r"[ _-]+", ""), SPLIT_TYPES)
 
 
+def split_type_v2(value: Column) -> Column:
+    """Canonical split of a V2 spelling; a null one is ``unknown``."""
+    return F.coalesce(mapped(value, SPLIT_TYPES_V2), F.lit("unknown"))
+
+
 def canonical_split(types: Column) -> Column:
-    """(split, state) of a file's known memberships: none is ``missing``, two kinds are ``conflict``, many of one ``repeated``."""
-    known = F.filter(types, lambda t: t.isNotNull() & (t != "unknown"))
-    kinds = F.array_distinct(known)
-    state = F.when(F.size(kinds) == 0, "missing").when(F.size(kinds) > 1, "conflict").when(F.size(known) > 1, "repeated").otherwise("ok")
-    return F.struct(F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise("unknown").alias("split"), state.alias("state"))
+    """(split, state) of a file's memberships, given by their kinds.
+
+    No membership is ``missing`` and leaves the file unassigned. Two known
+    kinds are a ``conflict``; more than one membership, known or not, is
+    ``repeated``. A split that no membership knows is ``unknown``.
+    """
+    kinds = F.array_distinct(F.filter(types, lambda t: t.isNotNull() & (t != "unknown")))
+    none = F.coalesce(F.size(types) <= 0, F.lit(True))
+    state = F.when(none, "missing").when(F.size(kinds) > 1, "conflict").when(F.size(types) > 1, "repeated").otherwise("ok")
+    return F.struct(F.when(none, "unassigned").when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise("unknown").alias("split"), state.alias("state"))
 
 
 def fnv1a(text: Column) -> Column:
@@ -57,12 +68,24 @@ def project_number(identity: Column) -> Column:
     return F.lit(100000) + fnv1a(identity) % 700000
 
 
+def json_text(value: Column) -> Column:
+    """A string as a JSON string, a null as null."""
+    return F.regexp_replace(F.to_json(F.array(value), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", "$1")
+
+
+def project_identity(name: Column, classes: Column, files: Column) -> Column:
+    """The identity of a project as JSON: its name, its classes (index, name) and files (index, path, file_name), each in order of index."""
+    listed = lambda rows, *parts: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(F.lit("["), r["index"].cast("string"), *[F.concat(F.lit(","), json_text(r[p])) for p in parts], F.lit("]"))), ","), F.lit("]"))
+    return F.concat(F.lit('{"name":'), json_text(name), F.lit(',"classes":'), listed(classes, "name"), F.lit(',"files":'), listed(files, "path", "file_name"), F.lit("}"))
+
+
 def argb_number(color: Column, index: Column) -> Column:
-    """Signed 32-bit ARGB of ``#rrggbb`` or ``#aarrggbb``; the palette's colour where there is none."""
+    """Signed 32-bit ARGB of ``#rrggbb``, ``#aarrggbb`` or a whole number of 32 bits; the palette's colour where there is no text, null for any other text."""
     digits = F.regexp_extract(F.lower(F.trim(color)), r"^#([0-9a-f]{8}|[0-9a-f]{6})$", 1)
     value = F.conv(F.when(F.length(digits) == 6, F.concat(F.lit("ff"), digits)).when(F.length(digits) == 8, digits), 16, 10).cast("bigint")
     fallback = F.element_at(F.array(*[F.lit(c).cast("bigint") for c in PALETTE_V1]), (index % len(PALETTE_V1) + 1).cast("int"))
-    value = F.coalesce(value, fallback)
+    number = F.when(F.trim(color).rlike(r"^-?\d+$"), F.trim(color).try_cast("decimal(38,0)"))
+    value = F.coalesce(value, F.when(number.between(-2147483648, 4294967295), number.cast("bigint")), F.when(F.coalesce(F.trim(color), F.lit("")) == "", fallback))
     return F.when(value > 2147483647, value - 4294967296).otherwise(value)
 
 

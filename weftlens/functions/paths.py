@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .columns import bind
 
 # Device names that Windows reserves, as a pattern over the stem of a segment.
-RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)"
+RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])([ .]|$)"
 # Characters that no Windows segment may have.
 FORBIDDEN = r'[<>:"|?*]'
 #: Bytes of UTF-8 that one segment of an archive entry may have.

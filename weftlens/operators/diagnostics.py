@@ -17,7 +17,7 @@ def disposition_summary(diagnostics: DataFrame, scope: str) -> DataFrame:
     return counts.withColumn("status", status)
 
 
-def bounded(diagnostics: DataFrame, scope: str, order: list[str], most: int = 255, sentinel: str = "DIAGNOSTIC_LIMIT") -> DataFrame:
+def bounded(diagnostics: DataFrame, scope: str, order: list[str], most: int = 255, sentinel: str = "PROJECT_DIAGNOSTIC_LIMIT_EXCEEDED") -> DataFrame:
     """The first ``most`` diagnostics of each scope in order, and one blocking sentinel where there were more.
 
     The limit is the feature. A scope's window keeps a bounded heap of rows

@@ -90,7 +90,7 @@ with e as (select project_key, entry_name, replace(entry_name, '\', '/') as p, l
 select project_key, entry_name, case when entry_name is null or trim(entry_name) = '' then 'empty' when regexp_matches(entry_name, '[\x00-\x1f\x7f]') then 'control-character' when starts_with(p, '/') then 'absolute'
  when regexp_matches(p, '^[A-Za-z]:') then 'drive-path' when len(parts) = 0 then 'empty' when len(list_filter(parts, lambda s: s in ('.', '..'))) > 0 then 'traversal'
  when len(list_filter(parts, lambda s: regexp_matches(s, '[<>:"|?*]') or ends_with(s, ' ') or ends_with(s, '.'))) > 0 then 'invalid-character'
- when len(list_filter(parts, lambda s: regexp_matches(s, '^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)'))) > 0 then 'reserved-name'
+ when len(list_filter(parts, lambda s: regexp_matches(s, '^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])([ .]|$)'))) > 0 then 'reserved-name'
  when len(list_filter(parts, lambda s: strlen(s) > 255)) > 0 then 'segment-too-long' end as problem from e""")
 def entry_safety(spark: SparkSession, base: str) -> DataFrame:
     rows = read_table(spark, base, "archive_entries", "project_key", "entry_name")
@@ -202,16 +202,16 @@ def project_types(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "projects").groupBy(codes.mapped(F.col("project_type"), codes.PROJECT_TYPES).alias("type")).agg(F.count("*").alias("n"))
 
 
-_SPLIT = "case regexp_replace(lower(s.split_type), '[ _-]+', '', 'g') " + " ".join(f"when '{a}' then '{b}'" for a, b in codes.SPLIT_TYPES.items()) + " else 'unknown' end"
+_SPLIT = "case when lower(trim(s.split_type)) in ('train', 'training') then 'training' when lower(trim(s.split_type)) in ('val', 'valid', 'validation') then 'validation' when lower(trim(s.split_type)) in ('unassigned', 'not-split', 'not_split') then 'unassigned' else 'unknown' end"
 _SPLITS = f"""with f as (select distinct file_uid, project_key, split_sets from project_files),
-k as (select file_uid, project_key, list_filter(list_transform(split_sets, lambda s: case when s.split_type is not null then {_SPLIT} end), lambda t: t is not null and t <> 'unknown') as known from f),
-c as (select file_uid, project_key, case when len(list_distinct(known)) = 1 then known[1] else 'unknown' end as split, case when len(known) = 0 then 'missing' when len(list_distinct(known)) > 1 then 'conflict' when len(known) > 1 then 'repeated' else 'ok' end as state from k)
+k as (select file_uid, project_key, coalesce(len(split_sets), 0) as memberships, list_distinct(list_filter(list_transform(split_sets, lambda s: {_SPLIT}), lambda t: t <> 'unknown')) as kinds from f),
+c as (select file_uid, project_key, case when memberships = 0 then 'unassigned' when len(kinds) = 1 then kinds[1] else 'unknown' end as split, case when memberships = 0 then 'missing' when len(kinds) > 1 then 'conflict' when memberships > 1 then 'repeated' else 'ok' end as state from k)
 """
 
 
 def _splits(spark: SparkSession, base: str) -> DataFrame:
     rows = read_table(spark, base, "project_files", "file_uid", "project_key", "split_sets").distinct()
-    return rows.select("file_uid", "project_key", codes.canonical_split(F.transform("split_sets", lambda s: codes.split_type(s["split_type"]))).alias("c")).select("file_uid", "project_key", "c.split", "c.state")
+    return rows.select("file_uid", "project_key", codes.canonical_split(F.transform("split_sets", lambda s: codes.split_type_v2(s["split_type"]))).alias("c")).select("file_uid", "project_key", "c.split", "c.state")
 
 
 @query(_SPLITS + "select file_uid, split, state from c")
@@ -224,7 +224,7 @@ def split_summary(spark: SparkSession, base: str) -> DataFrame:
     return _splits(spark, base).groupBy("project_key", "split").agg(F.count("*").alias("n"))
 
 
-_ARGB = "(case when regexp_matches(class_color, '^#[0-9a-fA-F]{6}$') then ('0xff' || class_color[2:])::bigint when regexp_matches(class_color, '^#[0-9a-fA-F]{8}$') then ('0x' || class_color[2:])::bigint else [" + ", ".join(f"{c}::bigint" for c in codes.PALETTE_V1) + "][(class_index % 8) + 1] end)"
+_ARGB = "(case when regexp_matches(trim(class_color), '^-?[0-9]+$') then case when try_cast(trim(class_color) as hugeint) between -2147483648 and 4294967295 then try_cast(trim(class_color) as bigint) & 4294967295 end when trim(class_color) <> '' and not regexp_matches(class_color, '^#([0-9a-fA-F]{6}|[0-9a-fA-F]{8})$') then null when regexp_matches(class_color, '^#[0-9a-fA-F]{6}$') then ('0xff' || class_color[2:])::bigint when regexp_matches(class_color, '^#[0-9a-fA-F]{8}$') then ('0x' || class_color[2:])::bigint else [" + ", ".join(f"{c}::bigint" for c in codes.PALETTE_V1) + "][(class_index % 8) + 1] end)"
 
 
 @query(f"with c as (select project_key, class_index, {_ARGB} as u, class_color from (select distinct project_key, class_index, class_color from project_classes)) select project_key, class_index, case when u > 2147483647 then u - 4294967296 else u end as argb, case when lower(lpad(to_hex(u), 8, '0'))[1:2] = 'ff' then '#' || lower(lpad(to_hex(u), 8, '0'))[3:] else '#' || lower(lpad(to_hex(u), 8, '0')) end as text from c")
@@ -233,9 +233,9 @@ def class_colors(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("project_key", "class_index", codes.argb_number(F.col("class_color"), F.col("class_index")).alias("argb")).withColumn("text", codes.argb_text(F.col("argb")))
 
 
-@query(r"select distinct project_key, epoch_ms(try_strptime(replace(modified_date, 'T', ' '), '%Y-%m-%d %H:%M:%S')) as ms from projects where regexp_matches(modified_date, '^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$')")
+@query(r"select distinct project_key, case when regexp_matches(modified_date, '^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$') then epoch_ms(try_strptime(replace(modified_date, 'T', ' '), '%Y-%m-%d %H:%M:%S')) end as ms from projects")
 def v1_dates(spark: SparkSession, base: str) -> DataFrame:
-    rows = read_table(spark, base, "projects", "project_key", "modified_date").filter(F.col("modified_date").rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$"))
+    rows = read_table(spark, base, "projects", "project_key", "modified_date")
     return rows.select("project_key", codes.v1_date_ms(F.col("modified_date")).alias("ms")).distinct()
 
 
@@ -267,7 +267,7 @@ def disposition_summary(spark: SparkSession, base: str) -> DataFrame:
     return diag.disposition_summary(_diagnostics(spark, base), "project_key")
 
 
-@query(f"with r as (select *, row_number() over (partition by project_key order by file_uid, d.code) as position from {_DIAGS}) select project_key, position::int as position, case when position = 256 then 'DIAGNOSTIC_LIMIT' else d.code end as code, case when position = 256 then 'block' else d.disposition end as disposition from r where position <= 256")
+@query(f"with r as (select *, row_number() over (partition by project_key order by file_uid, d.code) as position from {_DIAGS}) select project_key, position::int as position, case when position = 256 then 'PROJECT_DIAGNOSTIC_LIMIT_EXCEEDED' else d.code end as code, case when position = 256 then 'block' else d.disposition end as disposition from r where position <= 256")
 def diagnostic_cap(spark: SparkSession, base: str) -> DataFrame:
     return diag.bounded(_diagnostics(spark, base), "project_key", ["file_uid", "code"]).select("project_key", "position", "code", "disposition")
 
@@ -358,8 +358,8 @@ def _as_v1(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFr
     projects = inbox.select("project_key", F.lit("segmentation").alias("project_type"), F.unix_millis("received_at").alias("modified_ms"), F.lit("simple").alias("roi_mode"), *[F.lit(x).alias(f"roi_{s}") for s, x in (("left", 0.1), ("top", 0.2), ("right", 0.8), ("bottom", 0.85))])
     classes = inbox.select("project_key", F.posexplode("class_infos").alias("class_index", "c")).select("project_key", "class_index", F.col("c.class_name").alias("class_name"), F.col("c.class_color").alias("class_color"))
     files = inbox.select("project_key", F.posexplode("project_files").alias("file_index", "f"))
-    splits = codes.canonical_split(F.transform("f.split_sets", lambda s: codes.split_type(s["split_type"])))
-    rows = files.select("project_key", "file_index", F.col("f.file_path").alias("source_path"), F.col("f.width").alias("width"), F.col("f.height").alias("height"), splits["split"].alias("split"), F.lit(False).alias("is_normal"), F.lit(None).cast("bigint").alias("class_index"))
+    splits = codes.canonical_split(F.transform("f.split_sets", lambda s: codes.split_type_v2(s["split_type"])))
+    rows = files.select("project_key", "file_index", F.col("f.file_path").alias("source_path"), F.col("f.width").alias("width"), F.col("f.height").alias("height"), F.when(splits["split"] == "unknown", "unassigned").otherwise(splits["split"]).alias("split"), F.lit(False).alias("is_normal"), F.lit(None).cast("bigint").alias("class_index"))
     labels = files.select("project_key", "file_index", F.posexplode("f.label_data_list").alias("label_index", "l")).select("project_key", "file_index", "label_index", F.lit(0).alias("class_index"), read_rings(F.col("l.label_contour")).alias("rings"))
     labels = labels.filter("size(rings) > 0").withColumn("roles", F.transform("rings", lambda r, i: F.when(i == 0, "outer").otherwise("inner")))
     return projects, classes, rows, labels

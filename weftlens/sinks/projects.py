@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.geometry import normal_ring
+from ..functions.paths import entry_problem
 
 
 def _joined(rows: DataFrame, keys: list[str], order: str, fragment: Column, out: str) -> DataFrame:
@@ -26,13 +28,17 @@ def _tag(name: str, value: Column, indent: int) -> Column:
 
 
 def write_v1(projects: DataFrame, classes: DataFrame, files: DataFrame, labels: DataFrame) -> DataFrame:
-    """(project_key, xml): deterministic V1 text, elements in index order, line ends of ``\\n``.
+    """(project_key, xml, code): deterministic V1 text, elements in index order, line ends of ``\\n``.
 
+    What can't be written without guessing isn't: ``xml`` is null and ``code``
+    says why (SRPROJ_SPLIT_UNSUPPORTED, SRPROJ_CLASS_COLOR_INVALID).
     Rings are quantised and turned as V1 has them. Classification files carry
     their class, segmentation files a label group. Everything of one project
     comes together in one row, as its file does.
     """
     class_text = F.concat(F.lit("    <Class>\n"), _tag("Name", F.col("class_name"), 6), _tag("Color", codes.argb_number(F.col("class_color"), F.col("class_index")), 6), F.lit("    </Class>\n"))
+    painted = classes.groupBy("project_key").agg(F.bool_or(codes.argb_number(F.col("class_color"), F.col("class_index")).isNull()).alias("unpainted"))
+    assigned = files.groupBy("project_key").agg(F.bool_or(~F.coalesce(F.col("split").isin(*codes.SPLITS_V1), F.lit(False))).alias("unsplit"))
     class_group = _joined(classes, ["project_key"], "class_index", class_text, "classes")
     point = lambda p: F.concat(F.lit('              <Point X="'), p[0].cast("string"), F.lit('" Y="'), p[1].cast("string"), F.lit('" />\n'))
     def contour(ring: Column, role: Column) -> Column:
@@ -49,13 +55,13 @@ def write_v1(projects: DataFrame, classes: DataFrame, files: DataFrame, labels:
         F.lit("      <LabelGroup>\n"), _tag("IsNormal", F.initcap(F.coalesce("is_normal", F.lit(False)).cast("string")), 8), _tag("NumberOfLabels", F.coalesce("n_labels", F.lit("0")), 8),
         F.coalesce("labels", F.lit("")), F.lit("      </LabelGroup>\n"),
     )
-    split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in codes.SPLITS_V1.items() for x in pair]), F.col("split")), F.lit("Not split"))
+    split = F.element_at(F.create_map(*[F.lit(x) for pair in codes.SPLITS_V1.items() for x in pair]), F.col("split"))
     image_text = F.concat(
         F.lit("    <Image>\n"), _tag("Path", F.col("source_path"), 6), _tag("Width", F.col("width"), 6), _tag("Height", F.col("height"), 6), _tag("SplitState", split, 6),
         F.when(F.col("project_type") == "segmentation", group).otherwise(_tag("ClassIndexOfLabel", F.col("class_index"), 6)), F.lit("    </Image>\n"),
     )
     image_group = _joined(rows, ["project_key"], "file_index", image_text, "images")
-    whole = projects.join(class_group, "project_key", "left").join(image_group, "project_key", "left")
+    whole = projects.join(class_group, "project_key", "left").join(image_group, "project_key", "left").join(painted, "project_key", "left").join(assigned, "project_key", "left")
     number = lambda c: c.cast("decimal(20,6)").cast("double").cast("string")
     roi = F.when(
         F.col("roi_mode") == "simple",
@@ -69,7 +75,8 @@ def write_v1(projects: DataFrame, classes: DataFrame, files: DataFrame, labels:
         F.lit("  <ClassGroup>\n"), _tag("NumberOfClasses", F.coalesce("n_classes", F.lit("0")), 4), F.coalesce("classes", F.lit("")), F.lit("  </ClassGroup>\n"),
         F.lit("  <ImageGroup>\n"), _tag("NumberOfImages", F.coalesce("n_images", F.lit("0")), 4), F.coalesce("images", F.lit("")), F.lit("  </ImageGroup>\n"), roi, F.lit("</Project>\n"),
     )
-    return whole.select("project_key", xml.alias("xml"))
+    code = F.when(F.col("unsplit"), "SRPROJ_SPLIT_UNSUPPORTED").when(F.col("unpainted"), "SRPROJ_CLASS_COLOR_INVALID")
+    return whole.select("project_key", F.when(code.isNull(), xml).alias("xml"), code.alias("code"))
 
 
 def write_v2(inbox: DataFrame) -> DataFrame:
@@ -95,15 +102,21 @@ def write_archives(entries: DataFrame, folder: str) -> DataFrame:
 
     Entries are stored uncompressed in order of ``ordinal`` and streamed: no
     archive is gathered in memory. A file is written under a name of its own
-    and renamed when whole, so a lost executor leaves none half-written.
+    and renamed when whole, so a lost executor or a second attempt leaves none
+    half-written. An archive name that isn't safe stops the job: ``../`` never
+    leaves the folder, which every executor must have mounted.
     """
+    bad = entries.filter(entry_problem(F.col("archive")).isNotNull()).select("archive").first()
+    if bad is not None:
+        raise ValueError(f"unsafe archive name: {bad['archive']!r}")
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done, at, part, path, sizes = [], None, None, None, [0, 0]
+        done, at, part, path, sizes, own = [], None, None, None, [0, 0], f".{uuid.uuid4().hex}"
 
         def close() -> None:
             if part is not None:
                 part.close()
-                os.replace(path + f".{os.getpid()}", path)
+                os.replace(path + own, path)
                 done.append((at, path, *sizes))
 
         for batch in batches:
@@ -112,7 +125,7 @@ def write_archives(entries: DataFrame, folder: str) -> DataFrame:
                     close()
                     at, sizes, path = name, [0, 0], os.path.join(folder, name)
                     os.makedirs(os.path.dirname(path), exist_ok=True)
-                    part = zipfile.ZipFile(path + f".{os.getpid()}", "w", zipfile.ZIP_STORED)
+                    part = zipfile.ZipFile(path + own, "w", zipfile.ZIP_STORED)
                 info = zipfile.ZipInfo(entry, (1980, 1, 1, 0, 0, 0))
                 part.writestr(info, bytes(content or b""))
                 sizes[0], sizes[1] = sizes[0] + 1, sizes[1] + len(content or b"")

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.paths import entry_problem, nfkc_lower
 
 # Limits of an archive.
-MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_TOTAL_BYTES, MOST_RATIO, MOST_NAME_BYTES = 20_000, 4 << 30, 32 << 30, 200, 4096
+MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_TOTAL_BYTES, MOST_RATIO, MOST_NAME_BYTES, MOST_NAMES_BYTES = 20_000, 4 << 30, 32 << 30, 200, 4096, 8 << 20
 SCHEMA = "archive string, entry_name string, compressed_size bigint, uncompressed_size bigint, is_dir boolean, encrypted boolean, unix_mode int, prefix binary"
 
 
@@ -86,6 +86,6 @@ def entry_code(df: DataFrame) -> Column:
 def archive_summary(entries: DataFrame, scope: str = "archive") -> DataFrame:
     """Per archive: entries, bytes, unsafe entries, names that only differ in case or form, and the first limit exceeded."""
     keyed = entries.withColumns({"code": entry_code(entries), "entry_key": nfkc_lower(F.col("entry_name"))})
-    names = keyed.groupBy(scope, "entry_key").agg(F.count("*").alias("n"), F.sum("uncompressed_size").alias("bytes"), F.count("code").alias("bad"))
-    sums = names.groupBy(scope).agg(F.sum("n").alias("n_entries"), F.sum("bytes").alias("n_bytes"), F.sum("bad").alias("n_unsafe"), F.sum(F.col("n") - 1).alias("n_duplicates"))
-    return sums.withColumn("limit_code", F.when(F.col("n_entries") > MOST_ENTRIES, "ZIP_TOO_MANY_ENTRIES").when(F.col("n_bytes") > MOST_TOTAL_BYTES, "ZIP_TOTAL_TOO_LARGE"))
+    names = keyed.groupBy(scope, "entry_key").agg(F.count("*").alias("n"), F.sum("uncompressed_size").alias("bytes"), F.sum(F.octet_length("entry_name")).alias("name_bytes"), F.count("code").alias("bad"))
+    sums = names.groupBy(scope).agg(F.sum("n").alias("n_entries"), F.sum("bytes").alias("n_bytes"), F.sum("name_bytes").alias("n_name_bytes"), F.sum("bad").alias("n_unsafe"), F.sum(F.col("n") - 1).alias("n_duplicates"))
+    return sums.withColumn("limit_code", F.when(F.col("n_entries") > MOST_ENTRIES, "ZIP_TOO_MANY_ENTRIES").when(F.col("n_name_bytes") > MOST_NAMES_BYTES, "ZIP_TOTAL_NAMES_TOO_LONG").when(F.col("n_bytes") > MOST_TOTAL_BYTES, "ZIP_TOTAL_TOO_LARGE"))

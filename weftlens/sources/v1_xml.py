@@ -20,6 +20,10 @@ MaskingParameter array<struct<Type array<string>,
 _corrupt_record string"""
 
 
+# What a V1 text may not hold: declarations other than comments and CDATA.
+FORBIDDEN = r"<!(?!--|\[CDATA\[)"
+
+
 def one(values: Column) -> Column:
     """The first of what should be one element."""
     return F.get(values, F.lit(0))
@@ -27,7 +31,7 @@ def one(values: Column) -> Column:
 
 def parse_v1(texts: DataFrame) -> DataFrame:
     """``texts`` (project_key, text) with ``doc``; null where the text has a DOCTYPE or isn't well-formed."""
-    legal = ~F.col("text").rlike(r"<!(?!--)")
+    legal = ~F.col("text").rlike(FORBIDDEN)
     return texts.withColumn("doc", F.when(legal, F.from_xml("text", SCHEMA, {"attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "true"})))
 
 
@@ -79,7 +83,7 @@ def labels(parsed: DataFrame) -> DataFrame:
 
 def diagnostics(parsed: DataFrame) -> DataFrame:
     """(project_key, code, disposition, path): what stands against a V1 text, one row per finding."""
-    broken = parsed.filter(_bad(parsed)).select("project_key", F.when(F.col("text").rlike(r"<!(?!--)"), "V1_XML_DECLARATION_FORBIDDEN").otherwise("V1_INVALID_XML").alias("code"), F.lit("$").alias("path"))
+    broken = parsed.filter(_bad(parsed)).select("project_key", F.when(F.col("text").rlike(FORBIDDEN), "V1_XML_DECLARATION_FORBIDDEN").otherwise("V1_INVALID_XML").alias("code"), F.lit("$").alias("path"))
     good = parsed.filter(~_bad(parsed))
     class_group, image_group = one(F.col("doc.ClassGroup")), one(F.col("doc.ImageGroup"))
     n = lambda a: F.coalesce(F.size(a), F.lit(0))
