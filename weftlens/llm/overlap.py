@@ -36,8 +36,8 @@ VALIDATION = ["val", "valid", "validation"]
 TEST = ["test", "testing", "eval", "evaluation"]
 EVALUATION = VALIDATION + TEST
 
-#: Bits of the table of frequencies; its size is fixed, whatever the records.
-BITS = 20
+#: Bits of the table of frequencies and of the table of keys on the evaluation side; their size is fixed, whatever the records.
+BITS, KEY_BITS = 20, 23
 #: A hash that makes up to this many pairs is a key by itself.
 RARE = 32
 #: Sets above this size have their common hashes as single keys: two together would be too many.
@@ -62,24 +62,53 @@ def _frequencies(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for row, side in zip(sums, ("has_train", "has_eval")):
                 row += np.bincount(at[np.repeat(np.asarray(batch.column(side)), sizes)], minlength=1 << BITS)
         used = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], ["place", "t", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[0, used]), pa.array(sums[1, used])], ["place", "t", "e"])
 
-    counted = classes.select("grams", "has_train", "has_eval").coalesce(default_parallelism(classes.sparkSession)).mapInArrow(count, "place long, t long, e long")
-    rows = counted.groupBy("place").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).toPandas()
+    counted = classes.select("grams", "has_train", "has_eval").coalesce(default_parallelism(classes.sparkSession)).mapInArrow(count, "place int, t long, e long")
+    # What counts is the order: above 2^31 all are as frequent.
+    most = lambda c: F.least(F.sum(c), F.lit(2**31 - 1)).cast("int").alias(c)
+    rows = counted.groupBy("place").agg(most("t"), most("e")).toPandas()
     table = np.zeros((2, 1 << BITS), np.int64)
     table[:, rows["place"].to_numpy(np.int64)] = rows[["t", "e"]].to_numpy(np.int64).T
     return table[0], table[1]
 
 
-def _keyed(classes: DataFrame, side: str, choose: Callable) -> DataFrame:
-    """(key, class_id, n, small) of the classes on one side; ``choose`` takes hashes and sizes and gives keys, their record and the flag."""
+def _keyed(classes: DataFrame, side: str, choose: Callable, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, c, n, small) of the classes on one side; ``choose`` takes hashes and sizes and gives keys, their record and the flag.
+
+    Keys whose place isn't ``wanted`` meet nothing and are left out.
+    """
+    packed = None if wanted is None else (np.packbits(wanted), len(wanted))
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met_by = None if packed is None else np.unpackbits(packed[0], count=packed[1]).view(bool)
         for batch in batches:
             grams, sizes = flat(batch.column("grams"))
             key, record, small = choose(grams, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("class_id").take(pa.array(record)), pa.array(sizes[record].astype(np.int32)), pa.array(small)], ["key", "class_id", "n", "small"])
+            if met_by is not None:
+                met = np.flatnonzero(met_by[places(key, len(met_by).bit_length() - 1)])
+                key, record, small = key[met], record[met], small[met]
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("c").take(pa.array(record)), pa.array(sizes[record].astype(np.int32)), pa.array(small)], ["key", "c", "n", "small"])
+
+    return classes.filter(side).select("c", "grams").mapInArrow(keys, "key long, c long, n int, small boolean")
+
+
+def _held(keys: DataFrame) -> np.ndarray:
+    """Which places of the table of keys are taken: what the other side has elsewhere need not be shuffled."""
+    bits = KEY_BITS
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[places(np.asarray(batch.column("key")), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen) + 1)], ["place"])
 
-    return classes.filter(side).select("class_id", "grams").mapInArrow(keys, "key long, class_id binary, n int, small boolean")
+    # Bitmaps of 32,768 places each: 2^KEY_BITS bits come to the driver.
+    places_of = keys.select("key").mapInArrow(used, "place long").groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+    held = np.zeros((1 << bits >> 15, 1 << 15), bool)
+    for r in places_of.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect():
+        held[r["bucket"] - 1] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    return held.reshape(-1)
 
 
 def _ranked(grams: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,8 +142,9 @@ def _similar_keys(weight: np.ndarray, t: float) -> Callable:
 def _similar(classes: DataFrame, weight: np.ndarray, t: float) -> DataFrame:
     """(e, t) of the evaluation and training classes that may be that similar, every such pair among them."""
     choose = _similar_keys(weight, t)
-    e = _keyed(classes, "has_eval", choose).select("key", F.col("class_id").alias("e"), F.col("n").alias("en"), F.col("small").alias("es"))
-    r = _keyed(classes, "has_train", choose).select("key", F.col("class_id").alias("t"), F.col("n").alias("tn"), F.col("small").alias("ts"))
+    keys = _keyed(classes, "has_eval", choose)
+    e = keys.select("key", F.col("c").alias("e"), F.col("n").alias("en"), F.col("small").alias("es"))
+    r = _keyed(classes, "has_train", choose, _held(keys)).select("key", F.col("c").alias("t"), F.col("n").alias("tn"), F.col("small").alias("ts"))
     fits = (F.least("en", "tn") >= F.greatest("en", "tn") * t - _EPS) & F.when(F.col("en") <= F.col("tn"), F.col("es")).otherwise(F.col("ts"))
     return e.join(r, "key").filter(fits & (F.col("e") != F.col("t"))).select("e", "t").distinct()
 
@@ -127,23 +157,12 @@ def _containing(classes: DataFrame, train: np.ndarray, c: float) -> DataFrame:
         keep = np.flatnonzero((rank < n - np.ceil(n * c - _EPS) + 1) & (w > 0))
         return g[keep], record[keep], np.ones(len(keep), bool)
 
-    e = _keyed(classes, "has_eval", rarest).select("key", F.col("class_id").alias("e"))
-
-    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            seen[places(np.asarray(batch.column("key")), BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["place"])
-
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[e.select("key").mapInArrow(used, "place long").distinct().toPandas()["place"].to_numpy(np.int64)] = True
-
-    def hits(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keep = np.flatnonzero(wanted[places(grams, BITS)])
-        return grams[keep], np.repeat(np.arange(len(sizes)), sizes)[keep], np.ones(len(keep), bool)
+    def every(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return grams, np.repeat(np.arange(len(sizes)), sizes), np.ones(len(grams), bool)
 
-    r = _keyed(classes, "has_train", hits).select("key", F.col("class_id").alias("t"))
-    return e.join(r, "key").filter("e <> t").select("e", "t").distinct()
+    keys = _keyed(classes, "has_eval", rarest)
+    r = _keyed(classes, "has_train", every, _held(keys)).select("key", F.col("c").alias("t"))
+    return keys.select("key", F.col("c").alias("e")).join(r, "key").filter("e <> t").select("e", "t").distinct()
 
 
 def overlap_classes(records: DataFrame, n: int = 3, similarity: float = 0.6, containment: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -155,21 +174,22 @@ def overlap_classes(records: DataFrame, n: int = 3, similarity: float = 0.6, con
     runs of ``e``. A class in both splits is linked to itself.
     """
     sets = records.filter("(is_train or is_eval) and id is not null").select("id", "is_train", "is_eval", F.array_sort(F.array_distinct(gram_hashes(words(F.col("text")), n))).alias("grams")).filter("size(grams) > 0")
-    # 128 bits: a class of 64 would merge different texts of a large corpus.
-    members = sets.withColumn("class_id", F.unhex(F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ","))))
-    # Used by every step below: written once.
-    classes = cut(members.groupBy("class_id").agg(F.first("grams").alias("grams"), F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")))
+    # 128 bits: a class of 64 would merge different texts of a large corpus. Both tables are used by several steps below: written once.
+    sets = cut(sets.withColumn("class_id", F.unhex(F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ",")))))
+    classes = cut(sets.groupBy("class_id").agg(F.first("grams").alias("grams"), F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")))
+    classes = classes.withColumn("c", F.monotonically_increasing_id())  # of a written table: the same at every use
+    members = sets.select("class_id", "id", "is_train", "is_eval").join(classes.select("class_id", "c"), "class_id").select(F.col("c").alias("class_id"), "id", "is_train", "is_eval")
     train, evaluation = _frequencies(classes)
-    candidates = _similar(classes, train * evaluation, similarity)
+    candidates = _similar(classes, np.minimum(train * evaluation, 2**31 - 1).astype(np.int32), similarity)
     if containment is not None:
-        candidates = candidates.unionByName(_containing(classes, train, containment)).distinct()
-    left, right = classes.filter("has_eval").select(F.col("class_id").alias("e"), F.col("grams").alias("eg")), classes.filter("has_train").select(F.col("class_id").alias("t"), F.col("grams").alias("tg"))
+        candidates = candidates.unionByName(_containing(classes, train.astype(np.int32), containment)).distinct()
+    left, right = classes.filter("has_eval").select(F.col("c").alias("e"), F.col("grams").alias("eg")), classes.filter("has_train").select(F.col("c").alias("t"), F.col("grams").alias("tg"))
     shared = F.size(F.array_intersect("eg", "tg"))
     near = candidates.join(left, "e").join(right, "t").select("e", "t", shared.alias("shared"), F.size("eg").alias("en"), F.size("tg").alias("tn"))
     near = near.withColumns({"jaccard": F.col("shared") / (F.col("en") + F.col("tn") - F.col("shared")), "containment": F.col("shared") / F.col("en")})
     near = near.filter((F.col("jaccard") >= similarity - _EPS) | (F.col("containment") >= (containment if containment is not None else 2) - _EPS)).select("e", "t", "shared", "jaccard", "containment")
-    same = classes.filter("has_train and has_eval").select(F.col("class_id").alias("e"), F.col("class_id").alias("t"), F.size("grams").alias("shared"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"))
-    return members.drop("grams"), near.unionByName(same)
+    same = classes.filter("has_train and has_eval").select(F.col("c").alias("e"), F.col("c").alias("t"), F.size("grams").alias("shared"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"))
+    return members, near.unionByName(same)
 
 
 def cross_split_overlaps(records: DataFrame, n: int = 3, similarity: float = 0.6, containment: float | None = None) -> DataFrame:
