@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from weftlens.plans import problems, reference
+from weftlens.plans import conversion, problems, reference
 
-QUERIES, ORACLES = problems.QUERIES | reference.QUERIES, problems.ORACLES | reference.ORACLES
+QUERIES, ORACLES = problems.QUERIES | reference.QUERIES | conversion.QUERIES, problems.ORACLES | reference.ORACLES | conversion.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,6 @@ def test_same_rows(spark, data, duck, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(reference.QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
