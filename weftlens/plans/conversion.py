@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.paths import is_absolute
 from ..operators.nested import read_rings
+from ..operators.validation import OUTPUTS, file_findings, file_states, label_findings, project_findings, target_readiness
 from ..sinks.projects import write_v1
 from ..sinks.v2_build import build_v2, write_findings
 from ..sources import v1_xml, v2_json
@@ -117,3 +118,107 @@ def v1_written_rings(spark: SparkSession, base: str) -> DataFrame:
     rows = v1_xml.labels(parsed).select("project_key", "file_index", F.col("label_index").alias("label_pos"), F.explode(F.arrays_zip("rings", "roles")).alias("r"))
     total = lambda i: F.aggregate("r.rings", F.lit(0).cast("bigint"), lambda s, p: s + F.get(p, F.lit(i)).cast("bigint"))
     return rows.select("project_key", "file_index", "label_pos", F.col("r.roles").alias("role"), F.size("r.rings").alias("n_points"), total(0).alias("sum_x"), total(1).alias("sum_y"))
+
+
+# ---- findings about V2 projects
+
+def _inbox(spark: SparkSession, base: str) -> DataFrame:
+    return first_arrivals(read_table(spark, base, "v2_inbox"), "project_key").drop("received_at")
+
+
+_FIRST = "(select project_key, any_value(project_name) as project_name, case when lower(trim(any_value(project_type))) in ('seg', 'segmentation') then 'segmentation' when lower(trim(any_value(project_type))) in ('cls', 'classification') then 'classification' when lower(trim(any_value(project_type))) in ('det', 'detection') then 'detection' else 'unknown' end as kind, any_value(class_infos) as ci, any_value(datasets) as ds, any_value(project_files) as fs from v2_inbox group by 1)"
+_ID, _NO, _NAME = ("list_filter(range(1, len(ci) + 1), lambda k: ci[k].class_id = l.class_id)", "list_filter(range(1, len(ci) + 1), lambda k: coalesce(ci[k].class_no, k - 1) = l.class_no)", "list_filter(range(1, len(ci) + 1), lambda k: trim(l.class_name) <> '' and lower(trim(ci[k].class_name)) = lower(trim(l.class_name)))")
+_LABEL_ROWS = rf"""
+f as (select project_key, kind, ci, unnest(fs) as f, unnest(range(len(fs))) as i from {_FIRST}),
+g as (select project_key, kind, ci, i, f.width as w, f.height as h, unnest(f.label_data_list) as l, unnest(range(len(f.label_data_list))) as j from f),
+t as (select *, case when json_valid(l.label_contour) then case when json_type(l.label_contour) = 'VARCHAR' then json_extract_string(l.label_contour, '$') else l.label_contour end end as t from g where l is not null),
+h as (select *, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings, coalesce(len({_ID}), 0) as a, coalesce(len({_NO}), 0) as b, coalesce(len({_NAME}), 0) as c, ({_ID})[1] as pa, ({_NO})[1] as pb, ({_NAME})[1] as pc from t)"""
+_BOX = "coalesce(l.label_pos_x, l.label_pos_y, l.label_width, l.label_height) is not null"
+_WHOLE = "coalesce(l.label_pos_x is not null and l.label_pos_y is not null and l.label_width > 0 and l.label_height > 0, false)"
+_FULL = "coalesce(l.label_pos_x = 0 and l.label_pos_y = 0 and l.label_width = w and l.label_height = h, false)"
+
+
+@query(rf"""with {_LABEL_ROWS},
+d as (select *, (l.class_id is not null and a <> 1) or (l.class_no is not null and b <> 1) or (l.class_name is not null and c <> 1) as wrong, len(list_distinct(list_filter([case when l.class_id is not null then pa end, case when l.class_no is not null then pb end, case when l.class_name is not null then pc end], lambda x: x is not null))) as kinds from h),
+e as (select project_key, unnest(list_filter([
+ case when l.class_id is not null and a <> 1 then 'V2_CLASS_ID_REFERENCE_INVALID' end, case when l.class_no is not null and b <> 1 then 'V2_CLASS_NUMBER_REFERENCE_INVALID' end, case when l.class_name is not null and c <> 1 then 'V2_CLASS_NAME_REFERENCE_INVALID' end,
+ case when not wrong and kinds > 1 then 'V2_CLASS_REFERENCE_CONFLICT' end, case when l.class_id is null and l.class_no is null and l.class_name is null then 'V2_CLASS_REFERENCE_INVALID' end,
+ case when coalesce(lower(trim(l.label_type)), '') not in ('man', 'manual') then 'V2_LABEL_ORIGIN_NOT_IN_V1' end,
+ case when kind = 'classification' and {_BOX} and not {_WHOLE} then 'V2_CLASSIFICATION_GEOMETRY_INVALID' end,
+ case when kind = 'segmentation' and l.label_contour is null then 'V2_LABEL_GEOMETRY_UNSUPPORTED' end,
+ case when kind = 'classification' and w is not null and h is not null and {_WHOLE} and (l.label_pos_x < 0 or l.label_pos_y < 0 or l.label_pos_x + l.label_width > w or l.label_pos_y + l.label_height > h) then 'V2_LABEL_OUT_OF_BOUNDS' end,
+ case when w is not null and h is not null and len(list_filter(flatten(rings), lambda p: p[1] < 0 or p[2] < 0 or p[1] > w or p[2] > h)) > 0 then 'V2_CONTOUR_OUT_OF_BOUNDS' end], lambda x: x is not null)) as code from d)
+select project_key, code, count(*) as n from e group by all""")
+def v2_label_findings(spark: SparkSession, base: str) -> DataFrame:
+    """Findings about labels, by project and code; those about full-image geometry have a query of their own."""
+    own = label_findings(_inbox(spark, base)).filter(~F.col("code").isin("V2_CLASSIFICATION_GEOMETRY_NOT_IN_V1", "V2_CLASSIFICATION_FULL_IMAGE_GEOMETRY"))
+    return own.groupBy("project_key", "code").agg(F.count("*").alias("n"))
+
+
+@query(rf"""with {_LABEL_ROWS}, d as (select project_key, ({_BOX}) as boxed, {_WHOLE} as whole, {_FULL} as fits, l.label_contour is not null as drawn, coalesce(len(rings), 0) as n,
+ case when len(rings) = 1 then coalesce(len(rings[1]) >= 4 and len(list_filter(rings[1], lambda p: not (p[1] between 0 and w and p[2] between 0 and h and (p[1] = 0 or p[1] = w or p[2] = 0 or p[2] = h)))) = 0
+  and len(list_filter(range(1, len(rings[1]) + 1), lambda k: not ((rings[1][k][1] = rings[1][k % len(rings[1]) + 1][1] and (rings[1][k][1] = 0 or rings[1][k][1] = w)) or (rings[1][k][2] = rings[1][k % len(rings[1]) + 1][2] and (rings[1][k][2] = 0 or rings[1][k][2] = h))) or rings[1][k] = rings[1][k % len(rings[1]) + 1])) = 0
+  and abs(list_sum(list_transform(range(1, len(rings[1]) + 1), lambda k: rings[1][k][1] * rings[1][k % len(rings[1]) + 1][2] - rings[1][k % len(rings[1]) + 1][1] * rings[1][k][2]))) = 2 * w * h, false) else false end as border from h where kind = 'classification'),
+e as (select project_key, unnest(list_filter([case when (boxed and whole and not fits) or n > 1 or (n = 1 and not border) then 'V2_CLASSIFICATION_GEOMETRY_NOT_IN_V1' end, case when (boxed or drawn) and (not boxed or fits) and (not drawn or (n = 1 and border)) then 'V2_CLASSIFICATION_FULL_IMAGE_GEOMETRY' end], lambda x: x is not null)) as code from d)
+select project_key, code, count(*) as n from e group by all""")
+def v2_full_image_findings(spark: SparkSession, base: str) -> DataFrame:
+    """Which classification labels are the whole image and which can't be said in V1, by project."""
+    own = label_findings(_inbox(spark, base)).filter(F.col("code").isin("V2_CLASSIFICATION_GEOMETRY_NOT_IN_V1", "V2_CLASSIFICATION_FULL_IMAGE_GEOMETRY"))
+    return own.groupBy("project_key", "code").agg(F.count("*").alias("n"))
+
+
+_SOME = lambda test: f"len(list_filter(fs, lambda f: f is not null and {test})) > 0"
+_ANY = lambda test: f"len(list_filter(flatten(list_transform(fs, lambda f: f.label_data_list)), lambda l: l is not null and {test})) > 0"
+_NORMAL = "len(list_filter(range(1, len(ci) + 1), lambda k: coalesce(ci[k].class_no = 0 and lower(trim(ci[k].class_name)) = 'ok' and not ci[k].is_ng and (k = 1 or list_sort(list_transform(ci, lambda c: c.class_no)) = range(len(ci))), false))) = 1 and len(list_filter(ci, lambda c: coalesce(c.is_ng, false))) = len(ci) - 1"
+
+
+@query(rf"""select project_key, code, disposition from (select project_key, unnest(list_filter([
+ case when kind not in ('classification', 'segmentation') then {{'code': 'V2_PROJECT_TYPE_UNSUPPORTED', 'disposition': 'block'}} end,
+ case when kind = 'segmentation' and not coalesce({_NORMAL}, false) then {{'code': 'V2_SEGMENTATION_CLASS_STRUCTURE_INVALID', 'disposition': 'block'}} end,
+ case when kind = 'segmentation' and coalesce({_NORMAL}, false) then {{'code': 'V2_SEGMENTATION_OK_CLASS_RECOGNIZED', 'disposition': 'rebuild'}} end,
+ case when {_SOME('len(f.metadata) > 0')} then {{'code': 'V2_FILE_METADATA_NOT_IN_V1', 'disposition': 'drop'}} end, case when {_SOME('f.registered_date is not null')} then {{'code': 'V2_FILE_TIMESTAMP_NOT_IN_V1', 'disposition': 'drop'}} end,
+ case when {_ANY('l.labeled_date is not null')} then {{'code': 'V2_LABEL_TIMESTAMP_NOT_IN_V1', 'disposition': 'drop'}} end, case when {_ANY('l.contour_size is not null')} then {{'code': 'V2_CONTOUR_SIZE_REBUILT', 'disposition': 'rebuild'}} end,
+ case when kind = 'segmentation' and {_ANY(_BOX + ' and l.label_contour is not null')} then {{'code': 'V2_SEGMENTATION_BOUNDS_REBUILT', 'disposition': 'rebuild'}} end,
+ case when {_SOME("len(list_filter(f.split_sets, lambda s: coalesce(s.split_name, '') <> '')) > 0")} or len(list_filter(ds, lambda d: len(list_filter(d.split_sets, lambda s: coalesce(s.split_name, '') <> '')) > 0)) > 0 then {{'code': 'V2_SPLIT_NAME_NOT_IN_V1', 'disposition': 'drop'}} end,
+ case when {_SOME('len(list_filter(f.split_sets, lambda s: s.split_id is not null)) > 0')} or len(list_filter(ds, lambda d: len(list_filter(d.split_sets, lambda s: s.split_id is not null)) > 0)) > 0 then {{'code': 'V2_SPLIT_ID_REBUILT', 'disposition': 'rebuild'}} end,
+ case when len(ds) > 0 then {{'code': 'V2_DATASET_IDENTITY_NOT_IN_V1', 'disposition': 'drop'}} end,
+ case when len(list_filter(ci, lambda c: c.class_id is not null)) > 0 or len(list_filter(ds, lambda d: d.dataset_id is not null)) > 0 or {_SOME('f.file_id is not null')} or {_ANY('l.label_id is not null')} then {{'code': 'V2_ENTITY_IDS_REBUILT', 'disposition': 'rebuild'}} end], lambda x: x is not null)) as d from {_FIRST}), lateral (select d.code as code, d.disposition as disposition)""")
+def v2_project_findings(spark: SparkSession, base: str) -> DataFrame:
+    """Findings about whole projects: structure of classes, and what V1 drops or rebuilds."""
+    return project_findings(_inbox(spark, base)).select("project_key", "code", "disposition")
+
+
+_STATES = rf"""{_LABEL_ROWS},
+r as (select project_key, i, count(*) as n, list_distinct(list_filter(list(case when not ((l.class_id is not null and a <> 1) or (l.class_no is not null and b <> 1) or (l.class_name is not null and c <> 1)) and len(list_distinct(list_filter([case when l.class_id is not null then pa end, case when l.class_no is not null then pb end, case when l.class_name is not null then pc end], lambda x: x is not null))) = 1 then coalesce(case when l.class_id is not null then pa end, case when l.class_no is not null then pb end, case when l.class_name is not null then pc end) end), lambda x: x is not null)) as classes, bool_and(not ({_BOX}) and l.label_contour is null and l.contour_size is null) as bare from h group by 1, 2),
+x as (select f.project_key, f.i, f.kind, f.f.is_labeled as labeled, coalesce(r.n, 0) as n, coalesce(r.classes, []) as classes, coalesce(r.bare, false) as bare, case when len(list_filter(range(1, len(ci) + 1), lambda k: ci[k].class_id = f.f.class_id)) = 1 then list_filter(range(1, len(ci) + 1), lambda k: ci[k].class_id = f.f.class_id)[1] end as fc, case when {_NORMAL} then list_filter(range(1, len(ci) + 1), lambda k: coalesce(ci[k].class_no = 0 and lower(trim(ci[k].class_name)) = 'ok' and not ci[k].is_ng, false))[1] end as nc from f left join r using (project_key, i) where f.f is not null),
+y as (select *, case when len(classes) = 1 then classes[1] end as lc, coalesce(kind = 'segmentation' and n = 1 and labeled and nc is not null and len(classes) = 1 and classes[1] = nc and (fc is null or fc = nc) and bare, false) as marker from x)"""
+
+
+@query(rf"""with {_STATES} select project_key, i::int as file_index, case when kind = 'segmentation' then case when marker then 'normal' when n > 0 then 'defect' when labeled = false then 'unlabeled' when labeled and fc = nc then 'normal' else 'unknown' end when kind = 'classification' then case when (n = 0 and fc is not null) or (n > 0 and (fc is null or lc is null or fc = lc) and coalesce(lc, fc) is not null) then 'classified' else 'unknown' end end as state from y""")
+def v2_file_states(spark: SparkSession, base: str) -> DataFrame:
+    """Whether each file is normal, defect, unlabeled, classified or neither can be told."""
+    return file_states(_inbox(spark, base)).select("project_key", "file_index", "state")
+
+
+_MEMBERS = f"select project_key, i, coalesce(len(f.split_sets), 0) as m, len(list_distinct(list_filter(list_transform(f.split_sets, lambda s: {_KIND}), lambda t: t is not null))) as k from f where f is not null"
+
+
+@query(rf"""with {_STATES}, s as ({_MEMBERS}), e as (select project_key, unnest(list_filter([
+ case when kind = 'classification' and n = 0 and fc is null then 'V2_CLASSIFICATION_CLASS_MISSING' end, case when kind = 'classification' and n > 1 then 'V2_CLASSIFICATION_MULTIPLE_LABELS' end, case when kind = 'classification' and n > 0 and fc <> lc then 'V2_CLASSIFICATION_CLASS_CONFLICT' end, case when kind = 'classification' and labeled = false and (n > 0 or fc is not null) then 'V2_CLASSIFICATION_STATE_CONFLICT' end,
+ case when kind = 'segmentation' and not marker and n > 0 and labeled = false then 'V2_SEGMENTATION_LABEL_STATE_CONFLICT' end, case when kind = 'segmentation' and not marker and n > 0 and nc is not null and (list_contains(classes, nc) or coalesce(fc = nc, false)) then 'V2_SEGMENTATION_NORMAL_CLASS_CONTOUR_CONFLICT' end,
+ case when kind = 'segmentation' and n = 0 and labeled = false and fc is not null then 'V2_SEGMENTATION_UNLABELED_CLASS_CONFLICT' end, case when kind = 'segmentation' and n = 0 and coalesce(labeled, true) and not coalesce(labeled and fc = nc, false) then 'V2_SEGMENTATION_EMPTY_LABEL_STATE_AMBIGUOUS' end], lambda x: x is not null)) as code from y
+ union all select project_key, case when m = 0 then 'V2_SPLIT_MISSING' when k > 1 then 'V2_SPLIT_CONFLICT' when m > 1 then 'V2_MULTIPLE_SPLIT_MEMBERSHIPS' end from s)
+select project_key, code, count(*) as n from e where code is not null group by all""")
+def v2_file_findings(spark: SparkSession, base: str) -> DataFrame:
+    """Findings about files, by project and code."""
+    return file_findings(_inbox(spark, base)).groupBy("project_key", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""with o(source_format, target) as (values {", ".join(f"('{k}', '{t}')" for k, v in OUTPUTS.items() for t in v)}), p as (select distinct project_key, source_format, case when lower(trim(project_type)) in ('seg', 'segmentation') then 'segmentation' when lower(trim(project_type)) in ('cls', 'classification') then 'classification' end as kind from projects)
+select source_format, target, count(*) as n from p join o using (source_format) where kind is not null group by all""")
+def allowed_targets(spark: SparkSession, base: str) -> DataFrame:
+    """How many projects of each source format may become each output."""
+    rows = first_arrivals(read_table(spark, base, "projects", "project_key", "source_format", "project_type", "received_at"), "project_key")
+    rows = rows.select("project_key", "source_format", codes.mapped(F.col("project_type"), codes.PROJECT_TYPES).alias("project_type"))
+    nothing = rows.select("project_key", F.lit("").alias("code"), F.lit("").alias("disposition")).limit(0)
+    return target_readiness(rows, nothing).join(rows.select("project_key", "source_format"), "project_key").groupBy("source_format", "target").agg(F.count("*").alias("n"))
