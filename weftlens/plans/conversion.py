@@ -15,9 +15,11 @@ from ..functions import codes
 from ..functions.paths import is_absolute
 from ..operators.nested import read_rings
 from ..operators.validation import OUTPUTS, file_findings, file_states, label_findings, project_findings, target_readiness
+from ..sinks.packages import package_plan
 from ..sinks.projects import write_v1
 from ..sinks.v2_build import build_v2, write_findings
 from ..sources import v1_xml, v2_json
+from ..sources.packages import item_findings
 from ..sources.tables import first_arrivals, read_table
 from .reference import _INBOX, _LABELS, _RINGS
 
@@ -222,3 +224,27 @@ def allowed_targets(spark: SparkSession, base: str) -> DataFrame:
     rows = rows.select("project_key", "source_format", codes.mapped(F.col("project_type"), codes.PROJECT_TYPES).alias("project_type"))
     nothing = rows.select("project_key", F.lit("").alias("code"), F.lit("").alias("disposition")).limit(0)
     return target_readiness(rows, nothing).join(rows.select("project_key", "source_format"), "project_key").groupBy("source_format", "target").agg(F.count("*").alias("n"))
+
+
+# ---- packages
+
+_UNSAFE = r"""(trim(entry_name) = '' or regexp_matches(entry_name, '[\x00-\x1f\x7f]') or starts_with(replace(entry_name, '\', '/'), '/') or regexp_matches(entry_name, '^[A-Za-z]:') or len(list_filter(string_split(replace(entry_name, '\', '/'), '/'), lambda s: s in ('.', '..') or regexp_matches(s, '[<>:"|?*]') or ends_with(s, ' ') or ends_with(s, '.') or strlen(s) > 255 or regexp_matches(s, '^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])([ .]|$)'))) > 0)"""
+
+
+@query(rf"""with e as (select distinct project_key, entry_name, uncompressed_size as size from archive_entries where not is_dir),
+s as (select project_key, count(*) + 4 as n_entries, sum(coalesce(size, 0))::bigint as n_bytes, sum(strlen(entry_name))::bigint as n_name_bytes, max(size) as largest, max(strlen(entry_name)) as longest, bool_or({_UNSAFE}) as bad, count(*) > count(distinct lower(replace(entry_name, '\', '/'))) as twice from e group by 1)
+select project_key, n_entries, n_bytes, n_name_bytes, (n_bytes + n_entries * 512 + n_name_bytes * 2 + 65536)::bigint as estimated_bytes, n_bytes + n_entries * 512 + n_name_bytes * 2 + 65536 >= 4294967295 or n_entries >= 65535 as zip64,
+ case when n_entries > 20000 then 'OUTPUT_ARCHIVE_ENTRY_LIMIT_EXCEEDED' when bad then 'OUTPUT_ARCHIVE_ENTRY_PATH_UNSAFE' when longest > 4096 then 'OUTPUT_ARCHIVE_ENTRY_NAME_LIMIT_EXCEEDED' when n_name_bytes > 8388608 then 'OUTPUT_ARCHIVE_ENTRY_NAMES_TOTAL_LIMIT_EXCEEDED' when twice then 'OUTPUT_ARCHIVE_ENTRY_DUPLICATE' when largest > 4294967296 then 'OUTPUT_ARCHIVE_ENTRY_SIZE_LIMIT_EXCEEDED' when n_bytes > 34359738368 then 'OUTPUT_ARCHIVE_TOTAL_SIZE_LIMIT_EXCEEDED' end as limit_code from s""")
+def package_plans(spark: SparkSession, base: str) -> DataFrame:
+    """Sizes and limits of the packages that the listed entries would make."""
+    rows = read_table(spark, base, "archive_entries", "project_key", "entry_name", "uncompressed_size", "is_dir").filter("not is_dir").select("project_key", "entry_name", F.col("uncompressed_size").alias("size")).distinct()
+    return package_plan(rows, "project_key", "svpa")
+
+
+@query()
+def manifest_item_findings(spark: SparkSession, base: str) -> DataFrame:
+    """What stands against each manifest entry of each package."""
+    entries = first_arrivals(read_table(spark, base, "manifest_entries"), "entry_id")
+    items = entries.select(F.col("project_key").alias("archive"), F.col("entry_id").alias("position"), "original_path", "relative_path", F.lit("").alias("directory"), F.lit("project/project.srproj").alias("project_file"))
+    listing = read_table(spark, base, "archive_entries", F.col("project_key").alias("archive"), F.col("entry_name"))
+    return item_findings(items, listing).withColumnRenamed("archive", "project_key")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import glob
+import io
 import os
+import re
 import stat
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +19,7 @@ from ..functions.paths import entry_problem, nfkc_lower
 
 # Limits of an archive.
 MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_TOTAL_BYTES, MOST_RATIO, MOST_NAME_BYTES, MOST_NAMES_BYTES = 20_000, 4 << 30, 32 << 30, 200, 4096, 8 << 20
+MOST_TEXT_BYTES = 32 << 20
 SCHEMA = "archive string, entry_name string, compressed_size bigint, uncompressed_size bigint, is_dir boolean, encrypted boolean, unix_mode int, prefix binary"
 
 
@@ -27,6 +31,7 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.prefix = options["path"], int(options.get("prefixbytes", options.get("prefixBytes", "0")))
+        self.whole = options.get("wholepattern", options.get("wholePattern"))
 
     def partitions(self) -> list[InputPartition]:
         """One task per archive: a central directory is read whole, entries one after the other."""
@@ -34,16 +39,21 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in below]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        if not zipfile.is_zipfile(partition.path):
-            return
-        with zipfile.ZipFile(partition.path) as archive:
-            for entry in archive.infolist():
-                encrypted = bool(entry.flag_bits & 1)
-                first = b""
-                if self.prefix and not entry.is_dir() and not encrypted:
-                    with archive.open(entry) as stream:
-                        first = stream.read(self.prefix)
-                yield partition.path, entry.filename, entry.compress_size, entry.file_size, entry.is_dir(), encrypted, entry.external_attr >> 16, first
+        if zipfile.is_zipfile(partition.path):
+            yield from _entries(partition.path, partition.path, self.prefix, self.whole)
+
+
+def _entries(name: str, source, prefix: int, whole: str | None) -> Iterator[tuple]:
+    """Rows of one archive; entries whose name matches ``whole`` are read up to the largest text, others up to ``prefix`` bytes."""
+    with zipfile.ZipFile(source) as archive:
+        for entry in archive.infolist():
+            encrypted = bool(entry.flag_bits & 1)
+            most = MOST_TEXT_BYTES if whole and re.search(whole, entry.filename) else prefix
+            first = b""
+            if most and not entry.is_dir() and not encrypted:
+                with archive.open(entry) as stream:
+                    first = stream.read(most)
+            yield name, entry.filename, entry.compress_size, entry.file_size, entry.is_dir(), encrypted, entry.external_attr >> 16, first
 
 
 class ZipEntries(DataSource):
@@ -60,9 +70,25 @@ class ZipEntries(DataSource):
         return _Reader(self.options)
 
 
-def read_archives(spark: SparkSession, path: str, prefix_bytes: int = 0) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, prefix_bytes: int = 0, whole: str | None = None) -> DataFrame:
+    """Entries of the archives below a folder that all executors have mounted; ``whole`` is a pattern of the names whose content is wanted."""
     spark.dataSource.register(ZipEntries)
-    return spark.read.format("zip_entries").option("prefixBytes", str(prefix_bytes)).load(path)
+    reader = spark.read.format("zip_entries").option("prefixBytes", str(prefix_bytes))
+    return (reader.option("wholePattern", whole) if whole else reader).load(path)
+
+
+def read_stored_archives(spark: SparkSession, path: str, prefix_bytes: int = 0, whole: str | None = None) -> DataFrame:
+    """The same of archives on any file system that Spark reads (up to 2 GB each, which is what one value may hold); files that are no archive have no row."""
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                source = io.BytesIO(content)
+                if zipfile.is_zipfile(source):
+                    yield pd.DataFrame(list(_entries(name, source, prefix_bytes, whole)), columns=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(unpack, SCHEMA)
 
 
 def is_link(mode: Column) -> Column:
