@@ -231,7 +231,9 @@ def overlap_report(records: DataFrame, n: int = 3, similarity: float = 0.6, cont
     """
     members, links = overlap_classes(records.select("id", "text", "is_train", "is_eval"), n, similarity, containment)
     held = members.filter("is_train").groupBy(F.col("class_id").alias("t")).agg(F.count("*").alias("held"))
-    partners = links.join(held, "t").groupBy(F.col("e").alias("class_id")).agg(F.sum("held").alias("partners"), F.max(F.when((F.col("e") != F.col("t")) | (F.col("held") > 1), F.col("containment"))).alias("most"))
-    per_record = members.filter("is_eval").join(partners, "class_id").select("id", (F.col("partners") - F.col("is_train").cast("int")).alias("n_pairs"), F.coalesce("most", F.lit(1.0)).alias("most")).filter("n_pairs > 0")
+    own = F.col("e") == F.col("t")
+    partners = links.join(held, "t").groupBy(F.col("e").alias("class_id")).agg(F.sum("held").alias("partners"), F.max(F.when(~own, F.col("containment"))).alias("others"), F.max(F.when(own, F.col("held"))).alias("copies"))
+    copies = F.coalesce("copies", F.lit(0)) - F.col("is_train").cast("int")
+    per_record = members.filter("is_eval").join(partners, "class_id").select("id", (F.col("partners") - F.col("is_train").cast("int")).alias("n_pairs"), F.when(copies > 0, 1.0).otherwise(F.col("others")).alias("most")).filter("n_pairs > 0")
     located = per_record.join(records.select("id", "splits", "project_key", "dataset_name"), "id").withColumn("split", F.explode("splits"))
     return located.groupBy("split", "project_key", "dataset_name").agg(F.count("*").alias("n_records"), F.sum("n_pairs").alias("n_pairs"), F.max("most").alias("most_contained"))
