@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from weftlens.operators.drift import aliases, consistent_table, path_values, schema_changes
-from weftlens.operators.nested import flatten_inbox, flatten_tables
+from weftlens.operators.nested import flatten_inbox, flatten_tables, read_rings
 from weftlens.operators.orphans import find_orphans, numbered_paths, parent_keys, parent_runs
 from weftlens.operators.units import normalise_quantities
 from weftlens.sources.tables import first_arrivals
@@ -47,6 +47,19 @@ def test_rings(spark):
     ])
 
 
+def test_ring_texts(spark):
+    """Where the marks stand doesn't matter, nor how far apart, nor that the first ring is empty."""
+    texts = ["[" + " " * 300 + "[\n\t[1,2],[3,4],[5,6]]]", "[[], [[1,2],[3,4],[5,6]]]", "[ [1,2], [3,4] ]", "[[]]", "[[1,2],[3,4]", "[1,2]", "[]", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", read_rings(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [r["r"] for r in rows] == [[[[1, 2], [3, 4], [5, 6]]], [[], [[1, 2], [3, 4], [5, 6]]], [[[1, 2], [3, 4]]], [[]], None, None, None, None]
+
+
+def test_labels_carry_the_positions(spark):
+    ring = "[[1,2],[3,4],[5,6]]"
+    df = spark.createDataFrame([(-7, None, [(1, [(None, None, None, f"[{ring}, [], {ring}]")]), (2, None)], T(2024, 1, 1)), (8, None, None, T(2024, 1, 1))], INBOX)
+    assert sorted((r["node"], r["parent"], r["file_pos"], r["label_pos"], r["ring_pos"]) for r in flatten_inbox(df).collect()) == [("-7.0.0.0", "-7.0.0", 0, 0, 0), ("-7.0.0.2", "-7.0.0", 0, 0, 2), ("-7.1", "-7", 1, -1, -1), ("8", None, -1, -1, -1)]
+
+
 def test_dewey_links(spark):
     df = spark.createDataFrame([(5, [(1, [("a",), ("b",)]), (2, None)])], "id long, xs array<struct<node:long,ys:array<struct<t:string>>>>")
     tables = flatten_tables(df, "id")

@@ -61,9 +61,9 @@ def read_rings(contour: Column) -> Column:
 
     text = F.trim(unwrap(unwrap(contour)))
     text = F.when(text.startswith("[") & text.endswith("]"), text)
-    depth = F.length(F.regexp_extract(F.regexp_replace(F.substring(text, 1, 64), r"\s", ""), r"^(\[+)", 1))
-    many = F.when(depth == 3, F.from_json(text, "array<array<array<double>>>"))
-    one = F.when(depth == 2, F.from_json(text, "array<array<double>>"))
+    # The third mark decides, wherever it stands: a list of rings begins with a ring's first point, or with an empty ring.
+    many = F.when(text.rlike(r"^\[\s*\[\s*[\[\]]"), F.from_json(text, "array<array<array<double>>>"))
+    one = F.when(text.rlike(r"^\[\s*\[\s*[^\[\]\s]"), F.from_json(text, "array<array<double>>"))
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
 
 
@@ -71,32 +71,46 @@ def _readable(ring: Column) -> Column:
     return ring.isNotNull() & (F.size(ring) > 0) & ~F.exists(ring, lambda p: p.isNull() | (F.size(p) < 2) | F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull())
 
 
+def child_label(parent: Column, position: Column) -> Column:
+    """Label of the child at a position; the parent's own where there is no child."""
+    return F.when(position.isNull(), parent).otherwise(F.concat(parent, F.lit("."), position.cast("string")))
+
+
+def ordinal_at(label: Column, depth: int) -> Column:
+    """Ordinal of a label's ancestor at a depth below the root, -1 where the label ends above it."""
+    return F.coalesce(F.get(F.split(label, r"\."), F.lit(depth)).cast("int"), F.lit(-1))
+
+
 def flatten_inbox(inbox: DataFrame) -> DataFrame:
     """Rows down to the single ring of V2 projects, with Dewey labels, parents and the class link.
 
     One row per readable ring; a label without one has ``ring_pos`` -1, a file
-    without labels ``label_pos`` -1 and so on. ``class_id`` is that of the
-    project's class that the label names by class_id, else class_no, else
-    class_name; -1 if there is none. Null projects, null arrays, null elements
-    and broken contours give the -1 rows. Redelivered projects must have been
-    settled before.
+    without labels ``label_pos`` -1 and so on: a node without children keeps
+    its own label, and the positions are the ordinals of the label. ``class_id``
+    is that of the project's class that the label names by class_id, else
+    class_no, else class_name; -1 if there is none. It is resolved inside the
+    project's row, so the classes don't travel to every label. Null projects,
+    null arrays, null elements and broken contours give the -1 rows.
+    Redelivered projects must have been settled before.
     """
     def first_class(test) -> Column:
         return F.try_element_at(F.filter("class_infos", test), F.lit(1))["class_id"]
 
-    files = inbox.select("project_key", "class_infos", F.posexplode_outer("project_files").alias("file_pos", "file"))
-    labels = files.select("project_key", "class_infos", "file_pos", F.posexplode_outer("file.label_data_list").alias("label_pos", "label"))
-    named = (
-        F.when(F.col("label.class_id").isNotNull(), first_class(lambda c: c["class_id"] == F.col("label.class_id")))
-        .when(F.col("label.class_no").isNotNull(), first_class(lambda c: c["class_no"] == F.col("label.class_no")))
-        .when(F.col("label.class_name").isNotNull(), first_class(lambda c: c["class_name"] == F.col("label.class_name")))
-    )
-    linked = labels.select("project_key", "file_pos", "label_pos", F.coalesce(named, F.lit(-1)).cast("long").alias("class_id"), read_rings(F.col("label.label_contour")).alias("rings"))
-    numbered = F.transform("rings", lambda r, i: F.struct(i.alias("ring_pos"), r.alias("ring")))
-    rings = linked.select("project_key", "file_pos", "label_pos", "class_id", F.explode_outer(F.filter(numbered, lambda x: _readable(x["ring"]))).alias("r"))
-    minus = F.lit(-1)
-    node = F.concat_ws(".", F.col("project_key").cast("string"), F.col("file_pos").cast("string"), F.col("label_pos").cast("string"), F.col("r.ring_pos").cast("string"))
+    def linked(label: Column) -> Column:
+        named = (
+            F.when(label["class_id"].isNotNull(), first_class(lambda c: c["class_id"] == label["class_id"]))
+            .when(label["class_no"].isNotNull(), first_class(lambda c: c["class_no"] == label["class_no"]))
+            .when(label["class_name"].isNotNull(), first_class(lambda c: c["class_name"] == label["class_name"]))
+        )
+        return F.struct(F.coalesce(named, F.lit(-1)).cast("long").alias("class_id"), label["label_contour"].alias("contour"))
+
+    # The root's label is its key; a minus sign is part of it.
+    roots = inbox.select("project_key", F.col("project_key").cast("string").alias("node"), F.transform("project_files", lambda f: F.transform(f["label_data_list"], linked)).alias("files"))
+    files = roots.select("project_key", "node", F.posexplode_outer("files").alias("at", "labels")).select("project_key", child_label(F.col("node"), F.col("at")).alias("node"), "labels")
+    labels = files.select("project_key", "node", F.posexplode_outer("labels").alias("at", "label")).select("project_key", child_label(F.col("node"), F.col("at")).alias("node"), F.coalesce("label.class_id", F.lit(-1)).cast("long").alias("class_id"), read_rings(F.col("label.contour")).alias("rings"))
+    numbered = F.filter(F.transform("rings", lambda r, i: F.struct(i.alias("at"), r.alias("ring"))), lambda x: _readable(x["ring"]))
+    rings = labels.select("project_key", "node", "class_id", F.explode_outer(numbered).alias("r")).select("project_key", child_label(F.col("node"), F.col("r.at")).alias("node"), "class_id", F.col("r.ring").alias("points"))
     return rings.select(
-        "project_key", F.coalesce("file_pos", minus).alias("file_pos"), F.coalesce("label_pos", minus).alias("label_pos"), F.coalesce("r.ring_pos", minus).alias("ring_pos"),
-        F.when(F.col("r.ring").isNotNull(), F.size("r.ring")).otherwise(0).alias("n_points"), "class_id", node.alias("node"), dewey_parent(node).alias("parent"), F.col("r.ring").alias("points"),
+        "project_key", ordinal_at(F.col("node"), 1).alias("file_pos"), ordinal_at(F.col("node"), 2).alias("label_pos"), ordinal_at(F.col("node"), 3).alias("ring_pos"),
+        F.when(F.col("points").isNotNull(), F.size("points")).otherwise(0).alias("n_points"), "class_id", "node", dewey_parent(F.col("node")).alias("parent"), "points",
     )

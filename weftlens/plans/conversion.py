@@ -134,7 +134,7 @@ _LABEL_ROWS = rf"""
 f as (select project_key, kind, ci, unnest(fs) as f, unnest(range(len(fs))) as i from {_FIRST}),
 g as (select project_key, kind, ci, i, f.width as w, f.height as h, unnest(f.label_data_list) as l, unnest(range(len(f.label_data_list))) as j from f),
 t as (select *, case when json_valid(l.label_contour) then case when json_type(l.label_contour) = 'VARCHAR' then json_extract_string(l.label_contour, '$') else l.label_contour end end as t from g where l is not null),
-h as (select *, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings, coalesce(len({_ID}), 0) as a, coalesce(len({_NO}), 0) as b, coalesce(len({_NAME}), 0) as c, ({_ID})[1] as pa, ({_NO})[1] as pb, ({_NAME})[1] as pc from t)"""
+h as (select *, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' or json_array_length(t, '$[0]') = 0 then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings, coalesce(len({_ID}), 0) as a, coalesce(len({_NO}), 0) as b, coalesce(len({_NAME}), 0) as c, ({_ID})[1] as pa, ({_NO})[1] as pb, ({_NAME})[1] as pc from t)"""
 _BOX = "coalesce(l.label_pos_x, l.label_pos_y, l.label_width, l.label_height) is not null"
 _WHOLE = "coalesce(l.label_pos_x is not null and l.label_pos_y is not null and l.label_width > 0 and l.label_height > 0, false)"
 _FULL = "coalesce(l.label_pos_x = 0 and l.label_pos_y = 0 and l.label_width = w and l.label_height = h, false)"

@@ -108,7 +108,7 @@ with i as (select project_key, any_value(class_infos) as ci, any_value(project_f
 f as (select project_key, ci, unnest(fs) as f, unnest(range(len(fs))) as file_pos from i where len(fs) > 0),
 l as (select project_key, ci, file_pos, unnest(f.label_data_list) as l, unnest(range(len(f.label_data_list))) as label_pos from f where len(f.label_data_list) > 0),
 c as (select *, coalesce(case when l.class_id is not null then list_filter(ci, lambda c: c.class_id = l.class_id)[1].class_id when l.class_no is not null then list_filter(ci, lambda c: c.class_no = l.class_no)[1].class_id else list_filter(ci, lambda c: c.class_name = l.class_name)[1].class_id end, -1) as class_id, {_TEXT} as t from l),
-r as (select *, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings from c),
+r as (select *, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' or json_array_length(t, '$[0]') = 0 then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings from c),
 g as (select project_key, file_pos, label_pos, class_id, unnest(rings) as ring, unnest(range(len(rings))) as ring_pos from r where len(rings) > 0)
 select project_key, file_pos::int as file_pos, label_pos::int as label_pos, ring_pos::int as ring_pos, len(ring)::int as n_points, class_id from g
 union all select project_key, file_pos::int, label_pos::int, -1, 0, class_id from r where rings is null or len(rings) = 0

@@ -126,10 +126,10 @@ def listing_difference(spark: SparkSession, base: str) -> DataFrame:
     return bag_difference(left, right, ["project_key", "name"])
 
 
-@query("select project_key, lower(entry_name) as key, count(*) as n_rows, count(distinct uncompressed_size) as n_values from archive_entries group by all having count(distinct uncompressed_size) > 1")
+@query("select feed_id, project_id, count(*) as n_rows, count(distinct payload) as n_values from raw_exports where project_id is not null group by all having count(distinct payload) > 1")
 def entry_conflicts(spark: SparkSession, base: str) -> DataFrame:
-    rows = read_table(spark, base, "archive_entries").withColumn("key", F.lower("entry_name"))
-    return diag.group_conflicts(rows, ["project_key", "key"], "uncompressed_size")
+    """Records of a feed that were exported with different contents."""
+    return diag.group_conflicts(read_table(spark, base, "raw_exports", "feed_id", "project_id", "payload").filter("project_id is not null"), ["feed_id", "project_id"], "payload")
 
 
 _INBOX = "(select project_key, any_value(class_infos) as class_infos, any_value(project_files) as project_files from v2_inbox group by 1)"
@@ -299,7 +299,7 @@ def field_presence(spark: SparkSession, base: str) -> DataFrame:
 
 _LABELS = f"""(select project_key, file_pos, unnest(labels) as l, unnest(range(len(labels))) as label_pos from (select project_key, file_pos, f.label_data_list as labels from (select project_key, unnest(project_files) as f, unnest(range(len(project_files))) as file_pos from {_INBOX})))"""
 _TEXT = "case when json_valid(l.label_contour) then case when json_type(l.label_contour) = 'VARCHAR' then json_extract_string(l.label_contour, '$') else l.label_contour end end"
-_RINGS = f"""(select project_key, file_pos, label_pos, l, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings from (select *, {_TEXT} as t from {_LABELS}))"""
+_RINGS = f"""(select project_key, file_pos, label_pos, l, case when json_valid(t) then case when json_type(t, '$[0][0]') = 'ARRAY' or json_array_length(t, '$[0]') = 0 then try_cast(t as double[][][]) when json_type(t, '$[0]') = 'ARRAY' then [try_cast(t as double[][])] end end as rings from (select *, {_TEXT} as t from {_LABELS}))"""
 _RING = f"(select project_key, file_pos, label_pos, unnest(rings) as ring, unnest(range(len(rings))) as ring_pos from {_RINGS})"
 
 
