@@ -80,3 +80,24 @@ def visual_column(text: Column) -> Column:
 def visual_path(path: Column) -> Column:
     """Key by which paths compare: consistent form, one kind of slash, no letter case."""
     return F.lower(F.translate(visual_column(path), "\\", "/"))
+
+
+@lru_cache(maxsize=1)
+def changed_characters() -> dict[str, str]:
+    """Every character whose form differs from it, with its form: what a table for other engines needs besides canonical composition.
+
+    By rule, over the planes that hold such characters: the first, the
+    mathematical alphabets, and the tags and selectors.
+    """
+    spans = (range(0x80, 0xD800), range(0xE000, 0x10000), range(0x1D400, 0x1D800), range(0xE0000, 0xE01F0))
+    pairs = ((chr(c), unicodedata.normalize("NFC", shape_of(chr(c)))) for span in spans for c in span)
+    return {c: form for c, form in pairs if form != unicodedata.normalize("NFC", c)}
+
+
+def form_sql(texts: str) -> str:
+    """SQL (two common table expressions) of ``forms(text, form)`` for the query ``texts`` of a column ``text``."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    table = ", ".join(f"({quote(c)}, {quote(f)})" for c, f in changed_characters().items())
+    return f"""changed(c, shape) as (values {table}),
+spelled as (select text, i, substring(text, i, 1) as c from (select distinct text, unnest(range(1, length(text) + 1)) as i from ({texts}) where text is not null)),
+forms as (select text, nfc_normalize(string_agg(coalesce(shape, c), '' order by i)) as form from spelled left join changed using (c) group by text union all select '', '')"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.visual import form_sql
 from ..operators.drift import aliases, consistent_table, schema_changes
 from ..operators.nested import flatten_inbox
 from ..operators.orphans import find_reference_orphans
@@ -115,4 +116,39 @@ union all select project_key, file_pos::int, label_pos::int, -1, 0, class_id fro
 union all select project_key, file_pos::int, -1, -1, 0, -1 from f where coalesce(len(f.label_data_list), 0) = 0
 union all select project_key, -1, -1, -1, 0, -1 from i where coalesce(len(fs), 0) = 0"""
 
-ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
+_KEY = r"lower(replace(form, '\', '/'))"
+P6_SQL = rf"""
+with {form_sql("select original_path as text from manifest_entries union select relative_path from manifest_entries union select source_path from project_files union select entry_name from archive_entries")},
+r as (select 'manifest_entries' as table_name, entry_id as row_id, 'original_path' as field_name, project_key, {_KEY} as key, received_at from manifest_entries join forms on text = original_path
+ union all select 'manifest_entries', entry_id, 'relative_path', project_key, {_KEY}, received_at from manifest_entries join forms on text = relative_path
+ union all select 'project_labels', label_uid, 'class_index', project_key, class_index::varchar, received_at from project_labels where class_index is not null),
+f as (select table_name, row_id, field_name, min(project_key) as project_key, min(key) as key, min(received_at) as seen from r group by all),
+t as (select 'original_path' as field_name, project_key, {_KEY} as key, received_at, deleted_at from project_files join forms on text = source_path
+ union all select 'relative_path', project_key, {_KEY}, received_at, deleted_at from archive_entries join forms on text = entry_name
+ union all select 'class_index', project_key, class_index::varchar, received_at, deleted_at from project_classes where class_index is not null),
+g as (select field_name, project_key, key, min(case when deleted_at is null then received_at end) as live_at from t group by all),
+k as (select f.*, case when g.key is null then 'missing' when g.live_at is null then 'deleted' when g.live_at > f.seen then 'late' end as orphan_kind from f left join g on g.field_name = f.field_name and g.project_key = f.project_key and g.key = f.key)
+select table_name, row_id, field_name, orphan_kind, strftime(make_timestamp(epoch_us(seen)), '%Y-%m') as period from k where orphan_kind is not null"""
+
+_NUMERIC = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT', 'DECIMAL')"
+P2_SQL = rf"""
+with recursive o as (select feed_id, batch_no, project_id, arg_min(payload, (received_at, payload)) as payload from raw_exports where project_id is not null group by all),
+w(feed_id, batch_no, project_id, path, v) as (
+ select feed_id, batch_no, project_id, e.key, e.value from (select * from o where json_valid(payload) and json_type(case when json_valid(payload) then payload end) = 'OBJECT') x, json_each(x.payload) e
+ union all select w.feed_id, w.batch_no, w.project_id, w.path || '.' || e.key, e.value from w, json_each(w.v) e where json_type(w.v) = 'OBJECT'),
+p as (select feed_id, batch_no, project_id, path, case when json_type(v) = 'VARCHAR' then 'string' when json_type(v) in {_NUMERIC} then 'number' else lower(json_type(v)) end as kind, case when json_type(v) in {_NUMERIC} then (v::varchar)::double::varchar when json_type(v) = 'VARCHAR' then v->>'$' else v::varchar end as value from w),
+b as (select distinct feed_id, batch_no from p), pairs as (select b.feed_id, b.batch_no from b join b a on a.feed_id = b.feed_id and a.batch_no = b.batch_no - 1),
+s as (select feed_id, batch_no, path, list_sort(list(distinct kind) filter (kind <> 'null')) as kinds, bool_or(kind = 'object') as is_object from p group by all),
+n as (select s.* from s join pairs using (feed_id, batch_no)), q as (select s.feed_id, s.batch_no + 1 as batch_no, s.path, s.kinds, s.is_object from s join pairs on pairs.feed_id = s.feed_id and pairs.batch_no = s.batch_no + 1),
+fresh as (select n.* from n anti join q using (feed_id, batch_no, path)), gone as (select q.* from q anti join n using (feed_id, batch_no, path)),
+common as (select c.feed_id, c.batch_no, c.project_id from (select distinct feed_id, batch_no, project_id from p) c join (select distinct feed_id, batch_no, project_id from p) d on d.feed_id = c.feed_id and d.project_id = c.project_id and d.batch_no = c.batch_no - 1),
+cand as (select f.feed_id, f.batch_no, f.path as field_path, g.path as prior_path from fresh f join gone g using (feed_id, batch_no) where not f.is_object and not g.is_object),
+cmp as (select c.feed_id, c.batch_no, field_path, prior_path, bool_and((x.kind is null and y.kind is null) or (x.kind = y.kind and x.value is not distinct from y.value)) as same, count(*) filter (x.kind <> 'null') as known from cand c join common using (feed_id, batch_no)
+ left join p x on x.feed_id = c.feed_id and x.batch_no = c.batch_no and x.project_id = common.project_id and x.path = c.field_path left join p y on y.feed_id = c.feed_id and y.batch_no = c.batch_no - 1 and y.project_id = common.project_id and y.path = c.prior_path group by 1, 2, 3, 4),
+ren as (select feed_id, batch_no, field_path, prior_path from cmp where same and known >= 3)
+select feed_id, batch_no, field_path, 'renamed' as change_kind, prior_path from ren
+union all select feed_id, batch_no, path, 'added', '' from fresh f where not exists (select 1 from ren r where r.feed_id = f.feed_id and r.batch_no = f.batch_no and r.field_path = f.path)
+union all select feed_id, batch_no, path, 'removed', '' from gone g where not exists (select 1 from ren r where r.feed_id = g.feed_id and r.batch_no = g.batch_no and r.prior_path = g.path)
+union all select n.feed_id, n.batch_no, n.path, 'retyped', '' from n join q using (feed_id, batch_no, path) where len(n.kinds) > 0 and len(q.kinds) > 0 and n.kinds <> q.kinds"""
+
+ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}

@@ -18,6 +18,7 @@ def build_session(master: str = "local[*]", app: str = "weftlens", **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -28,9 +29,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = context.getCheckpointDir()
+    if current:
+        return current
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
