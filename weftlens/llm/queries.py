@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlens.functions.visual import form_sql
 from weftlens.sources.tables import read_table
 
 from .leak import find_leaks, leak_report
@@ -104,6 +105,10 @@ l as (select x, y, c.c / a.n as share from c join n a on a.file_uid = x join n b
 e as (select x, count(*) as n_pairs, max(share) as most from l group by 1)
 select split, project_key, dataset_name, count(*) as n_records, sum(n_pairs)::bigint as n_pairs, round(max(most), 6) as most_contained from (select unnest(splits) as split, project_key, dataset_name, n_pairs, most from e join r on file_uid = x) group by all""",
     "p9_conservation": "select distinct source, true as own, true as once, true as capped from documents join mix_targets using (source) where trim(text) <> ''",
+    "p7_found": f"""
+with r as (select 'm' as t, project_key as p, 'original_path' as field_name, entry_id as id, min(original_path) as text from manifest_entries group by all union all select 'r', project_key, 'normalized_path', ref_id, min(normalized_path) from image_references group by all union all select 'r', project_key, 'file_name', ref_id, min(file_name) from image_references group by all),
+{form_sql("select text from r")}, k as (select * from r join forms using (text) where p is not null)
+select a.field_name, a.id as id_a, b.id as id_b from k a join k b on a.t = b.t and a.p = b.p and a.field_name = b.field_name and a.form = b.form where a.id < b.id and a.text <> b.text""",
     "p8_found": f"""
 with i as (select item_id, {_WORDS.format("item_text")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
 ig as ({_RUNS.format("item_id", 11, "i")}), dg as ({_RUNS.format("doc_id", 11, "d")}) select distinct item_id, doc_id from ig join dg using (g)""",
