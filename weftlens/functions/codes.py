@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bind
+
 # Aliases of project types, split types and label origins.
 PROJECT_TYPES = {"classification": "classification", "cls": "classification", "detection": "detection", "det": "detection", "segmentation": "segmentation", "seg": "segmentation"}
 SPLIT_TYPES_V2 = {"train": "training", "training": "training", "val": "validation", "valid": "validation", "validation": "validation", "unassigned": "unassigned", "not-split": "unassigned", "not_split": "unassigned"}
@@ -58,9 +60,13 @@ def fnv1a(text: Column) -> Column:
 
 def deterministic_uuid(text: Column) -> Column:
     """UUID-shaped identifier of a text: four salted hashes with the version and variant digits set."""
-    words = F.concat(*[F.lpad(F.lower(F.hex(fnv1a(F.concat(F.lit(f"{salt}:"), text)))), 8, "0") for salt in "abcd"])
-    part = lambda start, n: F.substring(words, start, n)
-    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12))
+    digits = F.concat(*[F.lpad(F.lower(F.hex(fnv1a(F.concat(F.lit(f"{salt}:"), text)))), 8, "0") for salt in "abcd"])
+
+    def shaped(digits: Column) -> Column:
+        part = lambda start, n: F.substring(digits, start, n)
+        return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12))
+
+    return bind(digits, shaped)
 
 
 def project_number(identity: Column) -> Column:

@@ -8,11 +8,15 @@ writers decide that, the writers refuse to guess.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes
+from ..functions import codes, paths
 from ..functions.paths import is_absolute
+from ..operators.images import image_header
+from ..operators.matching import resolve_images
 from ..operators.nested import read_rings
 from ..operators.validation import OUTPUTS, file_findings, file_states, label_findings, project_findings, target_readiness
 from ..sinks.packages import package_plan
@@ -21,6 +25,10 @@ from ..sinks.v2_build import build_v2, write_findings
 from ..sources import v1_xml, v2_json
 from ..sources.packages import item_findings
 from ..sources.tables import first_arrivals, read_table
+from ..session import ensure_checkpoint_dir
+from ..streaming.ingest import first_arrivals as first_arrivals_of_stream
+from ..streaming.ingest import stream_table
+from . import reference
 from .reference import _INBOX, _LABELS, _RINGS
 
 QUERIES: dict = {}
@@ -248,3 +256,77 @@ def manifest_item_findings(spark: SparkSession, base: str) -> DataFrame:
     items = entries.select(F.col("project_key").alias("archive"), F.col("entry_id").alias("position"), "original_path", "relative_path", F.lit("").alias("directory"), F.lit("project/project.srproj").alias("project_file"))
     listing = read_table(spark, base, "archive_entries", F.col("project_key").alias("archive"), F.col("entry_name"))
     return item_findings(items, listing).withColumnRenamed("archive", "project_key")
+
+
+# ---- identities, names and images
+
+_PATH = reference._sql_path("source_path")
+_LAST = "coalesce(list_filter(string_split({0}, '/'), lambda s: s <> '' and s <> '.')[-1], '')"
+_FNV = reference._FNV
+
+
+@query(f"""with p as (select project_key, any_value(project_name) as name from projects where project_name is not null group by 1),
+c as (select project_key, string_agg('[' || class_index || ',' || to_json(class_name)::varchar || ']', ',' order by class_index, class_name) as cs from (select distinct project_key, class_index, class_name from project_classes where class_index is not null and class_name is not null) group by 1),
+f as (select project_key, string_agg('[' || file_index || ',' || to_json({_PATH})::varchar || ',' || to_json(file_name)::varchar || ']', ',' order by file_index, {_PATH}, file_name) as fs from (select distinct project_key, file_index, source_path, file_name from project_files where file_index is not null and source_path is not null and file_name is not null) group by 1),
+i as (select project_key, '{{"name":' || to_json(name)::varchar || ',"classes":[' || coalesce(cs, '') || '],"files":[' || coalesce(fs, '') || ']}}' as identity from p left join c using (project_key) left join f using (project_key))
+select project_key, 100000 + {_FNV.format('identity')} % 700000 as number from i""")
+def project_numbers(spark: SparkSession, base: str) -> DataFrame:
+    """Project numbers made of the whole identity: name, classes and files."""
+    projects = read_table(spark, base, "projects", "project_key", "project_name").filter("project_name is not null").groupBy("project_key").agg(F.min("project_name").alias("name"))
+    classes = read_table(spark, base, "project_classes", "project_key", "class_index", "class_name").dropna().distinct().groupBy("project_key").agg(F.collect_list(F.struct(F.col("class_index").alias("index"), F.col("class_name").alias("name"))).alias("cs"))
+    files = read_table(spark, base, "project_files", "project_key", "file_index", "source_path", "file_name").dropna().distinct()
+    files = files.groupBy("project_key").agg(F.collect_list(F.struct(F.col("file_index").alias("index"), paths.normalize_path(F.col("source_path")).alias("path"), "file_name")).alias("fs"))
+    joined = projects.join(classes, "project_key", "left").join(files, "project_key", "left")
+    listed = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType))
+    return joined.select("project_key", codes.project_number(codes.project_identity(F.col("name"), listed("cs", classes), listed("fs", files))).alias("number"))
+
+
+@query(r"""with n as (select distinct file_name, rtrim(regexp_replace(file_name, '[\x00-\x1f\x7f<>:"|?*\\/]', '_', 'g'), '. ') as clean from project_files where file_name is not null)
+select file_name, case when clean = '' then '_' when regexp_matches(clean, '^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])([ .]|$)') then '_' || clean else clean end as safe, case when strlen(file_name) <= 12 then file_name else file_name[:length(file_name) - len(list_filter(range(1, length(file_name) + 1), lambda i: strlen(file_name[:i]) > 12))] end as fitted from n""")
+def file_names(spark: SparkSession, base: str) -> DataFrame:
+    """File names made safe, and cut to twelve bytes at whole characters."""
+    names = read_table(spark, base, "project_files", "file_name").filter("file_name is not null").distinct()
+    return names.select("file_name", paths.safe_file_name(F.col("file_name")).alias("safe"), paths.fit_utf8(F.col("file_name"), 12).alias("fitted"))
+
+
+def _bytes(value: Column, n: int, little: bool) -> Column:
+    """Hexadecimal text of a number in ``n`` bytes."""
+    digits = F.lpad(F.hex(value), 2 * n, "0")
+    return F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))), "") if little else digits
+
+
+@query("""with f as (select distinct file_uid, case when regexp_matches(width, '^[0-9]{1,9}$') then width::bigint end as w from project_files), s as (select *, case when w between 1 and 65535 then w else 1 + file_uid % 4000 end as width, 1 + file_uid % 3000 as height from f)
+select distinct file_uid, ['png', 'gif', 'bmp', 'jpeg', 'webp', 'unknown'][(file_uid % 6 + 1)::int] as format, case when file_uid % 6 < 5 then width end as width, case when file_uid % 6 < 5 then height end as height, case when file_uid % 6 = 5 then 'IMAGE_FORMAT_UNSUPPORTED' end as issue from s""")
+def image_headers(spark: SparkSession, base: str) -> DataFrame:
+    """Headers of five formats made for the sizes of the files, and what is read from them again."""
+    files = read_table(spark, base, "project_files", "file_uid", "width").distinct()
+    wide = F.when(F.col("width").rlike("^[0-9]{1,9}$"), F.col("width").try_cast("bigint"))
+    sized = files.select("file_uid", F.when(wide.between(1, 65535), wide).otherwise(F.col("file_uid") % 4000 + 1).alias("w"), (F.col("file_uid") % 3000 + 1).alias("h")).distinct()
+    w, h, lit = F.col("w"), F.col("h"), F.lit
+    kinds = [
+        F.concat(lit("89504E470D0A1A0A0000000D49484452"), _bytes(w, 4, False), _bytes(h, 4, False)), F.concat(lit("474946383961"), _bytes(w, 2, True), _bytes(h, 2, True)), F.concat(lit("424D") , lit("00" * 12), lit("28000000"), _bytes(w, 4, True), _bytes(h, 4, True)),
+        F.concat(lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), _bytes(h, 2, False), _bytes(w, 2, False), lit("03")), F.concat(lit("524946460000000057454250565038580A00000000000000"), _bytes(w - 1, 3, True), _bytes(h - 1, 3, True)), lit("00112233"),
+    ]
+    content = F.unhex(F.element_at(F.array(*kinds), (F.col("file_uid") % 6 + 1).cast("int")))
+    return sized.select("file_uid", image_header(content).alias("i")).select("file_uid", "i.format", "i.width", "i.height", "i.issue").distinct()
+
+
+@query("select project_key, entry_name is not null as in_archive, count(*) as n from (select m.project_key, a.entry_name from (select distinct project_key, entry_id, relative_path from manifest_entries) m left join (select distinct project_key, entry_name from archive_entries) a on a.project_key = m.project_key and a.entry_name = m.relative_path) group by all")
+def archived_images(spark: SparkSession, base: str) -> DataFrame:
+    """How many images of each package lie in its archive under the very name that the manifest gives."""
+    files = read_table(spark, base, "manifest_entries", "project_key", "entry_id", "relative_path").distinct()
+    files = files.select(F.col("project_key").alias("scope"), F.col("entry_id").alias("file_index"), F.lit("archive").alias("kind"), F.col("relative_path").alias("entry_name"))
+    entries = read_table(spark, base, "archive_entries", F.col("project_key").alias("scope"), "entry_name")
+    nothing = files.select("scope", F.col("file_index").alias("ref_id"), F.lit("missing").alias("status"), F.lit(None).cast("long").alias("cand_id")).limit(0)
+    found = resolve_images(files, entries, nothing)
+    return found.groupBy(F.col("scope").alias("project_key"), F.col("issue").isNull().alias("in_archive")).agg(F.count("*").alias("n"))
+
+
+@query("select count(distinct file_uid) as n, min(file_uid) as low, max(file_uid) as high from project_files")
+def streamed_arrivals(spark: SparkSession, base: str) -> DataFrame:
+    """First arrivals of a table read as a stream until it is used up: redeliveries are dropped with the watermark's state."""
+    table = f"arrivals_{uuid.uuid4().hex}"
+    at = f"{ensure_checkpoint_dir(spark)}/{table}"
+    stream = first_arrivals_of_stream(stream_table(spark, f"{base}/project_files.parquet").select("file_uid", "received_at"), ["file_uid"], wait="3650 days")
+    stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("file_uid long, received_at timestamp").parquet(f"{at}/rows").agg(F.count("*").alias("n"), F.min("file_uid").alias("low"), F.max("file_uid").alias("high"))

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.geometry import inner_before_outer, round_half_up, signed_area2
+from ..functions.columns import bind
+from ..functions.geometry import bounds, inner_before_outer, signed_area2
 from ..functions.paths import last_segment, nfkc_lower, normalize_path, strip_quotes
 from ..operators.diagnostics import contiguous
 from ..operators.naming import running_ids
@@ -57,16 +58,10 @@ def contour_problem(rings: Column, roles: Column, width: Column, height: Column)
         ("V2_WRITE_SEGMENTATION_CONTOUR_INVALID", F.exists(rings, lambda r: r.isNull() | (F.size(r) < 3))),
         ("V2_WRITE_SEGMENTATION_POINT_INVALID", F.exists(rings, lambda r: F.exists(r, outside))),
         ("V2_WRITE_SEGMENTATION_CONTOUR_AREA_INVALID", F.exists(rings, lambda r: signed_area2(r) == 0)),
-        ("V2_WRITE_SEGMENTATION_GEOMETRY_INVALID", _box(rings, "width") <= 0),
-        ("V2_WRITE_SEGMENTATION_GEOMETRY_INVALID", (_box(rings, "height") <= 0) | (contour_area(rings, roles) <= 0)),
+        ("V2_WRITE_SEGMENTATION_GEOMETRY_INVALID", bind(bounds(rings), lambda b: (b["width"] <= 0) | (b["height"] <= 0)) | (contour_area(rings, roles) <= 0)),
     ])
 
 
-def _box(rings: Column, part: str) -> Column:
-    xs, ys = F.transform(F.flatten(rings), lambda p: p[0]), F.transform(F.flatten(rings), lambda p: p[1])
-    return round_half_up({"x": F.array_min(xs), "y": F.array_min(ys), "width": F.array_max(xs) - F.array_min(xs), "height": F.array_max(ys) - F.array_min(ys)}[part])
-
-
 def oriented(rings: Column, roles: Column) -> Column:
     """Rings with positive area outside and negative inside."""
     return F.zip_with(rings, roles, lambda r, role: F.when((signed_area2(r) > 0) == (role == "outer"), r).otherwise(F.reverse(r)))
@@ -182,13 +177,14 @@ def build_v2(projects: DataFrame, classes: DataFrame, files: DataFrame, labels:
     whole = files.join(head.filter(~is_seg).select("project_key"), "project_key", "left_semi").filter("class_index is not null").select("project_key", "file_index", F.lit(0).alias("label_index"), F.col("class_index").cast(labels.schema["class_index"].dataType).alias("class_index"), F.lit(None).cast(labels.schema["rings"].dataType).alias("rings"), F.lit(None).cast(labels.schema["roles"].dataType).alias("roles"))
     numbered = running_ids(drawn.unionByName(whole), "project_key", ["file_index", "label_index"], F.lit(LABEL_IDS).cast("bigint"), "number")
     placed = numbered.join(names, ["project_key", "class_index"]).join(head, "project_key").withColumn("lid", F.col("pid") + F.col("number"))
-    box = lambda part, name: F.when(F.col("rings").isNotNull(), _box(F.col("rings"), part)).alias(name)
-    whole_numbers = F.transform(oriented(F.col("rings"), F.col("roles")), lambda r: F.transform(r, lambda p: F.array(p[0], p[1])))
+    # Interpreted expressions over whole rings, each computed once: they don't fold into the struct below.
+    placed = placed.withColumns({"box": bounds(F.col("rings")), "area": contour_area(F.col("rings"), F.col("roles"))})
+    box = lambda part, name: F.col(f"box.{part}").alias(name)
     label_row = F.struct(
         F.col("label_index").alias("order"),
         F.struct(
             F.col("lid").alias("labelId"), F.lit("man").alias("labelType"), box("x", "labelPosX"), box("y", "labelPosY"), box("width", "labelWidth"), box("height", "labelHeight"), F.col("at").alias("labeledDate"),
-            F.when(F.col("rings").isNotNull(), F.to_json(whole_numbers)).alias("labelContour"), F.when(F.col("rings").isNotNull(), contour_area(F.col("rings"), F.col("roles"))).alias("contourSize"),
+            F.to_json(oriented(F.col("rings"), F.col("roles"))).alias("labelContour"), F.col("area").alias("contourSize"),
             codes.deterministic_uuid(F.concat(F.col("pid").cast("string"), F.lit(":label:"), F.col("lid").cast("string"))).alias("contourId"), F.col("class_name").alias("className"),
         ).alias("l"),
     )

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def stream_table(spark: SparkSession, path: str, files_at_once: int = 8) -> DataFrame:
-    """Parquet files that arrive below ``path``, as a stream; the schema is that of the files there now."""
+    """Parquet files that arrive below ``path``, or that one file, as a stream; the schema is that of the files there now."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_at_once)).parquet(path)
+    # A pattern of one name: the source takes a file only where it looks for files itself.
+    one = f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else path
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_at_once)).parquet(one)
 
 
 def first_arrivals(stream: DataFrame, keys: list[str], arrival: str = "received_at", wait: str = "120 days") -> DataFrame:
