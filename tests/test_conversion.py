@@ -5,6 +5,7 @@ import json
 import pytest
 
 from weftlens.functions.codes import FNV_OFFSET, FNV_PRIME
+from weftlens.sinks.projects import write_v1
 from weftlens.sinks.v2_build import build_v2, write_findings
 
 PROJECTS = "project_key long, project_name string, project_type string, modified_ms long, roi_mode string, roi_left double, roi_top double, roi_right double, roi_bottom double"
@@ -90,3 +91,12 @@ def test_findings(spark):
 def test_of_nothing(spark):
     rows = tables(spark, [], [], [], [])
     assert write_findings(*rows).count() == 0 and build_v2(*rows).count() == 0
+
+
+def test_v1_writer_refuses(spark):
+    head = lambda k, kind="segmentation", mode="none", box=(None,) * 4: (k, "p", kind, 0, mode, *box)
+    projects = [head(1), head(2, "detection"), head(3, mode="other"), head(4, mode="simple", box=(0.5, 0.0, 0.4, 1.0)), head(5), head(6, mode="simple", box=(0.0, 0.0, 0.5, 1.0))]
+    files = [(k, 0, "C:/x", None, 20, 20, "training", k == 5, None, None) for k in range(1, 7)]
+    rows = {r["project_key"]: r for r in write_v1(*tables(spark, projects, [(k, 0, "A", None, None) for k in range(1, 7)], files, [(k, 0, 0, 0, [SQUARE], ["outer"]) for k in (1, 5)])).collect()}
+    assert {k: r["code"] for k, r in rows.items()} == {1: None, 2: "SRPROJ_PROJECT_TYPE_UNSUPPORTED", 3: "SRPROJ_ROI_UNSUPPORTED", 4: "SRPROJ_ROI_BOUNDS_INVALID", 5: "SRPROJ_SEGMENTATION_NORMAL_LABEL_CONFLICT", 6: None}
+    assert all((r["xml"] is None) == (r["code"] is not None) for r in rows.values()) and '<Offset Left="100" Right="100" Top="100" Bottom="100" />' in rows[6]["xml"] and "<Type>Not set</Type>" in rows[1]["xml"]

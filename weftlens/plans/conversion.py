@@ -24,8 +24,9 @@ from ..sinks.projects import write_v1
 from ..sinks.v2_build import build_v2, write_findings
 from ..sources import v1_xml, v2_json
 from ..sources.packages import item_findings
+from ..sources.xml_nodes import region_findings, regions, structure_findings, xml_nodes
 from ..sources.tables import first_arrivals, read_table
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 from ..streaming.ingest import first_arrivals as first_arrivals_of_stream
 from ..streaming.ingest import stream_table
 from . import reference
@@ -130,6 +131,15 @@ def v1_written_rings(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("project_key", "file_index", "label_pos", F.col("r.roles").alias("role"), F.size("r.rings").alias("n_points"), total(0).alias("sum_x"), total(1).alias("sum_y"))
 
 
+@query(f"""select project_key, 'simple' as roi_mode, 0.125::double as roi_left, 0.25::double as roi_top, 0.75::double as roi_right, 0.875::double as roi_bottom, 'V1_SIMPLE_RECTANGLE_ROI_MAPPED' as codes from {_INBOX}
+where coalesce(len(list_filter(class_infos, lambda c: coalesce(trim(c.class_color), '') <> '' and not regexp_matches(trim(c.class_color), '^(#([0-9a-fA-F]{{6}}|[0-9a-fA-F]{{8}})|-?[0-9]{{1,9}})$'))), 0) = 0""")
+def v1_written_regions(spark: SparkSession, base: str) -> DataFrame:
+    """Regions of the projects written as V1, read from the nodes of their texts, with all findings about structure and region."""
+    nodes = cut(xml_nodes(write_v1(*canonical(spark, base)).filter("xml is not null").withColumnRenamed("xml", "text")))
+    found = structure_findings(nodes).unionByName(region_findings(nodes)).groupBy("project_key").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    return regions(nodes).drop("findings").join(found, "project_key", "left")
+
+
 # ---- findings about V2 projects
 
 def _inbox(spark: SparkSession, base: str) -> DataFrame:

@@ -16,6 +16,20 @@ from ..functions.geometry import normal_ring
 from ..functions.paths import entry_problem
 
 
+# The settings of a region that are written with it, and limits of a V1 text.
+REGION_DEFAULTS = """    <RoiSetting>
+      <Intensity Min="0" Max="255" />
+      <Expansion Value="0" />
+      <Inversion Value="False" />
+      <Offset Left="100" Right="100" Top="100" Bottom="100" />
+    </RoiSetting>
+    <BlindGroup>
+      <NumberOfBlinds>0</NumberOfBlinds>
+    </BlindGroup>
+"""
+MOST_FILES, MOST_TEXT_BYTES = 19_996, 32 << 20
+
+
 def _joined(rows: DataFrame, keys: list[str], order: str, fragment: Column, out: str) -> DataFrame:
     """Fragments of each key in order, as one text."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), fragment.alias("f"))))
@@ -31,14 +45,17 @@ def write_v1(projects: DataFrame, classes: DataFrame, files: DataFrame, labels:
     """(project_key, xml, code): deterministic V1 text, elements in index order, line ends of ``\\n``.
 
     What can't be written without guessing isn't: ``xml`` is null and ``code``
-    says why (SRPROJ_SPLIT_UNSUPPORTED, SRPROJ_CLASS_COLOR_INVALID).
+    says why: the project's type, its number of files, an unknown split, a
+    colour that is none, a normal image with labels, a region that is neither
+    none nor a rectangle inside the image, or a text above its limit.
     Rings are quantised and turned as V1 has them. Classification files carry
     their class, segmentation files a label group. Everything of one project
     comes together in one row, as its file does.
     """
     class_text = F.concat(F.lit("    <Class>\n"), _tag("Name", F.col("class_name"), 6), _tag("Color", codes.argb_number(F.col("class_color"), F.col("class_index")), 6), F.lit("    </Class>\n"))
     painted = classes.groupBy("project_key").agg(F.bool_or(codes.argb_number(F.col("class_color"), F.col("class_index")).isNull()).alias("unpainted"))
-    assigned = files.groupBy("project_key").agg(F.bool_or(~F.coalesce(F.col("split").isin(*codes.SPLITS_V1), F.lit(False))).alias("unsplit"))
+    normal = files.filter("is_normal").select("project_key", "file_index").join(labels.select("project_key", "file_index"), ["project_key", "file_index"], "left_semi").select("project_key").distinct().withColumn("contradicted", F.lit(True))
+    assigned = files.groupBy("project_key").agg(F.count("*").alias("__files"), F.bool_or(~F.coalesce(F.col("split").isin(*codes.SPLITS_V1), F.lit(False))).alias("unsplit"))
     class_group = _joined(classes, ["project_key"], "class_index", class_text, "classes")
     point = lambda p: F.concat(F.lit('              <Point X="'), p[0].cast("string"), F.lit('" Y="'), p[1].cast("string"), F.lit('" />\n'))
     def contour(ring: Column, role: Column) -> Column:
@@ -61,13 +78,13 @@ def write_v1(projects: DataFrame, classes: DataFrame, files: DataFrame, labels:
         F.when(F.col("project_type") == "segmentation", group).otherwise(_tag("ClassIndexOfLabel", F.col("class_index"), 6)), F.lit("    </Image>\n"),
     )
     image_group = _joined(rows, ["project_key"], "file_index", image_text, "images")
-    whole = projects.join(class_group, "project_key", "left").join(image_group, "project_key", "left").join(painted, "project_key", "left").join(assigned, "project_key", "left")
+    whole = projects.join(class_group, "project_key", "left").join(image_group, "project_key", "left").join(painted, "project_key", "left").join(assigned, "project_key", "left").join(normal, "project_key", "left")
     number = lambda c: c.cast("decimal(20,6)").cast("double").cast("string")
     roi = F.when(
         F.col("roi_mode") == "simple",
         F.concat(
             F.lit('  <MaskingParameter>\n    <Type>Simple</Type>\n    <RoiRectangle X="'), number(F.col("roi_left")), F.lit('" Y="'), number(F.col("roi_top")), F.lit('" Width="'), number(F.col("roi_right") - F.col("roi_left")),
-            F.lit('" Height="'), number(F.col("roi_bottom") - F.col("roi_top")), F.lit('" Shape="Rectangle" />\n  </MaskingParameter>\n'),
+            F.lit('" Height="'), number(F.col("roi_bottom") - F.col("roi_top")), F.lit('" Shape="Rectangle" />\n' + REGION_DEFAULTS + "  </MaskingParameter>\n"),
         ),
     ).otherwise(F.lit("  <MaskingParameter>\n    <Type>Not set</Type>\n  </MaskingParameter>\n"))
     xml = F.concat(
@@ -75,8 +92,15 @@ def write_v1(projects: DataFrame, classes: DataFrame, files: DataFrame, labels:
         F.lit("  <ClassGroup>\n"), _tag("NumberOfClasses", F.coalesce("n_classes", F.lit("0")), 4), F.coalesce("classes", F.lit("")), F.lit("  </ClassGroup>\n"),
         F.lit("  <ImageGroup>\n"), _tag("NumberOfImages", F.coalesce("n_images", F.lit("0")), 4), F.coalesce("images", F.lit("")), F.lit("  </ImageGroup>\n"), roi, F.lit("</Project>\n"),
     )
-    code = F.when(F.col("unsplit"), "SRPROJ_SPLIT_UNSUPPORTED").when(F.col("unpainted"), "SRPROJ_CLASS_COLOR_INVALID")
-    return whole.select("project_key", F.when(code.isNull(), xml).alias("xml"), code.alias("code"))
+    left, top, right, bottom = (F.col(f"roi_{s}") for s in ("left", "top", "right", "bottom"))
+    inside = (left >= 0) & (top >= 0) & (right <= 1) & (bottom <= 1) & (right > left) & (bottom > top)
+    code = (
+        F.when(~F.coalesce(F.col("project_type").isin("classification", "segmentation"), F.lit(False)), "SRPROJ_PROJECT_TYPE_UNSUPPORTED").when(F.col("__files") > MOST_FILES, "SRPROJ_FILE_LIMIT_EXCEEDED")
+        .when(F.col("unsplit"), "SRPROJ_SPLIT_UNSUPPORTED").when(F.col("unpainted"), "SRPROJ_CLASS_COLOR_INVALID").when((F.col("project_type") == "segmentation") & F.col("contradicted"), "SRPROJ_SEGMENTATION_NORMAL_LABEL_CONFLICT")
+        .when(~F.coalesce("roi_mode", F.lit("none")).isin("none", "simple"), "SRPROJ_ROI_UNSUPPORTED").when((F.col("roi_mode") == "simple") & ~F.coalesce(inside, F.lit(False)), "SRPROJ_ROI_BOUNDS_INVALID")
+    )
+    judged = whole.select("project_key", F.when(code.isNull(), xml).alias("xml"), code.alias("code"))
+    return judged.select("project_key", F.when(F.octet_length("xml") <= MOST_TEXT_BYTES, F.col("xml")).alias("xml"), F.coalesce("code", F.when(F.octet_length("xml") > MOST_TEXT_BYTES, "SRPROJ_XML_TEXT_LIMIT_EXCEEDED")).alias("code"))
 
 
 def write_v2(inbox: DataFrame) -> DataFrame:
