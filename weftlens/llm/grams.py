@@ -1,10 +1,10 @@
-"""Words, n-gram hashes and broadcasts behind a check of their size."""
+"""Words, n-gram hashes, and columns of lists as flat arrays."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -27,11 +27,6 @@ def gram_hashes(tokens: Column, n: int) -> Column:
     return F.coalesce(F.get(F.transform(F.array(tokens), hashes), F.lit(0)), F.array().cast("array<bigint>"))
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is (a shuffled join follows)."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values of a column of lists of long after one another, and the length of each list."""
     return np.asarray(lists.flatten()).astype(np.int64, copy=False), np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64, copy=False)

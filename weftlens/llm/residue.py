@@ -131,13 +131,12 @@ class NgramModel:
 
     def add(self, texts: list[str]) -> None:
         """Counts the texts, each from its own start."""
-        if not texts:
-            return
-        codes, begin, end = encode_all(texts)
-        own = _inside(np.ones(len(texts), bool), begin, end, max(0, len(codes) - ORDER + 1))
-        for table, at in zip(self.tables, slots(codes)):
-            table += np.bincount(at[own] >> (SLOT_BITS - self.bits), minlength=len(table))
-        self.total += float(own.sum())
+        for part in _portions(texts):
+            codes, begin, end = encode_all(texts[part])
+            own = _inside(np.ones(len(begin), bool), begin, end, max(0, len(codes) - ORDER + 1))
+            for table, at in zip(self.tables, slots(codes)):
+                table += np.bincount(at[own] >> (SLOT_BITS - self.bits), minlength=len(table))
+            self.total += float(own.sum())
 
     def prob(self, slots: list[np.ndarray], strength: float = 1.0, where: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Probability of each character, or of those at ``where``, after the four before it, interpolated over orders 5, 3 and 1."""
@@ -245,6 +244,10 @@ class ResidueModels:
 
     def shares(self, texts: list[str]) -> dict[str, np.ndarray]:
         """Share of the characters of each text that end n-grams of each kind's examples: of order 5, of order 3 in dense scripts; 0 where they are too few."""
+        parts = [self._shares(texts[part]) for part in _portions(texts)]
+        return {kind: np.concatenate([np.zeros(0), *(p[kind] for p in parts)]) for kind in KINDS}
+
+    def _shares(self, texts: list[str]) -> dict[str, np.ndarray]:
         codes, begin, end = encode_all(texts)
         at = [x >> (SLOT_BITS - SEED_BITS) for x in slots(codes)]
         dense = self._dense(codes)
@@ -312,6 +315,20 @@ class ResidueModels:
             out[kind] = np.where(context > 0, np.clip(gain, LOSS[kind], most), 0.0)
         return out, begin, end, open_
 
+    def _scores(self, texts: list[str], sure: float) -> tuple[np.ndarray, dict[str, np.ndarray], list[tuple[int, str, list]]]:
+        """Which texts may hold residue, their ratios by kind, and the segments inside them that are sure enough.
+
+        A segment may start and end at any character: its ratio must be above
+        ``sure`` by twice the logarithm of the text's length.
+        """
+        gains, begin, end, open_ = self.gains(texts, sure)
+        need, segments = sure + 2 * np.log(np.maximum(end - begin, 1)), []
+        for kind in SENTENCE_KINDS:
+            # At no place does the sum rise by more than this: most lines end here.
+            for k in np.flatnonzero(open_ & (_best_rises(gains[kind], begin, end) >= need)):
+                segments.append((int(k), kind, _runs(gains[kind][begin[k] : end[k]].tolist(), need[k])))
+        return open_, {kind: _sums(g, begin, end) for kind, g in gains.items()}, segments
+
     def windows(self, texts: list[str], sure: float) -> list[list[tuple[str, int, int, float]]]:
         """(kind, start, end, log-likelihood ratio) of the residue in each text, in order."""
         out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
@@ -329,8 +346,12 @@ class ResidueModels:
         every = spans + parts + values
         if not every:
             return [sorted(w, key=lambda x: (x[1], x[2])) for w in out]
-        gains, begin, end, open_ = self.gains([bare[i][a:b] for i, a, b in every], sure)
-        total = {kind: _sums(g, begin, end) for kind, g in gains.items()}
+        # A long text is many parts: they are scored as many at once as make a million characters.
+        strings = [bare[i][a:b] for i, a, b in every]
+        scored = [self._scores(strings[part], sure) for part in _portions(strings)]
+        open_ = np.concatenate([s[0] for s in scored])
+        total = {kind: np.concatenate([s[1][kind] for s in scored]) for kind in KINDS}
+        segments = [(k + at.start, kind, runs) for s, at in zip(scored, _portions(strings)) for k, kind, runs in s[2]]
 
         def add(i: int, kind: str, a: int, b: int, ratio: float) -> None:
             if not _quoted(texts[i], a, b) and not any(x[1] < b and a < x[2] for x in out[i]):
@@ -361,17 +382,14 @@ class ResidueModels:
         for i, kind, a, b, ratio in merged:
             if ratio >= sure and letters(i, a, b):
                 add(i, kind, a, b, ratio)
-        for kind in SENTENCE_KINDS:
-            need = sure + 2 * np.log(np.maximum(end - begin, 1))
-            # At no place does the sum rise by more than this: most lines end here.
-            for k in np.flatnonzero(open_ & (_best_rises(gains[kind], begin, end) >= need)):
-                if len(spans) <= k < len(spans) + len(parts):
-                    i, first, last = every[k]
-                    back = _places(bare[i][first:last])
-                    for a, b, ratio in _runs(gains[kind][begin[k] : end[k]].tolist(), need[k]):
-                        a, b = first + back[a], first + back[b - 1] + 1
-                        if letters(i, a, b):
-                            add(i, kind, a, b, ratio)
+        for k, kind, runs in sorted(segments, key=lambda x: (SENTENCE_KINDS.index(x[1]), x[0])):
+            if len(spans) <= k < len(spans) + len(parts):
+                i, first, last = every[k]
+                back = _places(bare[i][first:last])
+                for a, b, ratio in runs:
+                    a, b = first + back[a], first + back[b - 1] + 1
+                    if letters(i, a, b):
+                        add(i, kind, a, b, ratio)
         return [sorted(w, key=lambda x: (x[1], x[2])) for w in out]
 
 
