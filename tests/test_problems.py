@@ -135,6 +135,8 @@ def test_numbered_paths(spark):
     scope, key = [r["scope"] for r in rows], [r["key"] for r in rows]
     assert scope[0] == scope[1] == scope[7] != scope[2] and key[:3] == [9, 10, 10] and key[7] == 11 and key[3] == 0 and key[4] == 10**18 - 1 and key[6] is None and key[8] == 12
     assert len({(str(s), k) for s, k in zip(scope, key)}) == len(paths)
+    clash = numbered_paths(spark.createDataFrame([(1, "a1", 5)], "project long, path string, key int"), "project", "path").first()
+    assert clash["key"] == 1 and clash["key_in"] == 5 and numbered_paths(spark.createDataFrame([], "project long, path string"), "project", "path").count() == 0
     refs = spark.createDataFrame([(i, 1, f"d/f_{n:04d}.png", T(2024, 5, 1)) for i, n in enumerate((3, 7, 12))], "entry_id long, project long, path string, received_at timestamp").withColumnRenamed("entry_id", "row_id")
     refs = numbered_paths(refs, "project", "path")
     files = spark.createDataFrame([(1, f"d\\F_{n:04d}.PNG", None, T(2024, 1, 1)) for n in range(1, 11) if n != 7], "project long, path string, deleted_at timestamp, received_at timestamp")

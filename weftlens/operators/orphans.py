@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.columns import set_aside
 from ..functions.visual import visual_form
 
 
@@ -93,8 +94,11 @@ def numbered_paths(df: DataFrame, project: str, path: str) -> DataFrame:
     """``df`` without ``path``, and (scope, key) of its consistent form: its last digits, up to 18 of them, are the key; the rest, hashed to 128 bits, and the project are the scope. Null stays null.
 
     One pass in Arrow batches: as an expression the form would be computed
-    again for every use and every filter of it.
+    again for every use and every filter of it. Columns of ``df`` that clash
+    with the new ones get ``_in`` after their name.
     """
+    df, name = set_aside(df, ["scope", "key", "__shape"])
+    project, path = name(project), name(path)
     keep = [f for f in df.schema.fields if f.name != path]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
