@@ -27,7 +27,7 @@ STRUCTURE = [
     ('<Project><ClassGroup a="1"><Class><Name>x</Name><Odd/></Class></ClassGroup></Project>', {("V1_UNKNOWN_XML_ATTRIBUTE", "$.Project.ClassGroup[0].@a"), ("V1_UNKNOWN_XML_NODE", "$.Project.ClassGroup[0].Class[0].Odd[0]")}),
     ("<Project><Version><b/></Version><Version>1</Version></Project>", {("V1_LEAF_HAS_CHILDREN", "$.Project.Version[0]"), ("V1_UNKNOWN_XML_NODE", "$.Project.Version[0].b[0]"), ("V1_DUPLICATE_ELEMENT", "$.Project.Version[1]")}),
     ('<Project><ImageGroup><Image><LabelGroup><Label><ContourGroup><Contour Type="Outer" z="1"><Point X="1" Y="2" Z="3"/></Contour></ContourGroup></Label></LabelGroup></Image><Image/></ImageGroup></Project>', {("V1_UNKNOWN_XML_ATTRIBUTE", "$.Project.ImageGroup[0].Image[0].LabelGroup[0].Label[0].ContourGroup[0].Contour[0].@z"), ("V1_UNKNOWN_XML_ATTRIBUTE", "$.Project.ImageGroup[0].Image[0].LabelGroup[0].Label[0].ContourGroup[0].Contour[0].Point[0].@Z")}),
-    ("<" + "a>" * 1 + "<b>" * 80 + "</b>" * 80 + "</a>", {("V1_XML_DEPTH_LIMIT_EXCEEDED", "$")}),
+    ("<" + "a>" * 1 + "<b>" * 150 + "</b>" * 150 + "</a>", {("V1_XML_DEPTH_LIMIT_EXCEEDED", "$")}),
 ]
 
 

@@ -23,6 +23,7 @@ from ..sinks.packages import package_plan
 from ..sinks.projects import write_v1
 from ..sinks.v2_build import build_v2, write_findings
 from ..sources import v1_xml, v2_json
+from ..sources.json_structure import FIELDS, json_findings, json_usage
 from ..sources.packages import item_findings
 from ..sources.xml_nodes import region_findings, regions, structure_findings, xml_nodes
 from ..sources.tables import first_arrivals, read_table
@@ -340,3 +341,22 @@ def streamed_arrivals(spark: SparkSession, base: str) -> DataFrame:
     stream = first_arrivals_of_stream(stream_table(spark, f"{base}/project_files.parquet").select("file_uid", "received_at"), ["file_uid"], wait="3650 days")
     stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("file_uid long, received_at timestamp").parquet(f"{at}/rows").agg(F.count("*").alias("n"), F.min("file_uid").alias("low"), F.max("file_uid").alias("high"))
+
+
+@query(r"""with p as (select row_number() over () as rid, feed_id, batch_no, payload, json_valid(payload) as ok from raw_exports), t as (select x.rid, count(*) as n, max(case when j.type in ('OBJECT', 'ARRAY') then 1 + len(regexp_extract_all(j.fullkey, '\.|\[')) else 0 end) as depth from (select * from p where ok) x, json_tree(x.payload) j group by 1)
+select feed_id, batch_no, count(*) as n_rows, count_if(not ok) as n_invalid, coalesce(sum(t.n), 0)::bigint as n_values, max(t.depth)::int as depth from p left join t using (rid) group by all""")
+def payload_usage(spark: SparkSession, base: str) -> DataFrame:
+    """Values and depth of the JSON texts of each batch of exports, and how many are none."""
+    rows = read_table(spark, base, "raw_exports", "feed_id", "batch_no", "payload").withColumn("project_key", F.col("feed_id") * 1_000_000 + F.col("batch_no"))
+    used = json_usage(rows.withColumnRenamed("payload", "text"))
+    sums = used.groupBy("project_key").agg(F.count("*").alias("n_rows"), F.count("code").alias("n_invalid"), F.coalesce(F.sum("n_values"), F.lit(0)).alias("n_values"), F.max("depth").alias("depth"))
+    return sums.select((F.col("project_key") / 1_000_000).cast("long").alias("feed_id"), (F.col("project_key") % 1_000_000).cast("int").alias("batch_no"), "n_rows", "n_invalid", "n_values", "depth")
+
+
+@query(f"""with p as (select feed_id, row_number() over () as rid, payload from raw_exports where json_valid(payload)), k as (select p.feed_id, p.rid, j.key, j.type, j.value from p, json_each(p.payload) j)
+select feed_id, key as field, count(*) as n from k where key not in ({", ".join(f"'{f}'" for f in FIELDS["project"])}) and type <> 'NULL' and value::varchar not in ('""', '[]', '{{}}') group by all""")
+def unmapped_fields(spark: SparkSession, base: str) -> DataFrame:
+    """Fields of the exported records that a V2 project doesn't have, by feed."""
+    rows = read_table(spark, base, "raw_exports", "feed_id", "payload").select(F.col("feed_id").alias("project_key"), F.concat(F.lit('{"project": '), "payload", F.lit("}")).alias("text"))
+    found = json_findings(rows).filter("code = 'V2_UNMAPPED_FIELD'")
+    return found.groupBy(F.col("project_key").alias("feed_id"), F.regexp_extract("path", r"^\$\.project\.(.*)$", 1).alias("field")).agg(F.count("*").alias("n"))

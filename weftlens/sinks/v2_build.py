@@ -29,7 +29,7 @@ OK_NAME, OK_COLOR = "OK", "#1DDB16"
 # Offsets of the made-up identifiers from the project's.
 DATASET_ID, SPLIT_ID, CLASS_IDS, FILE_IDS, LABEL_IDS = 1, 2, 10, 1_000, 100_000
 # Most classes of a V2 project, and most bytes of a path.
-MOST_CLASSES, MOST_PATH_BYTES = 1_000, 4_096
+MOST_CLASSES, MOST_PATH_BYTES = 10_000, 4_096
 SPLIT_NAME = "srproj"
 
 

@@ -36,8 +36,8 @@ UNMAPPED = ["TrainingParameter", "AugmentationParameter", "SpecificType", "Other
 MASK = "Project.MaskingParameter"
 # Elements of the region, their attributes and the values that these have by default.
 REGION = {"": {}, ".Type": {}, ".RoiRectangle": {"X": None, "Y": None, "Width": None, "Height": None, "Shape": None}, ".RoiSetting": {}, ".RoiSetting.Intensity": {"Min": 0, "Max": 255}, ".RoiSetting.Expansion": {"Value": 0}, ".RoiSetting.Inversion": {"Value": None}, ".RoiSetting.Offset": {"Left": 100, "Right": 100, "Top": 100, "Bottom": 100}, ".BlindGroup": {}, ".BlindGroup.NumberOfBlinds": {}}
-#: Elements and nesting that one text may have; more is a text of its own kind of trouble.
-MOST_DEPTH = 64
+# How deep elements may lie in each other.
+MOST_DEPTH = 128
 
 SCHEMA = "project_key long, path string, place string, name string, parent string, occurrence int, attributes map<string,string>, text string, n_children int, code string"
 
