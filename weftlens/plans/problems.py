@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.visual import form_sql
 from ..operators.drift import aliases, consistent_table, schema_changes
 from ..operators.nested import flatten_inbox
 from ..operators.orphans import find_reference_orphans
-from ..operators.timestamps import normalise_timestamps
+from ..operators.timestamps import ABBREVIATIONS, FAMILIES, MONTHS, normalise_timestamps
 from ..operators.units import UNITS, normalise_quantities
 from ..sources.tables import first_arrivals, read_table
 
@@ -151,4 +153,23 @@ union all select feed_id, batch_no, path, 'added', '' from fresh f where not exi
 union all select feed_id, batch_no, path, 'removed', '' from gone g where not exists (select 1 from ren r where r.feed_id = g.feed_id and r.batch_no = g.batch_no and r.prior_path = g.path)
 union all select n.feed_id, n.batch_no, n.path, 'retyped', '' from n join q using (feed_id, batch_no, path) where len(n.kinds) > 0 and len(q.kinds) > 0 and n.kinds <> q.kinds"""
 
-ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
+_FAMILY = " ".join(f"when regexp_matches(x, '{pattern}') then '{name}'" for name, pattern, _ in FAMILIES)
+_GROUPS = {name: re.sub(r"[$]([0-9])", r"\\\1", groups) for name, _, groups in FAMILIES}
+_SPLIT = " ".join(f"when fam = '{name}' then regexp_replace(x, '{pattern}', '{_GROUPS[name]}')" for name, pattern, _ in FAMILIES)
+_ZONES = " ".join(f"when '{name}' then {minutes}" for name, minutes in ABBREVIATIONS.items())
+_OFFSET = "(epoch_ms(timezone(zone_id, make_timestamptz(({0}) * 1000))) - ({0}))"
+P1_SQL = rf"""
+with p as (select project_key, any_value(station_id) as station_id, any_value(created_date) as created_date, any_value(modified_date) as modified_date from projects group by 1), f as (select file_uid, any_value(project_key) as project_key, any_value(registered_date) as registered_date from project_files group by 1),
+v as (select 'projects' as table_name, project_key as row_id, 'created_date' as field_name, created_date as t, station_id from p union all select 'projects', project_key, 'modified_date', modified_date, station_id from p union all select 'project_files', file_uid, 'registered_date', registered_date, station_id from f join p using (project_key)),
+x as (select v.*, s.zone_id, s.day_first, trim(regexp_replace(t, '\s+', ' ', 'g')) as x from v join stations s using (station_id) where t is not null),
+q as (select *, case when regexp_matches(x, '^\d{{10}}$') then 'epoch_s' when regexp_matches(x, '^\d{{13}}$') then 'epoch_ms' when regexp_matches(x, '^\d{{16}}$') then 'epoch_us' when regexp_matches(x, '^/Date\(-?\d{{1,17}}([+-]\d{{4}})?\)/$') then 'json_date' {_FAMILY} end as fam from x),
+g as (select *, string_split(case {_SPLIT} end, '|') as g from q),
+n as (select *, try_cast(g[1] as int) as y, case when fam = 'named' then list_position([{", ".join(f"'{m}'" for m in MONTHS)}], lower(g[2][:3])) else try_cast(g[2] as int) end as a, try_cast(g[3] as int) as b, coalesce(try_cast(g[4] as int), 0) as h0, coalesce(try_cast(g[5] as int), 0) as mi, coalesce(try_cast(g[6] as int), 0) as s, coalesce(try_cast(rpad(g[7][:3], 3, '0') as int), 0) as ms, lower(g[8]) as half, g[9] as z from g),
+c as (select *, case when half = '' then h0 when h0 not between 1 and 12 then null when half in ('pm', '오후', '下午', '午後') then h0 % 12 + 12 else h0 % 12 end as h, case when fam = 'numeric' and day_first then b else a end as mo, case when fam = 'numeric' and day_first then a else b end as d from n),
+w as (select *, case when h < 24 and mi < 60 and s < 60 then epoch_ms(try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, d, h, mi, s) as timestamp)) end as u, case when regexp_matches(z, '^[+-]\d') then (case when z[1] = '-' then -1 else 1 end) * (regexp_replace(z, '[^0-9]', '', 'g')[1:2]::int * 60 + coalesce(try_cast(regexp_replace(z, '[^0-9]', '', 'g')[3:4] as int), 0)) else case z {_ZONES} when 'CST' then case when starts_with(zone_id, 'America') then -360 else 480 end when 'IST' then 330 end end as off from c),
+l as (select *, {_OFFSET.format("u - 86400000")} as o1, {_OFFSET.format("u + 86400000")} as o2 from w),
+r as (select *, case fam when 'epoch_s' then x::bigint * 1000 when 'epoch_ms' then x::bigint when 'epoch_us' then x::bigint // 1000 when 'json_date' then regexp_extract(x, '^/Date\((-?\d+)', 1)::bigint
+ else case when z <> '' then u - off * 60000 when {_OFFSET.format("u - o1")} = o1 and {_OFFSET.format("u - o2")} = o2 then least(u - o1, u - o2) when {_OFFSET.format("u - o1")} = o1 then u - o1 when {_OFFSET.format("u - o2")} = o2 then u - o2 else u - o1 end + ms end as instant from l)
+select table_name, row_id, field_name, instant as epoch_ms from r where instant is not null"""
+
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
