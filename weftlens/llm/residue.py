@@ -116,7 +116,7 @@ def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class NgramModel:
-    """Counts of character n-grams of orders 1 to 5 in hash tables of 2^bits."""
+    """Counts of character n-grams of orders 1 to 5 in hash tables of 2^bits; those of orders 2 and 4 as contexts of the next character."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -134,8 +134,10 @@ class NgramModel:
         for part in _portions(texts):
             codes, begin, end = encode_all(texts[part])
             own = _inside(np.ones(len(begin), bool), begin, end, max(0, len(codes) - ORDER + 1))
-            for table, at in zip(self.tables, slots(codes)):
-                table += np.bincount(at[own] >> (SLOT_BITS - self.bits), minlength=len(table))
+            followed = own.copy()
+            followed[end[end > begin] - 1] = False  # nothing comes after the last character: there it is no context
+            for k, (table, at) in enumerate(zip(self.tables, slots(codes))):
+                table += np.bincount(at[followed if k in (1, 3) else own] >> (SLOT_BITS - self.bits), minlength=len(table))
             self.total += float(own.sum())
 
     def prob(self, slots: list[np.ndarray], strength: float = 1.0, where: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -267,7 +269,7 @@ class ResidueModels:
         return out
 
     def prose(self, texts: list[str]) -> list[str]:
-        """What counts as natural prose: the sentences that aren't made of the examples, blanks for their placeholders and instructions."""
+        """What counts as natural prose: the sentences that aren't made of the examples, without lines that are, blanks for their placeholders and instructions."""
         out = []
         for text in texts:
             bare = self.bare(text)
@@ -278,12 +280,23 @@ class ResidueModels:
                     if s >= CLAIMED_SPAN:
                         bare = bare[: m.start()] + " " * (m.end() - m.start()) + bare[m.end() :]
             out += [bare[a:b] for a, b in sentences(bare)]
-        if not out:
-            return out
-        claimed = np.zeros(len(out), bool)
-        for kind, share in self.shares(out).items():
+        # A notice may be one line of what reads as a wrapped sentence.
+        wrapped = [k for k, part in enumerate(out) if "\n" in part]
+        lines = [(k, line) for k in wrapped for line in out[k].splitlines()]
+        kept: dict[int, list[str]] = {k: [] for k in wrapped}
+        for (k, line), claimed in zip(lines, self._claimed([line for _, line in lines])):
+            if not claimed:
+                kept[k].append(line)
+        for k in wrapped:
+            out[k] = "\n".join(kept[k])
+        return [p for p, claimed in zip(out, self._claimed(out)) if not claimed and p]
+
+    def _claimed(self, parts: list[str]) -> np.ndarray:
+        """Which parts are made of the examples' n-grams."""
+        claimed = np.zeros(len(parts), bool)
+        for kind, share in self.shares(parts).items():
             claimed |= share >= CLAIMED[kind]
-        return [p for p, c in zip(out, claimed) if not c]
+        return claimed
 
     def gains(self, texts: list[str], sure: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Log-likelihood ratio of each character by kind, where the texts begin and end, and which may hold residue at all.
