@@ -26,6 +26,7 @@ from ..sources import v1_xml, v2_json
 from ..sources.json_structure import FIELDS, json_findings, json_usage
 from ..sources.packages import item_findings
 from ..sources.xml_nodes import region_findings, regions, structure_findings, xml_nodes
+from ..sources.regions import v2_regions
 from ..sources.tables import first_arrivals, read_table
 from ..session import cut, ensure_checkpoint_dir
 from ..streaming.ingest import first_arrivals as first_arrivals_of_stream
@@ -360,3 +361,12 @@ def unmapped_fields(spark: SparkSession, base: str) -> DataFrame:
     rows = read_table(spark, base, "raw_exports", "feed_id", "payload").select(F.col("feed_id").alias("project_key"), F.concat(F.lit('{"project": '), "payload", F.lit("}")).alias("text"))
     found = json_findings(rows).filter("code = 'V2_UNMAPPED_FIELD'")
     return found.groupBy(F.col("project_key").alias("feed_id"), F.regexp_extract("path", r"^\$\.project\.(.*)$", 1).alias("field")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_WRITTEN} select project_key, 'simple' as mode, 0.125::double as "left", 0.25::double as top, 0.75::double as "right", 0.875::double as bottom, 'V2_SIMPLE_RECTANGLE_ROI,V2_ROI_SHAPE_REBUILT' as codes from {_INBOX} where project_key not in (select project_key from d)""")
+def v2_written_regions(spark: SparkSession, base: str) -> DataFrame:
+    """Regions of the projects written as V2, read from their boundaries and their drawings, with the findings about both."""
+    built = build_v2(*canonical(spark, base)).filter("json is not null")
+    field = lambda name, kind: F.get_json_object("json", f"$.project.{name}").cast(kind)
+    rows = built.select("project_key", field("roiMode", "string").alias("roi_mode"), *[field(n, "double").alias(c) for n, c in (("roiPosX", "roi_pos_x"), ("roiPosY", "roi_pos_y"), ("roiWidth", "roi_width"), ("roiHeight", "roi_height"))], *[field(n, "string").alias(c) for n, c in (("roiShapeType", "roi_shape_type"), ("roiShape", "roi_shape"), ("roiBitmap", "roi_bitmap"))])
+    return v2_regions(rows).select("project_key", "mode", "left", "top", "right", "bottom", F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
