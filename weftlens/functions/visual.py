@@ -94,10 +94,18 @@ def changed_characters() -> dict[str, str]:
     return {c: form for c, form in pairs if form != unicodedata.normalize("NFC", c)}
 
 
-def form_sql(texts: str) -> str:
-    """SQL (two common table expressions) of ``forms(text, form)`` for the query ``texts`` of a column ``text``."""
+@lru_cache(maxsize=1)
+def compatible_characters() -> dict[str, str]:
+    """Every character whose compatibility form differs from its canonical one, with that form, by rule over the same planes."""
+    spans = (range(0x80, 0xD800), range(0xE000, 0x10000), range(0x1D400, 0x1D800))
+    pairs = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for span in spans for c in span)
+    return {c: form for c, form in pairs if form != unicodedata.normalize("NFC", c)}
+
+
+def form_sql(texts: str, characters: dict[str, str] | None = None) -> str:
+    """SQL (common table expressions) of ``forms(text, form)`` for the query ``texts`` of a column ``text``; the characters of the visual form if none are given."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
-    table = ", ".join(f"({quote(c)}, {quote(f)})" for c, f in changed_characters().items())
+    table = ", ".join(f"({quote(c)}, {quote(f)})" for c, f in (characters or changed_characters()).items())
     return f"""changed(c, shape) as (values {table}),
 spelled as (select text, i, substring(text, i, 1) as c from (select distinct text, unnest(range(1, length(text) + 1)) as i from ({texts}) where text is not null)),
 forms as (select text, nfc_normalize(string_agg(coalesce(shape, c), '' order by i)) as form from spelled left join changed using (c) group by text union all select '', '')"""

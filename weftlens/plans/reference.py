@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, geometry, paths
+from ..functions.visual import compatible_characters, form_sql
 from ..operators import diagnostics as diag
 from ..operators.matching import bag_difference, full_cover, match_report, resolve_class, suffix_match
 from ..operators.naming import reindex, running_ids, unique_names
@@ -97,7 +98,13 @@ def entry_safety(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("project_key", "entry_name", paths.entry_problem(F.col("entry_name")).alias("problem"))
 
 
-@query()
+@query(rf"""
+with {form_sql("select entry_name as text from archive_entries", compatible_characters())},
+e as (select distinct project_key, entry_name, compressed_size as c, uncompressed_size as u, is_dir, unix_mode from archive_entries),
+p as (select *, replace(entry_name, '\', '/') as n, list_filter(string_split(replace(entry_name, '\', '/'), '/'), lambda s: s <> '') as parts from e),
+k as (select p.*, lower(form) as key, coalesce(strlen(entry_name) > 4096, false) or coalesce((unix_mode & 61440) = 40960, false) or coalesce(is_dir and u > 0, false) or coalesce(u > 4294967296, false) or coalesce(u > 0 and u > c * 200, false) or trim(entry_name) = '' or regexp_matches(entry_name, '[\x00-\x1f\x7f]') or starts_with(n, '/') or regexp_matches(n, '^[A-Za-z]:') or len(parts) = 0
+ or len(list_filter(parts, lambda s: s in ('.', '..') or regexp_matches(s, '[<>:"|?*]') or ends_with(s, ' ') or ends_with(s, '.') or regexp_matches(s, '^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])([ .]|$)') or strlen(s) > 255)) > 0 as bad from p left join forms on text = entry_name)
+select project_key, count(*) as n_entries, sum(u)::bigint as n_bytes, sum(strlen(entry_name))::bigint as n_name_bytes, count_if(bad)::bigint as n_unsafe, count(*) - count(distinct key) as n_duplicates, case when count(*) > 20000 then 'ZIP_TOO_MANY_ENTRIES' when sum(strlen(entry_name)) > 8388608 then 'ZIP_TOTAL_NAMES_TOO_LONG' when sum(u) > 34359738368 then 'ZIP_TOTAL_TOO_LARGE' end as limit_code from k group by 1""")
 def archive_limits(spark: SparkSession, base: str) -> DataFrame:
     rows = read_table(spark, base, "archive_entries").select("project_key", "entry_name", "compressed_size", "uncompressed_size", "is_dir", "unix_mode").distinct()
     return archive_summary(rows, "project_key")
