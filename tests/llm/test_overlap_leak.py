@@ -1,15 +1,20 @@
 """Split overlaps and leaks against brute force."""
 
+import contextlib
+import os
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
 
 from weftlens.llm import leak, overlap
+from weftlens.llm.grams import by_record
 from weftlens.llm.leak import find_leaks, leak_report
 from weftlens.llm.overlap import cross_split_overlaps, overlap_report, split_records
 from weftlens.llm.queries import ORACLES, QUERIES
+from weftlens.session import ensure_checkpoint_dir
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -55,6 +60,64 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, seed, rare, paired, bits
     assert {(r["id_a"], r["id_b"]) for r in cross_split_overlaps(df, containment=0.8).collect()} == expected.keys() | {(min(p), max(p)) for p in contained} and not {(min(p), max(p)) for p in contained} <= expected.keys()
 
 
+def test_disk_of_many_records_stays_below_their_texts(spark, monkeypatch):
+    """Sets of hashes are larger than their texts, and common words make many candidates: neither may pile up on disk."""
+    monkeypatch.setattr(overlap, "LEAST_IN_PARTS", 1, raising=False)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["pixels", "kept", "outer line", "beside the clip", "frame", f"n{rng.randrange(50)}"]) for _ in range(40)), i % 4 > 0, i % 4 == 0) for i in range(6000)]
+    rows += [(10_000 + i, text + " " + "once more", not train, train) for i, text, train, _ in rows[:200]]
+    records = spark.createDataFrame(rows, "id long, text string, is_train boolean, is_eval boolean").repartition(4)
+    context = spark.sparkContext._jsc.sc()
+    folders = [str(f) for f in context.env().blockManager().diskBlockManager().localDirs()] + [ensure_checkpoint_dir(spark).removeprefix("file:")]
+
+    def used():
+        sizes = [0]
+        for p in (os.path.join(at, name) for folder in folders for at, _, names in os.walk(folder) for name in names):
+            with contextlib.suppress(FileNotFoundError):
+                sizes.append(os.path.getsize(p))
+        return sum(sizes)
+
+    floor, most, over = used(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.wait(0.02):
+            most = max(most, used() - floor)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        pairs = cross_split_overlaps(records).collect()
+    finally:
+        over.set()
+        watcher.join()
+    assert {(i, 10_000 + i) for i in range(200)} <= {(r["id_a"], r["id_b"]) for r in pairs}
+    assert 0 < most < 4 * sum(len(t) for _, t, _, _ in rows)
+
+
+@pytest.mark.parametrize("parts", [0.5, 8])
+def test_a_class_may_run_over_batches_and_keys_may_come_in_parts(spark, monkeypatch, parts):
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    monkeypatch.setattr(overlap, "PART_KEYS", parts)
+    monkeypatch.setattr(overlap, "LEAST_IN_PARTS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        text = lambda i: " ".join(f"t{i}x{k}" for k in range(8))
+        rows = [(i, text(i // 11), i % 3 == 0, i % 3 == 1) for i in range(99)]
+        found = {(r["id_a"], r["id_b"], r["jaccard"]) for r in cross_split_overlaps(spark.createDataFrame(rows, "id long, text string, is_train boolean, is_eval boolean"), containment=0.8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {(min(a, b), max(a, b), 1.0) for a, s, train, _ in rows if train for b, t, _, evaluation in rows if evaluation and s == t}
+
+
+def test_order_by_record_is_exact_where_only_the_last_bits_differ():
+    rng = np.random.default_rng(4)
+    record, step = np.sort(rng.integers(0, 5, 4000)), rng.integers(0, 3, 4000).astype(np.uint8)
+    for values in (rng.integers(-(2**63), 2**63, 4000), rng.integers(-40, 40, 4000)):
+        for order, keys in ((by_record(record, values), (values.view(np.uint64), record)), (by_record(record, values, step), (values.view(np.uint64), step, record))):
+            assert all((k[order] == k[np.lexsort(keys)]).all() for k in keys)
+
+
 def test_roles_and_report(spark):
     files = spark.createDataFrame(
         [(1, 1, "a", "one two three four", [(1, "x", " Train")], "2024-01-01"), (2, 1, "a", "one two three four", [(1, "x", "VAL"), (2, "y", None)], "2024-01-01"), (2, 1, "a", "one two three four", [(1, "x", "VAL")], "2024-02-01"), (3, 1, "a", "one two three four", None, "2024-01-01"), (4, 1, "a", None, [], "2024-01-01")],

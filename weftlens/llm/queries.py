@@ -20,7 +20,8 @@ def _files(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return cross_split_overlaps(_files(spark, base).select("id", "text", "is_train", "is_eval")).select(F.col("id_a").alias("file_uid_a"), F.col("id_b").alias("file_uid_b"))
+    records = split_records(read_table(spark, base, "project_files", "file_uid", "remark", "split_sets", "received_at"))
+    return cross_split_overlaps(records.select("id", "text", "is_train", "is_eval")).select(F.col("id_a").alias("file_uid_a"), F.col("id_b").alias("file_uid_b"))
 
 
 def p5_report(spark: SparkSession, base: str) -> DataFrame:

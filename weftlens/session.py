@@ -40,10 +40,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder; ``release`` removes the shuffle files that it took, which else stay until the driver collects its garbage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if release:
+        release_shuffles(df)
+    return kept
+
+
+def release_shuffles(df: DataFrame) -> None:
+    """Removes the shuffle files of ``df``, which was computed and won't be again."""
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    seen, todo = set(), [df._jdf.queryExecution().toRdd()]
+    while cleaner.isDefined() and todo:
+        dependencies = todo.pop().dependencies()
+        for dependency in (dependencies.apply(i) for i in range(dependencies.size())):
+            if dependency.getClass().getSimpleName() == "ShuffleDependency":
+                cleaner.get().doCleanupShuffle(dependency.shuffleId(), True)
+            if dependency.rdd().id() not in seen:
+                seen.add(dependency.rdd().id())
+                todo.append(dependency.rdd())
 
 
 def default_parallelism(spark: SparkSession) -> int:
